@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import sys
+import threading
 import time
 
 import duckdb
@@ -97,7 +98,12 @@ def main() -> None:
         try:
             df = query(spark, folder)
             if name in oracles:
-                problem = compare(df, con, oracles[name])
+                watchdog = threading.Timer(90, con.interrupt)
+                watchdog.start()
+                try:
+                    problem = compare(df, con, oracles[name])
+                finally:
+                    watchdog.cancel()
                 rows = ""
             else:
                 problem, rows = None, f"rows only {len(df.collect())}"

@@ -96,8 +96,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "diagrams_v": (
         [],
         """select vec_id as diagram_id, cast(label as bigint) as paper_id, cast(vec_id % 9 + 1 as int) as "order",
-           list_aggregate(list_transform(range(0, 16), q ->
-             lower(format('{:x}', list_sum(list_transform([0, 1, 2, 3], b ->
+           list_aggregate(list_transform(range(0, 16), lambda q:
+             lower(format('{:x}', list_sum(list_transform([0, 1, 2, 3], lambda b:
                case when cast(embedding[q * 4 + b + 1] as double) > list_median(list_transform(embedding, lambda v: cast(v as double)))
                  then (8 >> b) else 0 end))::bigint))), 'string_agg', '') as hash
     from embeddings""",
@@ -138,6 +138,8 @@ def with_views(names: list[str], body: str, *more: tuple[str, str]) -> str:
     for name in names:
         add(name)
     parts = [f"{name} as materialized (\n{VIEWS[name][1]})" for name in ordered]
-    parts += [f"{name} as (\n{sql})" for name, sql in more]
+    parts += [
+        f"{name} as {'' if name.startswith('rec_') else 'materialized '}(\n{sql})" for name, sql in more
+    ]
     recursive = "recursive " if any(name.startswith("rec_") for name, _ in more) else ""
     return f"with {recursive}" + ",\n".join(parts) + f"\n{body}"
