@@ -5,38 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
 
-def _hex(bits: Column) -> Column:
-    """Array of 0/1 as hex digits, the first bit being the highest."""
-    quads = F.sequence(F.lit(0), F.size(bits) / 4 - 1)
 
-    def digit(quad: Column) -> Column:
-        at = (quad * 4).cast("int")
-        value = F.get(bits, at) * 8 + F.get(bits, at + 1) * 4 + F.get(bits, at + 2) * 2 + F.get(bits, at + 3)
-        return F.lower(F.hex(value))
+def _hex(flags: Column) -> Column:
+    """Array of flags as hex digits, the first flag being the highest bit."""
 
-    return F.array_join(F.transform(quads.cast("array<int>"), digit), "")
+    def packed(bits: Column) -> Column:
+        def digit(quad: Column) -> Column:
+            at = quad * 4
+            value = sum((F.get(bits, at + i) * 2 ** (3 - i) for i in range(1, 4)), F.get(bits, at) * 8)
+            return F.lower(F.hex(value))
 
+        quads = F.sequence(F.lit(0), (F.size(bits) / 4).cast("int") - 1)
+        return F.array_join(F.transform(quads, digit), "")
 
-def _bits(flags: Column) -> Column:
-    return F.transform(flags, lambda flag: flag.cast("int"))
+    return let(F.transform(flags, lambda flag: flag.cast("int")), packed)
+
+
+def _median(ordered: Column) -> Column:
+    half = (F.size(ordered) / 2).cast("int")
+    upper = F.get(ordered, half)
+    return F.when(F.size(ordered) % 2 == 1, upper).otherwise((upper + F.get(ordered, half - 1)) / 2)
 
 
 def phash(values: Column) -> Column:
     """Bit per coefficient: larger than the median of all."""
-    ordered = F.array_sort(values)
-    half = (F.size(values) / 2).cast("int")
-    median = F.when(
-        F.size(values) % 2 == 1, F.get(ordered, half).cast("double")
-    ).otherwise((F.get(ordered, half).cast("double") + F.get(ordered, half - 1).cast("double")) / 2)
-    return _hex(_bits(F.transform(values, lambda v: v.cast("double") > median)))
+    exact = values.cast("array<double>")
+    return let(
+        let(F.sort_array(exact), _median), lambda median: _hex(F.transform(exact, lambda v: v > median))
+    )
 
 
 def ahash(values: Column) -> Column:
     """Bit per value: larger than the mean."""
-    total = F.aggregate(values, F.lit(0.0), lambda s, v: s + v.cast("double"))
-    mean = total / F.size(values)
-    return _hex(_bits(F.transform(values, lambda v: v.cast("double") > mean)))
+    exact = values.cast("array<double>")
+    mean = F.aggregate(exact, F.lit(0.0), lambda s, v: s + v) / F.size(exact)
+    return let(mean, lambda m: _hex(F.transform(exact, lambda v: v > m)))
 
 
 def dhash(rows: Column) -> Column:
@@ -52,7 +57,7 @@ def dhash(rows: Column) -> Column:
             ),
         )
     )
-    return _hex(_bits(flags))
+    return _hex(flags)
 
 
 def hex_distance(a: Column, b: Column, on_unequal: str = "longest") -> Column:

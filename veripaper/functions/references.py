@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .text import blank, matched, squeeze, strip
+from .text import blank, let, matched, squeeze, strip
 
 
 def _parts(value: Column, confidence: Column, name: str) -> Column:
@@ -159,11 +159,14 @@ def quote_aware_squeeze(text: Column) -> Column:
     """
     pieces = F.split(text, "[\"']")
     marks = F.regexp_extract_all(text, F.lit("[\"']"), F.lit(0))
+    parts = F.arrays_zip(pieces.alias("piece"), marks.alias("mark"))
     rebuilt = F.transform(
-        pieces,
-        lambda piece, i: F.concat(
-            F.when(i % 2 == 0, squeeze(piece)).otherwise(F.replace(piece, F.lit("\n"), F.lit(" "))),
-            F.coalesce(F.get(marks, i), F.lit("")),
+        parts,
+        lambda part, i: F.concat(
+            F.when(i % 2 == 0, squeeze(part["piece"])).otherwise(
+                F.replace(part["piece"], F.lit("\n"), F.lit(" "))
+            ),
+            F.coalesce(part["mark"], F.lit("")),
         ),
     )
     return F.array_join(rebuilt, "")
@@ -193,7 +196,10 @@ def _valid_bulk_title(title: Column) -> Column:
 
 def bulk_extract_title(raw: Column) -> Column:
     """``struct(title, confidence)`` by the second rule set: the first valid candidate."""
-    text = quote_aware_squeeze(raw)
+    return let(quote_aware_squeeze(raw), _first_valid_title)
+
+
+def _first_valid_title(text: Column) -> Column:
     phrases = F.filter(
         F.transform(F.split(text, r"[.,;]"), strip),
         lambda p: (F.length(p) > 20)

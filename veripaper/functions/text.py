@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ def matched(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once per row, also inside inner lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"\s+", " ")
 
@@ -54,24 +60,37 @@ def title_words(text: Column) -> Column:
 
 def title_similarity(a: Column, b: Column) -> Column:
     """Title likeness in 0..1: equality, containment, word overlap lifted by a common start."""
-    left, right = _title_key(a), _title_key(b)
-    len_l, len_r = F.length(left), F.length(right)
-    shorter = F.when(len_l < len_r, left).otherwise(right)
-    longer = F.when(len_l < len_r, right).otherwise(left)
-    words_l = F.filter(F.split(left, r"\s+"), lambda w: F.length(w) > 2)
-    words_r = F.filter(F.split(right, r"\s+"), lambda w: F.length(w) > 2)
-    shared = F.size(F.filter(words_l, lambda w: F.array_contains(words_r, w)))
-    overlap = shared * 2 / (F.size(words_l) + F.size(words_r))
-    start = F.least(len_l, len_r, F.lit(30))
-    same_start = (start >= 10) & (F.substring(left, F.lit(1), start) == F.substring(right, F.lit(1), start))
-    return (
-        F.when(blank(a) | blank(b), F.lit(0.0))
-        .when(left == right, F.lit(1.0))
-        .when(F.contains(longer, shorter), F.length(shorter) / F.length(longer))
-        .when((F.size(words_l) == 0) | (F.size(words_r) == 0), F.lit(0.0))
-        .when(same_start, F.greatest(overlap, F.lit(0.7)))
-        .otherwise(overlap)
+
+    def likeness(left: Column, right: Column, words_l: Column, words_r: Column) -> Column:
+        len_l, len_r = F.length(left), F.length(right)
+        shorter = F.when(len_l < len_r, left).otherwise(right)
+        longer = F.when(len_l < len_r, right).otherwise(left)
+        shared = F.size(F.filter(words_l, lambda w: F.array_contains(words_r, w)))
+        overlap = shared * 2 / (F.size(words_l) + F.size(words_r))
+        start = F.least(len_l, len_r, F.lit(30))
+        same_start = (start >= 10) & (
+            F.substring(left, F.lit(1), start) == F.substring(right, F.lit(1), start)
+        )
+        return (
+            F.when(left == right, F.lit(1.0))
+            .when(F.contains(longer, shorter), F.length(shorter) / F.length(longer))
+            .when((F.size(words_l) == 0) | (F.size(words_r) == 0), F.lit(0.0))
+            .when(same_start, F.greatest(overlap, F.lit(0.7)))
+            .otherwise(overlap)
+        )
+
+    def words(key: Column) -> Column:
+        return F.filter(F.split(key, r"\s+"), lambda w: F.length(w) > 2)
+
+    keys = F.struct(_title_key(a).alias("l"), _title_key(b).alias("r"))
+    compared = let(
+        keys,
+        lambda k: let(
+            F.struct(words(k["l"]).alias("l"), words(k["r"]).alias("r")),
+            lambda w: likeness(k["l"], k["r"], w["l"], w["r"]),
+        ),
     )
+    return F.when(blank(a) | blank(b), F.lit(0.0)).otherwise(compared)
 
 
 def trigrams(text: Column) -> Column:

@@ -297,7 +297,7 @@ def compare_with_reference_set(pairs: DataFrame, threshold: float = 0.35) -> Dat
     """
     score = match_percentage(F.col("orb_score"), F.col("ssim"))
     scored = pairs.withColumn("score", score).withColumn("is_match", F.col("score") >= threshold * 100)
-    order = F.when(F.col("is_match"), F.struct("score", -F.col("ref_id")))
+    order = F.when(F.col("is_match"), F.struct("score", -F.col("ref_id"), "ssim"))
     return scored.groupBy("image_id").agg(
         F.count(F.lit(1)).alias("total_compared"),
         F.count_if("is_match").alias("n_matches"),

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions.text import (
     blank,
     edit_similarity,
+    let,
     normalize_string,
     title_similarity,
     title_words,
@@ -112,21 +113,31 @@ def _author_score(ref_authors: Column, names: Column) -> Column:
     cited = F.lower(ref_authors)
     head = F.trim(F.get(F.split(cited, r"[,;]|et\s+al"), F.lit(0)))
     first = F.when(head == "", cited).otherwise(head)
-    parts = _name_parts(first)
-    first_part = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+    named = F.transform(
+        names,
+        lambda n: F.struct(
+            n.alias("name"), F.get(F.split(n, " "), F.lit(0)).alias("given"), _name_parts(n).alias("parts")
+        ),
+    )
 
-    def given(name: Column) -> Column:
-        return F.get(F.split(name, " "), F.lit(0))
+    def score(first: Column, parts: Column) -> Column:
+        first_part = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
 
-    def resembles(name: Column) -> Column:
-        # Equal and prefix parts are contained parts as well, so one containment test is enough.
-        part_hit = F.exists(
-            parts, lambda p: F.exists(_name_parts(name), lambda n: F.contains(n, p) | F.contains(p, n))
+        def resembles(n: Column) -> Column:
+            # Equal and prefix parts are contained parts as well, so one containment test is enough.
+            part_hit = F.exists(
+                parts, lambda p: F.exists(n["parts"], lambda q: F.contains(q, p) | F.contains(p, q))
+            )
+            return part_hit | F.contains(first, n["given"]) | F.contains(n["name"], first_part)
+
+        reverse = F.exists(
+            named, lambda n: F.contains(cited, n["given"]) | F.array_contains(parts, n["given"])
         )
-        return part_hit | F.contains(first, given(name)) | F.contains(name, first_part)
+        return F.when(F.exists(named, resembles), F.lit(0.8)).when(reverse, F.lit(0.7)).otherwise(F.lit(0.0))
 
-    reverse = F.exists(names, lambda n: F.contains(cited, given(n)) | F.array_contains(parts, given(n)))
-    return F.when(F.exists(names, resembles), F.lit(0.8)).when(reverse, F.lit(0.7)).otherwise(F.lit(0.0))
+    return let(
+        F.struct(first.alias("first"), _name_parts(first).alias("parts")), lambda f: score(f["first"], f["parts"])
+    )
 
 
 def best_match(refs: DataFrame, candidates: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:

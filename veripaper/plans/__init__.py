@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ["papers"]
+AREAS = ["papers", "references", "citations", "diagrams"]
 
 
 def _load() -> None:
