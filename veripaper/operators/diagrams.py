@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.hashes import bit_similarity, hex_distance
+from ..functions.hashes import hash_words
 from ..functions.scale import salted_join
 
 
@@ -73,15 +73,41 @@ def _digit_patterns(length: int, differing: int) -> list[tuple[int, ...]]:
     return patterns
 
 
+def _with_words(hashes: DataFrame, digits: int) -> DataFrame:
+    """Distinct hashes of one length with their 32-bit words, read from the text once per hash."""
+    fitting = hashes.select("hash").where(F.length("hash") == digits).distinct()
+    return fitting.withColumn("words", F.array(*hash_words(F.col("hash"), digits)))
+
+
+def _word_pairs(digits: int) -> list[tuple[Column, Column]]:
+    return [(F.get("l.words", F.lit(i)), F.get("r.words", F.lit(i))) for i in range((digits + 7) // 8)]
+
+
+def _unequal_digits(digits: int) -> Column:
+    """Hex digits in which ``l.words`` and ``r.words`` differ: the non-zero quads of their xor."""
+    total = F.lit(0)
+    for a, b in _word_pairs(digits):
+        x = a.bitwiseXOR(b)
+        quads = x.bitwiseOR(F.shiftright(x, 1)).bitwiseOR(F.shiftright(x, 2)).bitwiseOR(F.shiftright(x, 3))
+        total = total + F.bit_count(quads.bitwiseAND(F.lit(0x11111111).cast("bigint")))
+    return total
+
+
+def _unequal_bits(digits: int) -> Column:
+    return sum((F.bit_count(a.bitwiseXOR(b)) for a, b in _word_pairs(digits)), F.lit(0))
+
+
 def _signatures(hashes: DataFrame, length: int, differing: int) -> DataFrame:
-    patterns = _digit_patterns(length, differing)
-    made = F.array(
+    patterns = F.array(
         *[
-            F.concat(F.lit(f"{n}:"), *[F.substring("hash", at + 1, 1) for at in kept])
-            for n, kept in enumerate(patterns)
+            F.struct(F.lit(n).alias("n"), F.array(*[F.lit(at + 1) for at in kept]).alias("kept"))
+            for n, kept in enumerate(_digit_patterns(length, differing))
         ]
     )
-    return hashes.withColumn("signature", F.explode(made))
+    digits = F.transform("pattern.kept", lambda at: F.substring("hash", at, F.lit(1)))
+    return hashes.withColumn("pattern", F.explode(patterns)).select(
+        "hash", "words", F.concat_ws("", F.col("pattern.n"), F.lit(":"), digits).alias("signature")
+    )
 
 
 def near_hash_pairs(left: DataFrame, right: DataFrame, length: int, differing: int) -> DataFrame:
@@ -91,12 +117,11 @@ def near_hash_pairs(left: DataFrame, right: DataFrame, length: int, differing: i
     join itself, so that only true pairs leave it; a frequent signature is split by the adaptive
     skew join.
     """
-    l = _signatures(left.select("hash").where(F.length("hash") == length).distinct(), length, differing)
-    r = _signatures(right.select("hash").where(F.length("hash") == length).distinct(), length, differing)
-    distance = hex_distance(F.col("l.hash"), F.col("r.hash"))
+    l = _signatures(_with_words(left, length), length, differing).alias("l")
+    r = _signatures(_with_words(right, length), length, differing).alias("r")
+    distance = _unequal_digits(length)
     return (
-        l.alias("l")
-        .join(r.alias("r"), (F.col("l.signature") == F.col("r.signature")) & (distance <= differing))
+        l.join(r, (F.col("l.signature") == F.col("r.signature")) & (distance <= differing))
         .select(F.col("l.hash").alias("hash"), F.col("r.hash").alias("other"), distance.alias("distance"))
         .distinct()
     )
@@ -118,48 +143,40 @@ def suspicious_diagrams(
     differing = max(d for d in range(length + 1) if 1 - d / denominator > above)
     hashed = diagrams.where("hash <> ''")
     per_paper = hashed.groupBy("hash", "paper_id").agg(F.min("diagram_id").alias("first_id"))
-    first = per_paper.groupBy("hash").agg(F.min(F.struct("first_id", "paper_id")).alias("a"))
-    second = (
-        per_paper.join(first, "hash")
-        .where("paper_id <> a.paper_id")
-        .groupBy("hash")
-        .agg(F.min(F.struct("first_id", "paper_id")).alias("b"))
-    )
-    holders = first.join(second, "hash", "left")
-    pairs = near_hash_pairs(hashed, hashed, length, differing)
-    offered = pairs.join(
-        holders.select(F.col("hash").alias("other"), F.explode(F.array_compact(F.array("a", "b"))).alias("holder")),
-        "other",
+    holders = _two_first(per_paper, ["hash"], "first_id").select(
+        F.col("hash").alias("other"), "first_id", "paper_id"
     )
-    # Per hash the smallest holder, and the smallest one of any other paper.
-    scored = offered.select(
-        "hash", (1 - F.col("distance") / F.lit(float(denominator))).alias("similarity"),
-        F.col("holder.first_id").alias("matched_id"), F.col("holder.paper_id").alias("matched_paper"),
+    offered = near_hash_pairs(hashed, hashed, length, differing).join(holders, "other")
+    similarity = 1 - F.col("distance") / F.lit(float(denominator))
+    # Per hash the smallest match of each paper, then the two smallest: one is of another paper.
+    per_match = offered.groupBy("hash", "paper_id").agg(
+        F.min(F.struct("first_id", similarity.alias("similarity"))).alias("match")
     )
-    best = scored.groupBy("hash").agg(
-        F.min(F.struct("matched_id", "matched_paper", "similarity")).alias("best")
-    )
-    runner = (
-        scored.join(best, "hash")
-        .where("matched_paper <> best.matched_paper")
+    options = (
+        _two_first(per_match, ["hash"], "match")
         .groupBy("hash")
-        .agg(F.min(F.struct("matched_id", "matched_paper", "similarity")).alias("runner"))
+        .agg(F.array_sort(F.collect_list(F.struct("match", F.col("paper_id").alias("of_paper")))).alias("options"))
     )
-    options = best.join(runner, "hash", "left")
-    chosen = F.when(F.col("best.matched_paper") != F.col("paper_id"), F.col("best")).otherwise(F.col("runner"))
     matched = salted_join(hashed, options, ["hash"], [F.col("diagram_id")], how="inner")
+    chosen = F.get(F.filter("options", lambda o: o["of_paper"] != F.col("paper_id")), F.lit(0))["match"]
     return (
         matched.withColumn("chosen", chosen)
         .where("chosen is not null")
         .select(
             "diagram_id",
             "paper_id",
-            F.col("chosen.matched_id").alias("matched_diagram_id"),
+            F.col("chosen.first_id").alias("matched_diagram_id"),
             F.col("chosen.similarity").alias("similarity_score"),
         )
     )
 
 
+def _two_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The two smallest rows per key, cut to two before the exchange."""
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
+    return ranked.where(F.col("_r") <= 2).drop("_r")
+
+
 def _bit_bands(digits: int, differing_bits: int) -> list[tuple[int, int]]:
     """Bands of which one differs in at most two bits when at most ``differing_bits`` do."""
     bits = digits * 4
@@ -170,20 +187,26 @@ def _bit_bands(digits: int, differing_bits: int) -> list[tuple[int, int]]:
 
 def _bit_signatures(hashes: DataFrame, digits: int, differing_bits: int) -> DataFrame:
     """Every band as it is and with each of its bits turned, as text of 0 and 1."""
-    words = F.concat(
+    binary = F.concat(
         *[F.lpad(F.conv(F.substring("hash", at + 1, 8), 16, 2), 32, "0") for at in range(0, digits, 8)]
     )
-    binary = hashes.withColumn("bits", words)
-    made = []
-    for n, (a, b) in enumerate(_bit_bands(digits, differing_bits)):
-        band = F.substring("bits", a + 1, b - a)
-        made.append(F.concat(F.lit(f"{n}:"), band))
-        for at in range(a, b):
-            turned = F.translate(F.substring("bits", at + 1, 1), "01", "10")
-            before = F.substring("bits", a + 1, at - a)
-            after = F.substring("bits", at + 2, b - at - 1)
-            made.append(F.concat(F.lit(f"{n}:"), before, turned, after))
-    return binary.withColumn("signature", F.explode(F.array(*made))).drop("bits")
+    changes = F.array(
+        *[
+            F.struct(F.lit(n).alias("band"), F.lit(a + 1).alias("first"), F.lit(b - a).alias("width"), F.lit(at).alias("at"))
+            for n, (a, b) in enumerate(_bit_bands(digits, differing_bits))
+            for at in range(b - a + 1)
+        ]
+    )
+    rows = hashes.withColumn("bits", binary).withColumn("change", F.explode(changes))
+    band = F.substring("bits", F.col("change.first"), F.col("change.width"))
+    at = F.col("change.at")
+    turned = F.concat(
+        F.substring(band, F.lit(1), at - 1),
+        F.translate(F.substring(band, at, F.lit(1)), "01", "10"),
+        F.substring(band, at + 1, F.col("change.width")),
+    )
+    signature = F.concat(F.col("change.band").cast("string"), F.lit(":"), F.when(at == 0, band).otherwise(turned))
+    return rows.select("hash", "words", signature.alias("signature"))
 
 
 def similar_hash_pairs(left: DataFrame, right: DataFrame, minimum: float, digits: int) -> DataFrame:
@@ -192,14 +215,18 @@ def similar_hash_pairs(left: DataFrame, right: DataFrame, minimum: float, digits
     Exact multi-index join: with d differing bits in d // 3 + 1 bands one band differs in at most
     two bits, which one turned bit on either side makes equal.
     """
-    differing = max(d for d in range(digits * 4 + 1) if 1 - d / (digits * 4) >= minimum)
-    l = _bit_signatures(left.select("hash").where(F.length("hash") == digits).distinct(), digits, differing)
-    r = _bit_signatures(right.select("hash").where(F.length("hash") == digits).distinct(), digits, differing)
-    likeness = bit_similarity(F.col("l.hash"), F.col("r.hash"), digits)
+    bits = digits * 4
+    differing = max(d for d in range(bits + 1) if 1 - d / bits >= minimum)
+    l = _bit_signatures(_with_words(left, digits), digits, differing).alias("l")
+    r = _bit_signatures(_with_words(right, digits), digits, differing).alias("r")
+    distance = _unequal_bits(digits)
     return (
-        l.alias("l")
-        .join(r.alias("r"), (F.col("l.signature") == F.col("r.signature")) & (likeness >= minimum))
-        .select(F.col("l.hash").alias("hash"), F.col("r.hash").alias("other"), likeness.alias("similarity"))
+        l.join(r, (F.col("l.signature") == F.col("r.signature")) & (distance <= differing))
+        .select(
+            F.col("l.hash").alias("hash"),
+            F.col("r.hash").alias("other"),
+            (1 - distance / F.lit(float(bits))).alias("similarity"),
+        )
         .distinct()
     )
 
