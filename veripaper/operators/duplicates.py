@@ -44,24 +44,22 @@ def _gram_list(grams: Column) -> Column:
     )
 
 
-def _prefixes(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    """Each set with its rarest grams, as many as two sets of the wanted likeness must share one of."""
-    grams = sets.select("grams", F.explode(_gram_list(F.col("grams"))).alias("gram"))
+def _indexed(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
+    """Each set once per gram of its prefix, with its grams in order of rarity.
+
+    The prefix are the rarest grams, as many as two sets of the wanted likeness must share one of.
+    """
+    grams = sets.select("grams", "first", F.explode(_gram_list(F.col("grams"))).alias("gram"))
     ranked = (
         grams.join(frequency, "gram")
-        .groupBy("grams")
+        .groupBy("grams", "first")
         .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
+        .select("grams", "first", F.col("ranked.gram").alias("ordered"))
     )
-    size = F.size("ranked")
+    size = F.size("ordered")
     keep = (size - F.ceil(size * F.lit(threshold)) + 1).cast("int")
-    prefix = F.transform(F.slice("ranked", F.lit(1), keep), lambda r: r["gram"])
-    return ranked.select("grams", prefix.alias("prefix"))
-
-
-def _indexed(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:
-    return sets.join(_prefixes(sets, frequency, threshold), "grams").select(
-        "grams", "first", "prefix", F.explode("prefix").alias("gram")
-    )
+    prefixed = ranked.withColumn("prefix", F.slice("ordered", F.lit(1), keep))
+    return prefixed.withColumn("gram", F.explode("prefix"))
 
 
 def _gram_frequency(*sets: DataFrame) -> DataFrame:
@@ -83,15 +81,16 @@ def _similar_set_pairs(left: DataFrame, right: DataFrame, threshold: float, also
     frequency = _gram_frequency(left) if left is right else _gram_frequency(left, right)
     l = _indexed(left, frequency, threshold).alias("l")
     r = _indexed(right, frequency, threshold).alias("r")
+    # Cheap conditions first: they are tried in this order.
     comparable = (
         (F.col("l.gram") == F.col("r.gram"))
-        & (F.length("l.grams") >= F.length("r.grams") * F.lit(threshold))
-        & (F.length("r.grams") >= F.length("l.grams") * F.lit(threshold))
+        & (F.size("l.ordered") >= F.size("r.ordered") * F.lit(threshold))
+        & (F.size("r.ordered") >= F.size("l.ordered") * F.lit(threshold))
         & (F.col("l.gram") == F.get(F.array_intersect("l.prefix", "r.prefix"), F.lit(0)))
     )
     if also is not None:
-        comparable = comparable & also
-    likeness = jaccard(_gram_list(F.col("l.grams")), _gram_list(F.col("r.grams")))
+        comparable = also & comparable
+    likeness = jaccard(F.col("l.ordered"), F.col("r.ordered"))
     return (
         l.join(r, comparable & (likeness > threshold))
         .select(

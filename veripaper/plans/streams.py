@@ -101,7 +101,7 @@ def quota_labels_hourly(spark: SparkSession, folder: str) -> DataFrame:
 def quota_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = read_stream(spark, folder, "events")
     requests = events.selectExpr("event_id as req_id", "user_id as client_key", "ts")
-    labelled = run_to_table(Q.quota_stream(requests, limit=3, window_seconds=168 * 3600), spark)
+    labelled = run_to_table(Q.quota_stream(requests, limit=3, window_seconds=168 * 3600, expire=False), spark)
     return labelled.select("req_id", "allowed", F.col("remaining").cast("bigint").alias("remaining"))
 
 

@@ -148,11 +148,12 @@ def live_quotas(snapshot_windows: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def quota_stream(
-    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS
+    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, expire: bool = True
 ) -> DataFrame:
     """Streaming form: ``(req_id, client_key, ts, allowed, remaining)`` per request.
 
-    The state of a key is its reset time and count; it goes when no request came for a window.
+    The state of a key is its reset time and count; with ``expire`` it goes when no request came
+    for a window. A run over available data only must not expire: its timers would keep it going.
     Requests of a key are taken in order of time within a micro-batch; micro-batches must arrive
     in order.
     """
@@ -172,7 +173,8 @@ def quota_stream(
             used = min(used + 1, limit)
             remaining.append(limit - used)
         state.update((reset, used))
-        state.setTimeoutDuration(window_seconds * 1000)
+        if expire:
+            state.setTimeoutDuration(window_seconds * 1000)
         yield pd.DataFrame(
             {
                 "req_id": rows["req_id"],
@@ -190,5 +192,5 @@ def quota_stream(
         f"req_id {kinds['req_id']}, client_key {kinds['client_key']}, ts {kinds['ts']}, allowed boolean, remaining int",
         "reset bigint, used int",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout,
     )
