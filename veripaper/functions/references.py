@@ -14,17 +14,23 @@ def _parts(value: Column, confidence: Column, name: str) -> Column:
 
 
 def _cascade(name: str, steps: list[tuple[Column, str]]) -> Column:
-    """First non-null step with its confidence; nothing found counts as low."""
-    value = F.coalesce(*[v for v, _ in steps])
-    confidence = F.lit("low")
-    for step, label in reversed(steps):
-        confidence = F.when(step.isNotNull(), F.lit(label)).otherwise(confidence)
-    return _parts(value, confidence, name)
+    """First non-null step with its confidence; nothing found counts as low.
+
+    Later steps are worked out only where the earlier ones fail, each of them once.
+    """
+
+    def found(value: Column, label: str) -> Column:
+        one = F.array(_parts(value, F.lit(label), name))
+        return F.get(F.filter(one, lambda s: s[name].isNotNull()), F.lit(0))
+
+    nothing = F.struct(F.lit(None).alias(name), F.lit("low").alias("confidence"))
+    return F.coalesce(*[found(value, label) for value, label in steps], nothing)
 
 
 def _long_enough(text: Column, pattern: str, minimum: int = 15) -> Column:
-    found = matched(text, pattern)
-    return F.when(F.length(found) >= minimum, strip(found))
+    return let(
+        matched(text, pattern), lambda found: F.when(F.length(found) >= minimum, strip(found))
+    )
 
 
 def _without_leading_names(title: Column) -> Column:

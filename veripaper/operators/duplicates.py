@@ -38,10 +38,13 @@ def _title_sets(papers: DataFrame) -> DataFrame:
 
 
 def _gram_list(grams: Column) -> Column:
-    """Distinct 3-grams back from their concatenation."""
-    return F.transform(
-        F.sequence(F.lit(1), F.length(grams) - 2, F.lit(3)), lambda i: F.substring(grams, i, F.lit(3))
-    )
+    """Distinct 3-grams back from their concatenation, as numbers of three 21-bit characters."""
+
+    def number(at: Column) -> Column:
+        code = [F.ascii(F.substring(grams, at + i, F.lit(1))).cast("bigint") for i in range(3)]
+        return F.shiftleft(code[0], 42) + F.shiftleft(code[1], 21) + code[2]
+
+    return F.transform(F.sequence(F.lit(1), F.length(grams) - 2, F.lit(3)), number)
 
 
 def _indexed(sets: DataFrame, frequency: DataFrame, threshold: float) -> DataFrame:

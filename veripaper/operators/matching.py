@@ -66,23 +66,29 @@ def title_candidates(
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
     )
     need = F.ceil(F.size("ranked") * F.lit(share)).cast("int")
+    # Words travel as numbers within the join: equal hashes of unequal words only cost a check.
     probe = ranked.select(
         F.col("words").alias("q_words"),
         need.alias("need"),
-        F.transform(F.slice("ranked", F.lit(1), F.size("ranked") - need + 1), lambda r: r["word"]).alias("prefix"),
-    ).withColumn("word", F.explode("prefix"))
-    index = sets.select(
-        F.col("words").alias("c_words"), "set_id", F.explode(F.split("words", " ")).alias("word")
+        F.transform("ranked", lambda r: F.xxhash64(r["word"])).alias("q_codes"),
     )
+    probe = probe.withColumn("prefix", F.slice("q_codes", F.lit(1), F.size("q_codes") - F.col("need") + 1))
+    probe = probe.withColumn("code", F.explode("prefix"))
+    index = sets.select(
+        F.col("words").alias("c_words"),
+        "set_id",
+        F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("c_codes"),
+    ).withColumn("code", F.explode("c_codes"))
     q, c = probe.alias("q"), index.alias("c")
-    c_list = F.split("c.c_words", " ")
-    overlap = F.size(F.array_intersect(F.split("q.q_words", " "), c_list))
-    hits = q.join(
+    near = q.join(
         c,
-        (F.col("q.word") == F.col("c.word"))
-        & (F.col("q.word") == F.get(F.array_intersect("q.prefix", c_list), F.lit(0)))
-        & (overlap >= F.col("q.need")),
-    ).select("q_words", "c_words", "set_id", overlap.alias("overlap"))
+        (F.col("q.code") == F.col("c.code"))
+        & (F.size("c.c_codes") >= F.col("q.need"))
+        & (F.col("q.code") == F.get(F.array_intersect("q.prefix", "c.c_codes"), F.lit(0)))
+        & (F.size(F.array_intersect("q.q_codes", "c.c_codes")) >= F.col("q.need")),
+    )
+    overlap = F.size(F.array_intersect(F.split("q_words", " "), F.split("c_words", " ")))
+    hits = near.select("q_words", "c_words", "set_id", "need", overlap.alias("overlap")).where("overlap >= need")
     best_sets = W.partitionBy("q_words").orderBy(F.desc("overlap"), "set_id")
     top_sets = hits.withColumn("_r", F.row_number().over(best_sets)).where(F.col("_r") <= k)
     best_rows = W.partitionBy("q_words").orderBy(F.desc("overlap"), "cat_id")
