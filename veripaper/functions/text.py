@@ -16,7 +16,7 @@ def matched(text: Column, pattern: str, group: int = 1) -> Column:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` worked out once per row, also inside inner lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
 def squeeze(text: Column) -> Column:
