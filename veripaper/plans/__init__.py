@@ -4,7 +4,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-AREAS = ["papers", "references", "citations", "diagrams", "listings", "documents", "streams"]
+AREAS = ["papers", "references", "citations", "diagrams", "listings", "documents", "streams", "records"]
 
 
 def _load() -> None:
