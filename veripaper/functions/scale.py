@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,3 +48,51 @@ def salted_join(
         salt, F.explode(F.array(*[F.lit(i) for i in range(salts)]))
     )
     return salted.join(repeated, [*keys, salt], how).drop(salt)
+
+
+Columns = dict[str, np.ndarray]
+
+
+def map_groups(
+    df: DataFrame, keys: list[str], order: list[str], work: Callable[[Columns], dict[str, list]], schema: str
+) -> DataFrame:
+    """``work`` on the columns of every group of ``keys``, rows sorted by ``order``.
+
+    Spark partitions by the keys and sorts; a task walks its partition batch by batch and holds
+    one group at most beside the batch. Many small groups share a batch, which a grouped map
+    would start one by one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pending: pd.DataFrame | None = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            rows = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
+            starts = _group_starts(rows, keys)
+            pending = rows.iloc[starts[-1]:]
+            if len(starts) > 1:
+                yield _worked(rows.iloc[: starts[-1]], starts[:-1], work)
+        if pending is not None:
+            yield _worked(pending, np.array([0]), work)
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return placed.mapInPandas(run, schema)
+
+
+def _group_starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    changed = np.zeros(len(rows), dtype=bool)
+    changed[0] = True
+    for key in keys:
+        values = rows[key].to_numpy()
+        changed[1:] |= values[1:] != values[:-1]
+    return np.flatnonzero(changed)
+
+
+def _worked(rows: pd.DataFrame, starts: np.ndarray, work: Callable[[Columns], dict[str, list]]) -> pd.DataFrame:
+    columns = {name: rows[name].to_numpy() for name in rows.columns}
+    out: dict[str, list] = {}
+    for begin, end in zip(starts, [*starts[1:], len(rows)]):
+        for name, values in work({n: v[begin:end] for n, v in columns.items()}).items():
+            out.setdefault(name, []).extend(values)
+    return pd.DataFrame(out)

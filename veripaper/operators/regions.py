@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scale import Columns, map_groups
+
 def _width() -> Column:
     return F.col("x1") - F.col("x0")
 
@@ -158,14 +159,15 @@ def merge_regions(regions: DataFrame, gap: float = 50.0) -> DataFrame:
     Growth depends on what was taken in before, so that a page is worked on as one group.
     """
 
-    def per_page(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("region_id")
-        boxes = _grow(page[["x0", "y0", "x1", "y1"]].to_numpy(dtype=float), gap)
-        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1"])
-        out.insert(0, "region_id", np.arange(len(out)))
-        out.insert(0, "page", page["page"].iloc[0])
-        out.insert(0, "doc_id", page["doc_id"].iloc[0])
-        return out
+    def per_page(page: Columns) -> dict[str, list]:
+        boxes = _grow(np.column_stack([page[c] for c in ("x0", "y0", "x1", "y1")]).astype(float), gap)
+        n = len(boxes)
+        return {
+            "doc_id": [page["doc_id"][0]] * n,
+            "page": [page["page"][0]] * n,
+            "region_id": list(range(n)),
+            **{c: list(boxes[:, i]) for i, c in enumerate(("x0", "y0", "x1", "y1"))},
+        }
 
     kinds = dict(regions.dtypes)
     schema = (
@@ -173,4 +175,4 @@ def merge_regions(regions: DataFrame, gap: float = 50.0) -> DataFrame:
         "x0 double, y0 double, x1 double, y1 double"
     )
     boxes = regions.select("doc_id", "page", "region_id", "x0", "y0", "x1", "y1")
-    return boxes.groupBy("doc_id", "page").applyInPandas(per_page, schema)
+    return map_groups(boxes, ["doc_id", "page"], ["region_id"], per_page, schema)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scale import Columns, map_groups
+
 LIMIT = 10
 WINDOW_SECONDS = 3600
 _MICROS = 1_000_000
@@ -38,9 +40,9 @@ def _exits(times: np.ndarray, entries: np.ndarray, window: int) -> np.ndarray:
 
 
 def _block_function(block_micros: int, window: int):
-    def summarize(rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(rows["micros"].to_numpy())
-        block = int(rows["block"].iloc[0])
+    def summarize(rows: Columns) -> dict[str, list]:
+        times = rows["micros"]
+        block = int(rows["block"][0])
         reach = block * block_micros + window
         # A window opened before the block resets before ``reach``: only these can open the block.
         before = np.concatenate(([_NEVER], times))
@@ -51,43 +53,43 @@ def _block_function(block_micros: int, window: int):
         exits[opens] = _exits(times, entries, window)
         changed = np.concatenate(([True], exits[1:] != exits[:-1]))
         kept = int(changed.sum())
-        return pd.DataFrame(
-            {
-                "client_key": [rows["client_key"].iloc[0]] * kept,
-                "block": [block] * kept,
-                "low": lows[changed],
-                "leaves": exits[changed],
-            }
-        )
+        return {
+            "client_key": [rows["client_key"][0]] * kept,
+            "block": [block] * kept,
+            "low": lows[changed].tolist(),
+            "leaves": exits[changed].tolist(),
+        }
 
     return summarize
 
 
-def _chain(pieces: pd.DataFrame) -> pd.DataFrame:
+def _chain(pieces: Columns) -> dict[str, list]:
     """Reset time that reaches each block of a key."""
-    pieces = pieces.sort_values(["block", "low"])
-    blocks, reached = [], []
+    block, low, leaves = pieces["block"], pieces["low"], pieces["leaves"]
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    reached = []
     reset = _NEVER
-    for block, rows in pieces.groupby("block", sort=True):
-        blocks.append(block)
+    for begin, end in zip(starts, [*starts[1:], len(block)]):
         reached.append(reset)
-        leaves = rows["leaves"].to_numpy()[np.searchsorted(rows["low"].to_numpy(), reset, side="right") - 1]
-        reset = reset if leaves == _NEVER else int(leaves)
-    return pd.DataFrame({"client_key": pieces["client_key"].iloc[0], "block": blocks, "reached": reached})
+        exit_ = int(leaves[begin + np.searchsorted(low[begin:end], reset, side="right") - 1])
+        reset = reset if exit_ == _NEVER else exit_
+    return {
+        "client_key": [pieces["client_key"][0]] * len(starts),
+        "block": block[starts].tolist(),
+        "reached": reached,
+    }
 
 
 def _window_starts(window: int):
-    def place(rows: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(rows["micros"].to_numpy())
-        reached = int(rows["reached"].iloc[0])
+    def place(rows: Columns) -> dict[str, list]:
+        times = rows["micros"]
+        reached = int(rows["reached"][0])
         starts = [] if reached == _NEVER else [reached - window]
         at = int(np.searchsorted(times, reached, side="right"))
         while at < len(times):
             starts.append(int(times[at]))
             at = int(np.searchsorted(times, times[at] + window, side="right"))
-        return pd.DataFrame(
-            {"client_key": [rows["client_key"].iloc[0]], "block": [int(rows["block"].iloc[0])], "starts": [starts]}
-        )
+        return {"client_key": [rows["client_key"][0]], "block": [int(rows["block"][0])], "starts": [starts]}
 
     return place
 
@@ -106,16 +108,17 @@ def quota_labels(
         "block", F.floor(F.col("micros") / F.lit(block_micros)).cast("bigint")
     )
     moments = timed.select("client_key", "block", "micros").distinct()
-    pieces = moments.groupBy("client_key", "block").applyInPandas(
-        _block_function(block_micros, window), f"client_key {kind}, block bigint, low bigint, leaves bigint"
+    by_block = ["client_key", "block"]
+    pieces = map_groups(
+        moments, by_block, ["micros"], _block_function(block_micros, window),
+        f"client_key {kind}, block bigint, low bigint, leaves bigint",
     )
-    reached = pieces.groupBy("client_key").applyInPandas(
-        _chain, f"client_key {kind}, block bigint, reached bigint"
+    reached = map_groups(
+        pieces, ["client_key"], ["block", "low"], _chain, f"client_key {kind}, block bigint, reached bigint"
     )
-    starts = (
-        moments.join(reached, ["client_key", "block"])
-        .groupBy("client_key", "block")
-        .applyInPandas(_window_starts(window), f"client_key {kind}, block bigint, starts array<bigint>")
+    starts = map_groups(
+        moments.join(reached, by_block), by_block, ["micros"], _window_starts(window),
+        f"client_key {kind}, block bigint, starts array<bigint>",
     )
     start = F.element_at(F.filter("starts", lambda s: s <= F.col("micros")), -1)
     placed = timed.join(starts, ["client_key", "block"]).withColumn("start", start).drop("starts", "block")
