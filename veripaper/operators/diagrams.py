@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.hashes import hash_words
 from ..functions.scale import salted_join
+from ..functions.text import let
 
 
 def duplicate_groups(images: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -158,7 +159,8 @@ def suspicious_diagrams(
         .agg(F.array_sort(F.collect_list(F.struct("match", F.col("paper_id").alias("of_paper")))).alias("options"))
     )
     matched = salted_join(hashed, options, ["hash"], [F.col("diagram_id")], how="inner")
-    chosen = F.get(F.filter("options", lambda o: o["of_paper"] != F.col("paper_id")), F.lit(0))["match"]
+    first, second = F.get("options", F.lit(0)), F.get("options", F.lit(1))
+    chosen = F.when(first["of_paper"] != F.col("paper_id"), first["match"]).otherwise(second["match"])
     return (
         matched.withColumn("chosen", chosen)
         .where("chosen is not null")
@@ -275,7 +277,10 @@ def hash_match_summary(
         stored.withColumnRenamed("stored_hash", "hash"), ["file_path", "hash"], "left"
     )
     joined = salted_join(files, per_hash, ["hash"], [F.col("file_path")], how="inner")
-    others = F.filter("top", lambda t: t["file_path"] != F.col("file_path"))
+    others = let(
+        F.struct("top", "file_path"),
+        lambda s: F.filter(s["top"], lambda t: t["file_path"] != s["file_path"]),
+    )
     return (
         joined.withColumn("n_matches", F.col("n_files") - F.coalesce("is_stored", F.lit(0)))
         .where("n_matches > 0")

@@ -141,7 +141,13 @@ def score_hits(hits: DataFrame, keywords: DataFrame, texts: DataFrame, above: fl
     known = keyword_lists(keywords).join(texts.select("image_id", ocr_words.alias("ocr_words")), "image_id")
     combined = F.concat_ws(" ", F.lower(F.coalesce("title", F.lit(""))), F.lower(F.coalesce("snippet", F.lit(""))))
     rows = hits.join(known, "image_id").withColumn("combined", combined)
-    found = rows.withColumn("matched", F.filter("keywords", lambda w: F.contains(F.col("combined"), F.lower(w))))
+    # Bound as one value: a filter on it may move into the join, where inner lambdas must not
+    # reach for columns of the other side.
+    matched = let(
+        F.struct("keywords", "combined"),
+        lambda s: F.filter(s["keywords"], lambda w: F.contains(s["combined"], F.lower(w))),
+    )
+    found = rows.withColumn("matched", matched)
     keyword_share = F.size("matched") / F.greatest(F.size("keywords"), F.lit(1))
     common = F.size(F.array_intersect("ocr_words", F.split("combined", r"\s+")))
     word_share = common / F.greatest(F.size("ocr_words"), F.lit(1))
