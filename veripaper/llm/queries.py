@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .language_id import labelled_samples, language_id
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +41,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 )
 def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id(docs, labelled_samples(docs))
