@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
 from .shared import table
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_array_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,3 +49,52 @@ def op1_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return language_id(docs, labelled_samples(docs))
+
+
+@query(
+    "op3_substring_dedup",
+    """
+    with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+               from documents),
+         p as (select doc_id, unnest(range(1, len(w) - 48)) as s from d),
+         k as (select p.doc_id, p.s, md5(array_to_string(w[p.s : p.s + 49], ' ')) as h from p join d using (doc_id)),
+         f as (select *, min(doc_id) over (partition by h) as first_doc from k),
+         c as (select distinct doc_id, unnest(range(s, s + 50)) as i from f where first_doc < doc_id),
+         u as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+         r as (select doc_id, array_to_string(list(word order by i), ' ') as kept, count(*) as n_kept
+               from u anti join c using (doc_id, i) group by doc_id)
+    select doc_id, len(w) as n_words, len(w) - coalesce(n_kept, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+    from d left join r using (doc_id)
+    """,
+)
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op5_suffix_array_dedup",
+    """
+    with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+         p as (select doc_id, unnest(range(0, length(x) // 2 - 99)) as s, x from d),
+         k as (select doc_id, s, md5(substring(x, (2 * s + 1)::bigint, 200)) as h from p),
+         f as (select doc_id, s, row_number() over (partition by h order by doc_id, s) as nth from k),
+         j as (select doc_id, s, lag(s) over (partition by doc_id order by s) as before from f where nth > 1),
+         o as (select doc_id, s, sum(case when before is null or s > before + 100 then 1 else 0 end)
+                      over (partition by doc_id order by s) as run from j),
+         r as (select doc_id, run, min(s) as a, max(s) + 100 as b from o group by doc_id, run),
+         g as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as c from r),
+         t as (select doc_id, list(substring(x, (2 * c + 1)::bigint, (2 * (a - c))::bigint) order by a) as pieces,
+                      sum(b - a) as n_removed, count(*) as n_spans, max(b) as tail
+               from g join d using (doc_id) group by doc_id)
+    select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+           sha256(unhex(case when pieces is null then x
+                        else array_to_string(pieces, '') || substring(x, (2 * tail + 1)::bigint) end)) as kept_sha256
+    from d left join t using (doc_id)
+    """,
+)
+def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_array_dedup(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
+    )
