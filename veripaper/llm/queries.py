@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
+from .near_dedup import near_dedup
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -98,3 +99,26 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256")
     )
+
+
+@query(
+    "op10_minhash_near_dedup",
+    """
+    with recursive w as (
+        select doc_id, list_filter(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+            lambda x: x <> '') as w from documents),
+    p as (select doc_id, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as i from w),
+    s as (select distinct doc_id, md5(array_to_string(w[i : i + 4], ' ') || case when len(w) < 5 then ' ' else '' end) as h from p),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    x as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+    e as (select a, b from x join n u on u.doc_id = a join n v on v.doc_id = b where 100 * c >= 75 * (u.n + v.n - c)),
+    l as (select a, b from e union all select b, a from e),
+    r as (select doc_id as v, doc_id as c from documents union select l.b, r.c from r join l on l.a = r.v),
+    m as (select v, min(c) as component_id from r group by v)
+    select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, d.doc_id = m.component_id as kept
+    from documents d left join n using (doc_id) join m on m.v = d.doc_id
+    """,
+)
+def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup(table(spark, folder, "documents"))
