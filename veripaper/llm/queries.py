@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
 from .near_dedup import near_dedup
+from .packing import packed
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -122,3 +124,8 @@ def op5_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup(table(spark, folder, "documents"))
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
