@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
 from .near_dedup import near_dedup
 from .packing import packed
+from .sentencepiece_bpe import sentencepiece_encoded
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
@@ -31,6 +33,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
+
+
 @query(
     "op1_exact_dedup",
     """
@@ -129,3 +134,10 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_packing")
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepiece_encoded(
+        table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False
+    )
