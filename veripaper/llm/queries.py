@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import packed
 from .sentencepiece_bpe import sentencepiece_encoded
@@ -141,3 +142,29 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return sentencepiece_encoded(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False
     )
+
+
+@query(
+    "op6_line_dedup",
+    """
+    with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as raw from documents),
+    l as (select doc_id, unnest(range(0, len(raw))) as n, unnest(raw) as original,
+                 unnest(list_transform(raw, lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))) as t
+          from d),
+    c as (select t, min((doc_id, n)) as first, strlen(t) as size from l where t <> '' group by t),
+    p as (select a.t as t, a.first as own, b.first as other from c a join c b
+          on a.size >= 20 and b.size between greatest(20, a.size - 2) and a.size + 2 and a.t <> b.t and levenshtein(a.t, b.t) <= 2),
+    near as (select own, min(other) as least, count(*) as links from p group by own),
+    m as (select l.doc_id, l.n, l.original, l.t, c.first <> (l.doc_id, l.n) as copy,
+                 case when c.first = (l.doc_id, l.n) then coalesce(links, 0) else 0 end as links,
+                 c.first <> (l.doc_id, l.n) or coalesce(least < c.first, false) as gone
+          from l left join c using (t) left join near on near.own = c.first)
+    select doc_id, count(*) filter (t <> '') as n_lines, count(*) filter (t <> '' and copy) as n_copies,
+           count(*) filter (t <> '' and gone) as n_removed, coalesce(sum(links) filter (t <> ''), 0)::bigint as n_links,
+           sha256(coalesce(string_agg(original, chr(10) order by n) filter (t = '' or not gone), '')) as kept_sha256
+    from m group by doc_id
+    """,
+)
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_copies", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
