@@ -294,13 +294,12 @@ def repeated_windows(docs: DataFrame, units: Units, own_repeats: bool) -> DataFr
     place = F.struct("doc", "start")
     key = ["anchor", "content", "check"]
     classes = runs.groupBy(*key).agg(F.min(place).alias("first"))
-    kinds = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
+    kinds = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("open"))
+    ranked = classes.join(kinds, "anchor")
     first = F.col("first") if own_repeats else F.col("first.doc")
     own = place if own_repeats else F.col("doc")
     placed = written(
-        runs.join(classes, key).join(kinds.where("kinds > 1"), "anchor", "left").select(
-            "doc", "start", "size", "content", (own != first).alias("later"), F.col("kinds").isNotNull().alias("open")
-        ).where("later or open")
+        runs.join(ranked, key).select("doc", "start", "size", "content", (own != first).alias("later"), "open").where("later or open")
     )
     covered = placed.where("later").select("doc", "start", "size")
     open_runs = placed.where("not later and open")
