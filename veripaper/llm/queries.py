@@ -18,6 +18,7 @@ from .sentencepiece_bpe import sentencepiece_encoded
 from .shared import table
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_array_dedup
+from .vector_search import top_k_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -168,3 +169,19 @@ def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = line_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_lines", "n_copies", "n_removed", "n_links", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op4_topk_search",
+    """
+    with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+               where vec_id is not null and embedding is not null
+                 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+          from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
+    r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+    select query_id, rank, vec_id, score from r where rank <= 10
+    """,
+)
+def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k_search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
