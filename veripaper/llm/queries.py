@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_conversations, with_quotations
 from .exact_dedup import exact_dedup
 from .language_id import labelled_samples, language_id
 from .line_dedup import line_dedup
@@ -185,3 +186,41 @@ def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
     return top_k_search(table(spark, folder, "embeddings"), F.col("id") % 100 == 0)
+
+
+@query(
+    "op7_chat_formatting",
+    r"""
+    with recursive m as (
+        select c.conv_id, c.turn, c.role,
+               case when c.turn % 3 = 2 and b.conv_id is not null
+                    then '> > ' || replace(coalesce(b.text, ''), chr(10), chr(10) || '> > ') || chr(10) else '' end
+               || case when a.conv_id is not null
+                       then '> ' || replace(coalesce(a.text, ''), chr(10), chr(10) || '> ') || chr(10) else '' end
+               || coalesce(c.text, '') as text
+        from conversations c left join conversations a on a.conv_id = c.conv_id and a.turn = c.turn - 1
+                             left join conversations b on b.conv_id = c.conv_id and b.turn = c.turn - 2),
+    r as (select conv_id, turn, unnest(range(0, len(string_split(text, chr(10))))) as line, unnest(string_split(text, chr(10))) as raw from m),
+    l as (select conv_id, turn, line, len(regexp_replace(regexp_extract(raw, '^([ \t]*>)+'), '[^>]', '', 'g')) as level,
+                 lower(trim(regexp_replace(regexp_replace(raw, '^([ \t]*>)+', ''), '[ \t\n\v\f\r]+', ' ', 'g'))) as body from r),
+    s as (select *, (body = '' or coalesce(lag(level) over w, -1) <> level)::int as opens from l window w as (partition by conv_id, turn order by line)),
+    n as (select *, sum(opens) over (partition by conv_id, turn order by line) as run from s),
+    u as (select distinct conv_id, turn, level, body from (
+              select conv_id, turn, level, string_agg(body, ' ' order by line) as body from n where body <> '' group by conv_id, turn, level, run
+              union all select conv_id, turn, level, body from n where body <> '')),
+    o as (select q.conv_id, q.turn, q.level, q.body, max(w.turn) as origin
+          from u q left join u w on w.level = 0 and w.conv_id = q.conv_id and w.body = q.body and w.turn < q.turn
+          where q.level > 0 group by all),
+    k as (select conv_id, turn, level, origin, sum(length(body)) as size from o where origin is not null group by all),
+    p as (select conv_id, turn, max_by(origin, (-level, size, origin)) as reply_to from k group by all),
+    c as (select conv_id, turn, count(*) as n_quotes, count(origin) as n_linked from o group by all),
+    t as (select m.conv_id, m.turn, m.turn as thread, 0 as depth from m left join p using (conv_id, turn) where reply_to is null
+          union all select p.conv_id, p.turn, t.thread, t.depth + 1 from p join t on t.conv_id = p.conv_id and t.turn = p.reply_to)
+    select m.conv_id, m.turn, m.role, p.reply_to, t.thread, t.depth::bigint as depth, coalesce(c.n_quotes, 0) as n_quotes,
+           coalesce(c.n_linked, 0) as n_linked, trim(coalesce(d.text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as message
+    from m join conversations d using (conv_id, turn) left join p using (conv_id, turn) left join c using (conv_id, turn)
+         join t using (conv_id, turn)
+    """,
+)
+def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return format_conversations(with_quotations(table(spark, folder, "conversations")))
