@@ -9,7 +9,7 @@ ones branch again; independent trees repeat this until the recall is reached.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ TREES = 10
 #: Minwise tokens of a signature.
 TOKENS = 128
 #: Sets of a node that is compared exhaustively, and how often larger nodes branch.
-SMALL_NODE, LEVELS = 1000, 5
+SMALL_NODE, LEVELS = 1000, 3
 #: Estimates from which a pair is surely worth confirming, and below which it is not (three standard
 #: deviations of the estimate below the threshold).
 SURE, LEAST = 0.8, 0.63
@@ -135,23 +135,21 @@ def _leaves(sets: DataFrame, trees: int) -> DataFrame:
     """
     roots = [int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0]) for t in range(trees)]
     level = sets.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "key", "signature")
-    found: list[DataFrame] = []
+    leaves: DataFrame | None = None
     for depth in range(LEVELS + 1):
         rows = written(_children(level))
         nodes = rows.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
         ).where("n > 1")
-        nodes = nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node"))
-        last = depth == LEVELS
-        sized = written(rows.join(nodes.select("node", "n"), "node"))
-        found.append(sized if last else sized.where(F.col("n") <= SMALL_NODE))
-        large = sized.where(F.col("n") > SMALL_NODE)
-        if last or large.isEmpty():
+        nodes = written(nodes.groupBy("n", "x", "y").agg(F.min("node").alias("node")).select("node", "n"))
+        large = nodes.where(F.col("n") > SMALL_NODE)
+        last = depth == LEVELS or large.isEmpty()
+        done = rows.join(nodes if last else nodes.where(F.col("n") <= SMALL_NODE), "node")
+        leaves = done if leaves is None else leaves.unionByName(done)
+        if last:
             break
-        level = large.join(sets, "key").select("node", "key", "signature")
-    leaves = found[0]
-    for more in found[1:]:
-        leaves = leaves.unionByName(more)
+        level = rows.join(large.select("node"), "node").join(sets, "key").select("node", "key", "signature")
+    leaves = written(leaves)
     chunks = F.ceil(F.col("n") / SMALL_NODE).cast("int")
     small = leaves.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).alias("chunk"), F.lit(False).alias("hub"), "key")
     big = leaves.where(F.col("n") > SMALL_NODE).withColumn("chunks", chunks).withColumn("order", F.xxhash64("key", "node"))
@@ -186,72 +184,113 @@ def strongest_links(alike: np.ndarray, least: float) -> list[tuple[int, int]]:
     return edges
 
 
-def _node_pairs(rows: DataFrame, first_round: bool) -> DataFrame:
-    """Pairs ``a, b`` worth confirming, from ``rows (node, chunk, key, component, signature)``.
+def _by_node(rows: DataFrame, column: str, work: Callable[[np.ndarray, np.ndarray, list[bytes]], list[np.ndarray]], names: list[str]) -> DataFrame:
+    """``work(keys, components, values of column)`` on the distinct sets of every node and chunk, one in memory at a time."""
 
-    In the first round the strongest links only; later all pairs of unlike components that may reach the
-    threshold.
-    """
+    def one(part: pa.Table) -> pa.RecordBatch:
+        keys, own = np.unique(part.column("key").to_numpy(), return_index=True)
+        values = part.column(column).take(pa.array(own)).to_pylist()
+        found = work(keys, part.column("component").to_numpy()[own], values)
+        place = [pa.array(np.full(len(found[0]), part.column(c)[0].as_py()), part.schema.field(c).type) for c in ("node", "chunk")]
+        return pa.RecordBatch.from_arrays([*place, *map(pa.array, found)], names=["node", "chunk", *names])
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            node, chunk = rows.column("node").to_numpy(), rows.column("chunk").to_numpy()
+            edges = np.flatnonzero((np.diff(node) != 0) | (np.diff(chunk) != 0)) + 1
+            for a, b in zip([0, *edges[:-1]], edges):
+                if b > a + 1:
+                    yield one(rows.slice(int(a), int(b - a)))
+            held = rows.slice(int(edges[-1]) if len(edges) else 0)
+        if held is not None and held.num_rows > 1:
+            yield one(held)
+
+    placed = rows.select("node", "chunk", "key", "component", column).repartition("node", "chunk")
+    schema = "node long, chunk int, " + ", ".join(f"{n} long" for n in names)
+    return placed.sortWithinPartitions("node", "chunk").mapInArrow(nodes, schema)
 
-    def pairs_of(keys: np.ndarray, parts: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys, own = np.unique(keys, return_index=True)
-        parts, tokens = parts[own], tokens[own]
-        alike = _similarities(tokens)
-        if first_round:
-            edges = np.array(strongest_links(alike, SURE * TOKENS), np.int64).reshape(-1, 2)
-        else:
-            edges = np.argwhere(np.triu((alike >= LEAST * TOKENS) & (parts[:, None] != parts[None, :]), 1))
+
+def _strong_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs ``a, b``: in every node the strongest estimated links that hold it together."""
+
+    def work(keys: np.ndarray, parts: np.ndarray, tokens: list[bytes]) -> list[np.ndarray]:
+        alike = _similarities(np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS))
+        edges = np.array(strongest_links(alike, SURE * TOKENS), np.int64).reshape(-1, 2)
         a, b = keys[edges[:, 0]], keys[edges[:, 1]]
-        return np.minimum(a, b), np.maximum(a, b)
+        return [np.minimum(a, b), np.maximum(a, b)]
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _by_node(rows, "signature", work, ["a", "b"]).select("a", "b").distinct()
 
-        def out(rows: pa.Table, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-            part = rows.slice(begin, end - begin)
-            tokens = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            return pairs_of(part.column("key").to_numpy(), part.column("component").to_numpy(), tokens)
 
-        def groups(rows: pa.Table, final: bool) -> tuple[pa.RecordBatch | None, pa.Table]:
-            node, chunk = rows.column("node").to_numpy(), rows.column("chunk").to_numpy()
-            edges = np.flatnonzero((np.diff(node) != 0) | (np.diff(chunk) != 0)) + 1
-            edges = np.concatenate([[0], edges, [len(node)]]) if final else np.concatenate([[0], edges])
-            found = [out(rows, a, b) for a, b in zip(edges[:-1], edges[1:]) if b > a + 1]
-            rest = rows.slice(int(edges[-1]))
-            if not found:
-                return None, rest
-            columns = [pa.array(np.concatenate(x)) for x in zip(*found)]
-            return pa.RecordBatch.from_arrays(columns, names=["a", "b"]), rest
-
-        rest: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([rest, rows]) if rest is not None else rows
-            if rows.num_rows:
-                pairs, rest = groups(rows, False)
-                if pairs is not None:
-                    yield pairs
-        if rest is not None and rest.num_rows:
-            pairs, _ = groups(rest, True)
-            if pairs is not None:
-                yield pairs
+def _open_members(rows: DataFrame) -> DataFrame:
+    """``node, chunk, key, component``: sets that may reach the threshold with one of another component."""
 
-    placed = rows.select("node", "chunk", "key", "component", "signature").repartition("node", "chunk")
-    return placed.sortWithinPartitions("node", "chunk").mapInArrow(work, "a long, b long").distinct()
+    def work(keys: np.ndarray, parts: np.ndarray, tokens: list[bytes]) -> list[np.ndarray]:
+        alike = _similarities(np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS))
+        kept = ((alike >= LEAST * TOKENS) & (parts[:, None] != parts[None, :])).any(axis=1)
+        return [keys[kept], parts[kept]]
+
+    return _by_node(rows, "signature", work, ["key", "component"])
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of every two sets, by products of incidence matrices."""
+    names, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = counts > 1
+    column = np.cumsum(shared) - 1
+    own, at = own[shared[at]], column[at[shared[at]]]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for begin in range(0, int(shared.sum()), 1024):
+        a, b = np.searchsorted(at, [begin, begin + 1024])
+        part = np.zeros((len(sets), 1024), np.float32)
+        part[own[a:b], at[a:b] - begin] = 1
+        total += part @ part.T
+    total[np.diag_indices(len(sets))] = [len(x) for x in sets]
+    return total.astype(np.int64)
+
+
+def local_links(keys: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Links ``a, b`` of a node's sets, as few as join all components that the threshold joins."""
+    common = common_shingles(sets)
+    size = np.diagonal(common)
+    linked = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
+    _, group = np.unique(parts, return_inverse=True)
+    a, b = [], []
+    for i, j in np.argwhere(np.triu(linked & (group[:, None] != group[None, :]), 1)).tolist() if len(keys) else ():
+        if group[i] != group[j]:
+            group[group == group[j]] = group[i]
+            a.append(keys[i])
+            b.append(keys[j])
+    return [np.array(a, np.int64), np.array(b, np.int64)]
+
+
+def _exact_links(rows: DataFrame) -> DataFrame:
+    """Confirmed links between unlike components of every node, from full sets."""
+
+    def work(keys: np.ndarray, parts: np.ndarray, sets: list[bytes]) -> list[np.ndarray]:
+        return local_links(keys, parts, [np.frombuffer(x, np.uint64) for x in sets])
+
+    return _by_node(rows, "shingles", work, ["a", "b"]).select("a", "b").distinct()
 
 
 def _owner_key(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * U64(BASES[0]) ^ key.view(np.uint64))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets reach the threshold.
+def _full_sets(keys: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``key, shingles`` of the wanted sets, read again from their owners' texts.
 
-    Only sets that some pair needs are read again from the texts; which these are comes to the tasks as
-    bits of bounded size, and what slips through them is dropped by the join.
+    Which these are comes to the tasks as bits of bounded size; what slips through them is dropped by
+    the joins with this table.
     """
-    spark = pairs.sparkSession
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(sets.select("key", "owner"), "key")
-    needed = cut(needed)
+    spark = keys.sparkSession
+    needed = cut(keys.distinct().join(sets.select("key", "owner"), "key"))
     cells = cells_for(needed.count())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +313,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 names=["key", "shingles"],
             )
 
-    full = written(docs.mapInArrow(read, "key long, shingles binary").dropDuplicates(["key"]))
+    return written(docs.mapInArrow(read, "key long, shingles binary").dropDuplicates(["key"]))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets reach the threshold."""
+    full = _full_sets(pairs.select(F.explode(F.array("a", "b")).alias("key")), docs, sets)
     one = full.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
     two = full.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
 
@@ -309,7 +353,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves = written(_leaves(sets, trees))
     signed = sets.select("key", "signature")
     first = leaves.join(signed, "key").withColumn("component", F.col("key"))
-    links = cut(_confirmed(_node_pairs(first, True), slim, sets))
+    links = cut(_confirmed(cut(_strong_pairs(first)), slim, sets))
     parts = cut(components(links))
 
     placed = leaves.join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn(
@@ -324,9 +368,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "key", "component"
     )
     second = open_rows.select("node", "chunk", "key", "component").unionByName(everywhere).join(signed, "key")
-    pairs = written(_node_pairs(second, False))
-    if not pairs.isEmpty():
-        links = links.unionByName(cut(_confirmed(pairs, slim, sets)))
+    members = written(_open_members(second))
+    if not members.isEmpty():
+        full = _full_sets(members.select("key"), slim, sets)
+        links = cut(links.unionByName(_exact_links(members.join(full, "key"))))
         parts = cut(components(links))
 
     vertex = linked.select("doc", "key").join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn(
