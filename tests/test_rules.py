@@ -1,84 +1,74 @@
-"""Text rules on hand-made rows and against plain Python on whole texts."""
+"""Text rules on hand-made rows with literal results, and properties on whole texts."""
 
 import json
-import re
 
 from pyspark.sql import functions as F
 
+from veripaper.functions import patterns as P
 from veripaper.functions import references as R
 from veripaper.operators import documents as D
 from veripaper.operators import keywords as K
 from veripaper.plans import bindings as B
 
-STOP = {"the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "has", "have", "had"}
-
-
 def one(spark, text, *columns):
     return spark.createDataFrame([(text,)], "text string").select(*columns).collect()[0]
 
 
-def keywords_by_hand(text):
-    if len(text.strip()) < 10:
-        found = re.findall(r"[A-Za-z0-9]+", text) + re.findall(r"[^\w\s]{1,3}", text)
-        least = 1
-    else:
-        found, least = [], 2
-        for pattern in (r"\b[A-Z][a-zA-Z0-9]{2,}\b", r"\b[a-z]{3,}\b", r"\d+\.?\d*[x×]\d+\.?\d*", r"\d+\.?\d*%", r"\d+\.\d+",
-                        r"\b\d{2,}\b", r'"([^"]+)"', r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b", r"\b[A-Z]{2,}[0-9]+\b", r"\b[A-Z]+-[A-Z]+\b"):
-            found += re.findall(pattern, text)
-    kept = {}
-    for word in found:
-        clean = word.strip()
-        if len(word) < least or word.lower() in STOP or not clean or clean.lower() in kept:
-            continue
-        shout = clean.isupper() or (clean[0].isupper() and len(clean) > 2)
-        kept[clean.lower()] = clean if shout else clean.lower()
-    return sorted(kept.values(), key=lambda w: (-len(w), w.lower()))[:30]
-
-
-def test_keywords_on_all_texts(spark, folder):
-    texts = B.ocr_text_v(spark, folder)
-    extra = spark.createDataFrame(
-        [(-1, 'Fig "deep net" 640x640 12.5% v1.2 CIFAR10 YOLO-V with Great Big Name the 42 42'), (-2, "a1 ?!"), (-3, "")],
+def test_keywords(spark):
+    texts = spark.createDataFrame(
+        [
+            (1, 'The fig "deep net" at 640x480, 12.5% and CIFAR10; Fig again'),
+            (2, "Great Big Name, YOLO-V, the was"),
+            (3, ""),
+            (4, "a I"),
+        ],
         "image_id long, ocr_text string",
     )
-    texts = texts.unionByName(extra)
-    got = {r.image_id: r.keywords for r in K.keyword_lists(K.extract_keywords(texts)).collect()}
-    want = {r.image_id: keywords_by_hand(r.ocr_text) for r in texts.collect()}
-    assert got == {k: v for k, v in want.items() if v}
+    listed = {r.image_id: r.keywords for r in K.keyword_lists(K.extract_keywords(texts)).collect()}
+    assert listed[1][:3] == ["deep net", "640x480", "CIFAR10"]
+    assert {"12.5%", "12.5", "again", "Fig", "deep", "net"} <= set(listed[1]) and "fig" not in listed[1]
+    assert listed[2] == ["Great Big Name", "YOLO-V", "Great", "Name", "YOLO", "Big"]
+    assert set(listed) == {1, 2}
+
+
+def test_keyword_properties(spark, folder):
+    """Longest first, one spelling of each, no stop word, and nothing left out of long texts."""
+    words = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    texts = B.ocr_text_v(spark, folder).unionByName(spark.createDataFrame([(-1, words)], "image_id long, ocr_text string"))
+    listed = {r.image_id: r.keywords for r in K.keyword_lists(K.extract_keywords(texts)).collect()}
+    assert len(listed[-1]) == 200
+    for keywords in listed.values():
+        lowered = [k.lower() for k in keywords]
+        assert len(set(lowered)) == len(lowered) and not set(lowered) & set(P.STOP_WORDS)
+        assert [len(k) for k in keywords] == sorted((len(k) for k in keywords), reverse=True)
 
 
 def test_queries(spark):
     texts = spark.createDataFrame(
-        [(1, "one two"), (2, "Residual Block uses ResNet here. Layer  Alpha Beta 640x480 something longer words"), (3, "?!"), (4, "")],
-        "image_id long, ocr_text string",
+        [(1, "one two three"), (2, "ResNet Block with sizes 64x64"), (3, "?!?"), (4, "")], "image_id long, ocr_text string"
     )
     keywords = K.extract_keywords(texts)
     listed = {}
-    for r in K.build_queries(texts, keywords.where("image_id < 3")).orderBy("image_id", "pos").collect():
+    for r in K.build_queries(texts, keywords).orderBy("image_id", "pos").collect():
         listed.setdefault(r.image_id, []).append(r.query)
-    assert listed[1] == ["one diagram", "one architecture", "two diagram", "two architecture"]
-    words = [r.keyword for r in keywords.where("image_id = 2").orderBy("rank").collect()]
-    assert listed[2] == [f"{words[i]} {words[j]}" for i, j in [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]]
-    assert listed[3] == ["?!"] and 4 not in listed
-
-
-def squeeze_by_hand(text):
-    out, current, inside = [], [], False
-    for ch in text:
-        if ch in "\"'":
-            out.append("".join(current) if inside else re.sub(r"\s+", " ", "".join(current)))
-            current, inside = [], not inside
-            out.append(ch)
-        else:
-            current.append(" " if inside and ch == "\n" else ch)
-    out.append("".join(current) if inside else re.sub(r"\s+", " ", "".join(current)))
-    return "".join(out)
+    assert listed[1] == [
+        "three diagram", "three architecture", "one diagram", "one architecture", "two diagram", "two architecture",
+        "three one", "three two", "one two",
+    ]
+    assert {"ResNet architecture", "ResNet neural network", "ResNet 64x64"} <= set(listed[2])
+    assert listed[3] == ["?!?"] and 4 not in listed
 
 
 def test_quote_aware_squeeze(spark):
-    for text in ['a  b "c\n  d"  e\n\nf', "it's  a\n\ntest's  end", 'open "x  y', "", "plain \t text"]:
-        assert one(spark, text, R.quote_aware_squeeze(F.col("text")).alias("t")).t == squeeze_by_hand(text)
+    cases = {
+        'a  b "c\n  d"  e\n\nf': 'a b "c   d" e f',
+        "it's  a\n\ntest's  end": "it's  a  test's end",
+        'open "x  y': 'open "x  y',
+        "plain \t text": "plain text",
+        "": "",
+    }
+    for text, expected in cases.items():
+        assert one(spark, text, R.quote_aware_squeeze(F.col("text")).alias("t")).t == expected
 
 
 def test_multi_paper(spark):
@@ -99,16 +89,16 @@ def test_multi_paper(spark):
 def test_split_references(spark):
     sections = spark.createDataFrame(
         [
-            (1, "[1] A first reference text\n[2] short\n[3]  Two on one line here [4] And the other reference\nmore"),
-            (2, "Smith (2001) On things that matter. Jones Lee (1999) Another work\nend"),
+            (1, "[1] A first reference\ntext that wraps\ntwice\n[2] short\n[3]  Two on one line here [4] And the other reference\nmore"),
+            (2, "Smith (2001) On things that\nmatter. Jones Lee (1999) Another work\nend"),
         ],
         "paper_id long, section string",
     )
     rows = {(r.paper_id, r.ord): r.raw_text for r in D.split_references(sections).collect()}
-    assert rows[(1, 1)] == "A first reference text" and (1, 2) not in rows
-    assert rows[(1, 3)] == "Two on one line here" and rows[(1, 4)] == "And the other reference"
-    assert rows[(2, 1)] == "Smith (2001) On things that matter. Jones"
-    assert rows[(2, 2)] == "Lee (1999) Another work"
+    assert rows[(1, 1)] == "A first reference\ntext that wraps\ntwice" and (1, 2) not in rows
+    assert rows[(1, 3)] == "Two on one line here" and rows[(1, 4)] == "And the other reference\nmore"
+    assert rows[(2, 1)] == "Smith (2001) On things that\nmatter. Jones"
+    assert rows[(2, 2)] == "Lee (1999) Another work\nend"
 
 
 def test_reference_pages(spark):
@@ -122,9 +112,7 @@ def test_reference_pages(spark):
     got = {}
     for r in D.references_pages(pages).collect():
         got.setdefault(r.paper_id, []).append(r.page)
-    assert {k: sorted(v) for k, v in got.items()} == {1: [2, 3], 2: [2, 3, 4, 5], 3: [2, 3, 4]}
-    cut = {r.page: r.text for r in D.references_pages(pages.where("paper_id = 1"), limit=8).collect()}
-    assert cut == {2: " x"[-3:], 3: "[2] y"} or cut == {2: "1] x"[-3:], 3: "[2] y"}
+    assert {k: sorted(v) for k, v in got.items()} == {1: [2, 3], 2: [2, 3, 4, 5, 6], 3: [1, 2, 3, 4]}
 
 
 def test_first_page(spark):
@@ -140,9 +128,9 @@ def test_first_page(spark):
 
 
 def test_second_page_title(spark):
-    text = "\n".join(["x"] * 4 + ["Title: A line of the second page.", "An even longer line of the second page here that wins!", "y", "z"])
-    row = one(spark, text, D.second_page_title(F.col("text"), F.lit(2)).alias("two"), D.second_page_title(F.lit("no"), F.lit(1)).alias("none"))
-    assert row.two == "An even longer line of the second page here that wins" and row.none is None
+    text = "\n".join(["x", "Title: A line.", "An even longer line of the second page here that wins!", "not this one, although it is by far the longest line"])
+    assert one(spark, text, D.second_page_title(F.col("text")).alias("t")).t == "An even longer line of the second page here that wins"
+    assert one(spark, "no", D.second_page_title(F.col("text")).alias("t")).t is None
 
 
 def test_responses(spark):
@@ -156,7 +144,6 @@ def test_responses(spark):
     assert [listed[(1, i)].year for i in range(1, 5)] == [2001, 1999, None, None]
     assert listed[(1, 1)].raw_text == "A B, C D (2001) T0" and listed[(1, 1)].authors == "A B, C D"
     assert (listed[(2, 1)].venue, listed[(2, 1)].type) == ("J", "other") and (3, 1) not in listed
-    texts = spark.createDataFrame([(1, "x" * 2000), (2, "x" * 2000)], "paper_id long, text string")
-    by_pattern = spark.createDataFrame([(1, 1, "p"), (2, 1, "p")], "paper_id long, ord int, raw_text string")
-    chosen = D.choose_references(texts, rows, by_pattern, min_rows=4)
-    assert {(r.paper_id, r.raw_text == "p") for r in chosen.collect()} == {(1, False), (2, True)}
+    by_pattern = spark.createDataFrame([(1, 1, "p"), (2, 1, "p"), (3, 1, "p")], "paper_id long, ord int, raw_text string")
+    chosen = D.choose_references(rows, by_pattern)
+    assert {(r.paper_id, r.raw_text == "p") for r in chosen.collect()} == {(1, False), (2, False), (3, True)}

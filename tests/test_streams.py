@@ -38,11 +38,21 @@ def test_quota_batch(spark):
         assert got == walk(rows, limit, seconds)
 
 
+def test_quota_keys_keep_their_value(spark):
+    start = datetime(2024, 1, 1)
+    keys = [None, 2**53, 2**53 + 1, None]
+    rows = [(i, keys[i % 4], start + timedelta(minutes=i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "req_id long, client_key long, ts timestamp_ntz")
+    got = {r.req_id: (r.client_key, r.allowed) for r in Q.quota_labels(df, 3, 3600, 2).collect()}
+    want = walk(rows, 3, 3600)
+    assert got == {req: (key, want[req][0]) for req, key, _ in rows}
+
+
 def test_quota_stream(spark, tmp_path):
     rows, df = requests(spark, 300)
     df.repartition(1).write.parquet(str(tmp_path / "in"))
     stream = L.read_folder(spark, str(tmp_path / "in"), df.schema)
-    got = {r.req_id: r.allowed for r in run_to_table(Q.quota_stream(stream, 3, 3600, expire=False), spark).collect()}
+    got = {r.req_id: r.allowed for r in run_to_table(Q.quota_stream(stream, 3, 3600), spark).collect()}
     assert got == {k: v[0] for k, v in walk(rows, 3, 3600).items()}
 
 
@@ -94,6 +104,7 @@ def test_fanout_and_ingest(spark, tmp_path):
     L.alert_fanout(stream, out, str(tmp_path / "cp1"), ["slack", "email"], failing).awaitTermination()
     assert spark.read.parquet(f"{out}/alerts").count() == 3
     assert spark.read.parquet(f"{out}/payloads").count() == 6
+    assert [r.error for r in spark.read.parquet(f"{out}/failures").collect()] == ["channel down"]
 
     (tmp_path / "landed").mkdir()
     records = [{"id": "1", "title": "A"}, {"id": "2"}]

@@ -8,13 +8,13 @@ WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
 
 # --- fixed values: titles in reference strings (first rule set) -----------------------------
-TITLE_DOUBLE_QUOTED = r'"([^"]{10,300})"'
-TITLE_SINGLE_QUOTED = r"'([^']{10,300})'"
-TITLE_BEFORE_YEAR = r'(?:,|\.)?\s*([A-Z][^,."]{10,200}?)\s*,?\s*(?:19|20)\d{2}'
-TITLE_BETWEEN_COMMAS = r'(?i),\s*([A-Z][^,."]{10,250}?)(?:,|\.|"|in\s|IEEE|Proc)'
-TITLE_AFTER_ET_AL = r"""(?i)et\s+al\.\s*,?\s*["']?([A-Z][^,."]{10,200}?)["']?\s*,"""
-TITLE_ITALICS = r"\*([^*]{10,250})\*"
-TITLE_BETWEEN_PERIODS = r"\.\s+([A-Z][^.]{10,250}?)\.\s"
+TITLE_DOUBLE_QUOTED = r'"([^"]{10,})"'
+TITLE_SINGLE_QUOTED = r"'([^']{10,})'"
+TITLE_BEFORE_YEAR = r'(?:,|\.)?\s*([A-Z][^,."]{10,}?)\s*,?\s*(?:19|20)\d{2}'
+TITLE_BETWEEN_COMMAS = r'(?i),\s*([A-Z][^,."]{10,}?)(?:,|\.|"|in\s|IEEE|Proc)'
+TITLE_AFTER_ET_AL = r"""(?i)et\s+al\.\s*,?\s*["']?([A-Z][^,."]{10,}?)["']?\s*,"""
+TITLE_ITALICS = r"\*([^*]{10,})\*"
+TITLE_BETWEEN_PERIODS = r"\.\s+([A-Z][^.]{10,}?)\.\s"
 LEADING_NAMES = (
     r"^[A-Z][a-z]+\s+[A-Z]\.?\s+[A-Z][a-z]+(?:\s*,\s*[A-Z][a-z]+\s+[A-Z]\.?\s+[A-Z][a-z]+)*"
     r"(?:\s+and\s+[A-Z][a-z]+\s+[A-Z]\.?\s+[A-Z][a-z]+)?,\s*"
@@ -38,14 +38,14 @@ YEAR_ANYWHERE = WORD_START + r"((?:19|20)\d{2})" + WORD_END
 DOI_WITH_PREFIX = r'(?i)doi:\s*(10\.\d{4,}/[^\s,)"]+)'
 DOI_URL = r'(?i)doi\.org/(10\.\d{4,}/[^\s,)"]+)'
 DOI_BARE = r'(?i)' + WORD_START + r'(10\.\d{4,}/[^\s,)"]+)'
-VENUE_PROCEEDINGS = r"(?i)in\s+Proc\.\s+([^,]{10,100}?)(?:,|\()"
-VENUE_JOURNAL = r"(?i),\s*([A-Z][^,]{5,100}?),\s*vol\."
-VENUE_AFTER_IN = WORD_START + r"in\s+([A-Z][^,]{10,100}?)(?:,|\.|\()"
+VENUE_PROCEEDINGS = r"(?i)in\s+Proc\.\s+([^,]{10,}?)(?:,|\()"
+VENUE_JOURNAL = r"(?i),\s*([A-Z][^,]{5,}?),\s*vol\."
+VENUE_AFTER_IN = WORD_START + r"in\s+([A-Z][^,]{10,}?)(?:,|\.|\()"
 
 # --- fixed values: the second rule set -------------------------------------------------------
-BULK_TITLE_QUOTED = r'(?s)"(.{10,500}?)"'
-BULK_TITLE_BEFORE_YEAR = r"(?i),\s*([A-Z][^,]{15,250}?)\s*,?\s*(?:in|In|Proc\.|pp\.|vol\.|\d{4})"
-BULK_TITLE_AFTER_COMMA = r"(?i)(?:et\s+al\.|[A-Z][a-z]+)\s*,\s*([A-Z][^,]{15,250}?)\s*,"
+BULK_TITLE_QUOTED = r'(?s)"(.{10,}?)"'
+BULK_TITLE_BEFORE_YEAR = r"(?i),\s*([A-Z][^,]{15,}?)\s*,?\s*(?:in|In|Proc\.|pp\.|vol\.|\d{4})"
+BULK_TITLE_AFTER_COMMA = r"(?i)(?:et\s+al\.|[A-Z][a-z]+)\s*,\s*([A-Z][^,]{15,}?)\s*,"
 BULK_NAME_PREFIX = r"^([A-Z]\.\s+[A-Z][a-z]+(?:\s+et\s+al\.)?),\s*"
 BULK_NAMES_PREFIX = r"^([A-Z]\.\s+[A-Z][a-z]+(?:\s*,\s*[A-Z]\.\s+[A-Z][a-z]+)*),\s*"
 BULK_ONLY_NAME = r"^[A-Z]\.\s+[A-Z][a-z]+(\s+et\s+al\.)?$"
@@ -59,8 +59,8 @@ BULK_AUTHORS_FULL = (
     r"^(?:\[\d+\]\s*)?([A-Z][a-z]+\s+[A-Z][a-z]+(?:(?:\s*,\s*|\s+and\s+)[A-Z][a-z]+\s+[A-Z][a-z]+)*)"
 )
 BULK_AUTHORS_LAST_FIRST = r"^(?:\[\d+\]\s*)?([A-Z][a-z]+,\s*[A-Z]\.(?:\s*,\s*[A-Z][a-z]+,\s*[A-Z]\.)*)"
-BULK_VENUE_PROCEEDINGS = r"(?i)in\s+Proc\.\s+([^,]{10,150}?)(?:,|\(|\.)"
-BULK_VENUE_AFTER_IN = r"(?i)" + WORD_START + r"in\s+([A-Z][^,]{10,100}?)(?:,|\.|\()"
+BULK_VENUE_PROCEEDINGS = r"(?i)in\s+Proc\.\s+([^,]{10,}?)(?:,|\(|\.)"
+BULK_VENUE_AFTER_IN = r"(?i)" + WORD_START + r"in\s+([A-Z][^,]{10,}?)(?:,|\.|\()"
 BULK_YEAR_RANGE = (1900, 2030)
 
 # --- fixed values: section and layout markers ------------------------------------------------
@@ -77,6 +77,16 @@ SECTION_HEADINGS = [r"References?\s*\n(.+)", r"Bibliography\s*\n(.+)", r"Works\s
 HEADING_ON_PAGE = r"(?i)References?|Bibliography|Works\s+Cited"
 REFERENCE_LIKE = r"(?m)\[\d+\]|^\d+\.\s+[A-Z]"
 REFERENCE_LIKE_OR_ET_AL = r"(?m)\[\d+\]|^\d+\.\s+[A-Z]|et al\."
+NUMBERED_REFERENCE = r"(?s)\[(\d+)\]\s+(.+?)(?=\[\d+\]|\z)"
+DATED_REFERENCE = (
+    r"(?s)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\((\d{4})\)\s*(.+?)(?=[A-Z][a-z]+\s*\(\d{4}\)|\z)"
+)
+LISTED_PAPER = (
+    r"""(?is)["']([^"']{10,})["']\s*,\s*([^,]{5,}?),\s*(?:vol\.\s*\d+[^.]*?\.|pp\.\s*[^.]*?\.|(?:19|20)\d{2}\.)"""
+)
+LISTED_TITLE = r'"([^"]{10,})"'
+LISTED_AUTHOR = r"^([A-Z]\.\s+[A-Z][a-z]+(?:\s+et\s+al\.)?(?:\s*,\s*[A-Z]\.\s+[A-Z][a-z]+)*)"
+TITLE_LABEL = r"(?i)^(?:paper title|title:|title)[:\s]+"
 ABSTRACT_SECTION = r"(?is)abstract[:\s]*(.*?)(?:introduction|1\.|keywords|index terms)"
 FIGURE_CALLOUT = r"(?i)" + WORD_START + r"(?:fig\.?|figure)\s*(\d+)"
 DOI_FORMAT = r"^10\.\d{4,}/.+"
@@ -129,4 +139,3 @@ OWN_ENGINE_HOSTS = ["google.com", "gstatic.com", "ggpht.com"]
 
 # --- fixed values: alert payloads ------------------------------------------------------------
 SEVERITY_COLOURS = {"INFO": "#36a64f", "WARNING": "#ff9900", "ERROR": "#ff0000", "CRITICAL": "#8b0000"}
-PAPER_STATUSES = ["PENDING", "VALIDATED", "REJECTED", "NEEDS_REVIEW"]

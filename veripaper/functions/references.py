@@ -42,7 +42,7 @@ def extract_title(raw: Column) -> Column:
     """``struct(title, confidence)`` by the first rule set."""
     phrases = F.filter(
         F.transform(F.split(F.regexp_replace(raw, P.REFERENCE_NUMBER, ""), r"[.,;]"), strip),
-        lambda p: (F.length(p) > 15) & (F.length(p) < 200),
+        lambda p: F.length(p) > 15,
     )
     return _cascade(
         "title",
@@ -55,7 +55,7 @@ def extract_title(raw: Column) -> Column:
             (strip(matched(raw, P.TITLE_ITALICS)), "medium"),
             (_long_enough(raw, P.TITLE_BETWEEN_PERIODS), "low"),
             (F.get(phrases, F.lit(0)), "low"),
-            (F.when(~blank(raw), strip(F.substring(raw, 1, 100))), "low"),
+            (F.when(~blank(raw), strip(raw)), "low"),
         ],
     )
 
@@ -149,11 +149,11 @@ def parse_references(refs: DataFrame) -> DataFrame:
 
 
 def title_or_fallback(title: Column, raw: Column) -> Column:
-    """Stored title, else the extracted one, else the first 100 characters."""
+    """Stored title, else the extracted one, else the raw text."""
     return F.coalesce(
         F.nullif(title, F.lit("")),
         F.nullif(extract_title(raw)["title"], F.lit("")),
-        F.substring(raw, 1, 100),
+        raw,
         F.lit(""),
     )
 
@@ -178,16 +178,10 @@ def quote_aware_squeeze(text: Column) -> Column:
     return F.array_join(rebuilt, "")
 
 
-def _cut_on_word(title: Column, limit: int = 300) -> Column:
-    cut = F.substring(title, 1, limit)
-    return F.when(F.length(title) > limit, F.regexp_replace(cut, r"(?s) [^ ]*$", "")).otherwise(title)
-
-
 def _clean_bulk_title(title: Column) -> Column:
     for pattern in (P.BULK_NAME_PREFIX, P.BULK_NAMES_PREFIX):
         title = F.regexp_replace(title, pattern, "")
-    title = F.regexp_replace(squeeze(title), r"[,;:]+\s*$", "")
-    return strip(_cut_on_word(title))
+    return strip(F.regexp_replace(squeeze(title), r"[,;:]+\s*$", ""))
 
 
 def _valid_bulk_title(title: Column) -> Column:

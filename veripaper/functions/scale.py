@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder the session names and read back.
-
-    The folder is ``spark.checkpoint.dir``. Only a local session may go without it and then gets
-    a temporary folder; on a cluster a missing setting is an error.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one in the warehouse."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that all executors share and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -58,41 +57,18 @@ def map_groups(
 ) -> DataFrame:
     """``work`` on the columns of every group of ``keys``, rows sorted by ``order``.
 
-    Spark partitions by the keys and sorts; a task walks its partition batch by batch and holds
-    one group at most beside the batch. Many small groups share a batch, which a grouped map
-    would start one by one.
+    ``work`` gets the columns that are not keys and gives columns that are not keys; the keys are put
+    in front as Arrow values, so that they keep their type and value, nulls included.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: pd.DataFrame | None = None
-        for batch in batches:
-            if batch.empty:
-                continue
-            rows = batch if pending is None else pd.concat([pending, batch], ignore_index=True)
-            starts = _group_starts(rows, keys)
-            pending = rows.iloc[starts[-1]:]
-            if len(starts) > 1:
-                yield _worked(rows.iloc[: starts[-1]], starts[:-1], work)
-        if pending is not None:
-            yield _worked(pending, np.array([0]), work)
-
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
-
-
-def _group_starts(rows: pd.DataFrame, keys: list[str]) -> np.ndarray:
-    changed = np.zeros(len(rows), dtype=bool)
-    changed[0] = True
-    for key in keys:
-        values = rows[key].to_numpy()
-        changed[1:] |= values[1:] != values[:-1]
-    return np.flatnonzero(changed)
-
-
-def _worked(rows: pd.DataFrame, starts: np.ndarray, work: Callable[[Columns], dict[str, list]]) -> pd.DataFrame:
-    columns = {name: rows[name].to_numpy() for name in rows.columns}
-    out: dict[str, list] = {}
-    for begin, end in zip(starts, [*starts[1:], len(rows)]):
-        for name, values in work({n: v[begin:end] for n, v in columns.items()}).items():
-            out.setdefault(name, []).extend(values)
-    return pd.DataFrame(out)
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.sort_by([(c, "ascending") for c in order])
+        out = work({n: rows.column(n).to_numpy() for n in rows.column_names if n not in keys})
+        n = len(next(iter(out.values())))
+        first = pa.array([0] * n, pa.int64())
+        columns = {k: group.column(k).combine_chunks().take(first) for k in keys}
+        columns |= {c: pa.array(v, types.field(c).type) for c, v in out.items()}
+        return pa.Table.from_arrays([columns[f.name].cast(f.type) for f in types], schema=types)
+
+    return df.groupBy(*keys).applyInArrow(run, schema)

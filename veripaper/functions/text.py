@@ -130,16 +130,15 @@ def _outer_quotes(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"""^["']+""", ""), r"""["']+$""", "")
 
 
-def clean_title_for_search(title: Column, limit: int = 200) -> Column:
-    """Title as the first catalogue's search takes it, at most ``limit`` characters."""
+def clean_title_for_search(title: Column) -> Column:
+    """Title as the first catalogue's search takes it."""
     clean = _trailing_punctuation(_ascii_punctuation(title, low_quotes=True))
-    clean = F.trim(squeeze(_outer_quotes(clean)))
-    return F.coalesce(F.trim(F.substring(clean, 1, limit)), F.lit(""))
+    return F.coalesce(F.trim(squeeze(_outer_quotes(clean))), F.lit(""))
 
 
 def clean_query(title: Column, raw: Column) -> Column:
-    """Search text of reference verification; the raw text's first 100 characters stand in."""
-    query = F.coalesce(F.nullif(title, F.lit("")), F.substring(raw, 1, 100))
+    """Search text of reference verification; the raw text stands in."""
+    query = F.coalesce(F.nullif(title, F.lit("")), raw)
     clean = _trailing_punctuation(_ascii_punctuation(query, low_quotes=False))
     return F.trim(squeeze(_outer_quotes(clean)))
 
@@ -162,9 +161,9 @@ def contains_any(text: Column, marks: list[str]) -> Column:
     return reduce(lambda x, y: x | y, [F.contains(F.lower(text), F.lit(m)) for m in marks])
 
 
-def score_text(score: Column, places: int = 6) -> Column:
-    """A score as text without trailing zeros, so that 1.0 reads ``1``."""
-    return F.regexp_replace(F.format_string(f"%.{places}f", score), r"\.?0+$", "")
+def score_text(score: Column) -> Column:
+    """A score as text, all its digits; 1.0 reads ``1``."""
+    return F.regexp_replace(score.cast("string"), r"\.0$", "")
 
 
 def joined_notes(*notes: Column, separator: str = "; ") -> Column:

@@ -33,12 +33,12 @@ def status_alerts(papers: DataFrame) -> DataFrame:
 
 
 def invalid_reference_alerts(refs: DataFrame) -> DataFrame:
-    """A WARNING per INVALID reference with the start of its text; reads ``paper_title``."""
+    """A WARNING per INVALID reference with its text; reads ``paper_title``."""
     return refs.where("status = 'INVALID'").select(
         *_alert(
             "INVALID_REFERENCE", "WARNING", F.concat(F.lit("Invalid Reference in Paper: "), F.col("paper_title")),
             F.concat(F.lit("Reference #"), F.col("ord"), F.lit(" could not be verified: "),
-                     F.substring("raw_text", 1, 100), F.lit("...")),
+                     F.col("raw_text")),
             "paper_id", "ord",
         )
     )

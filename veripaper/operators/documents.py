@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import patterns as P
-from ..functions.references import _cut_on_word
 from ..functions.text import blank, let, matched, squeeze, strip
 
 
@@ -21,15 +20,13 @@ def references_page(page_text: DataFrame) -> DataFrame:
     """``(paper_id, references_page)``: first page from the second on that opens with a reference
     heading, -1 where there is none."""
     lines = F.split(F.lower("text"), "\n")
-    top = F.array_join(F.slice(lines, 1, 5), "\n")
 
     def headed(keyword: str) -> Column:
-        header_like = F.exists(
-            F.slice(lines, 1, 10),
+        return F.exists(
+            lines,
             lambda line: F.contains(line, F.lit(keyword))
             & ((F.length(strip(line)) < 100) | F.rlike(line, F.lit(r"\d"))),
         )
-        return F.contains(top, F.lit(keyword)) & header_like
 
     hit = (F.col("page") >= 2) & _any([headed(k) for k in P.REFERENCE_HEADINGS])
     return page_text.groupBy("paper_id").agg(
@@ -38,85 +35,44 @@ def references_page(page_text: DataFrame) -> DataFrame:
 
 
 def references_section(text: Column) -> Column:
-    """Text behind the first reference heading, else the last 60 % of the text."""
-    found = [matched(text, f"(?is){pattern}") for pattern in P.SECTION_HEADINGS]
-    tail = F.floor(F.length(text) * 0.6).cast("int")
-    rest = F.when(tail == 0, text).otherwise(F.right(text, tail))
-    return F.coalesce(*found, rest)
+    """Text behind the first reference heading, else the whole text."""
+    return F.coalesce(*[matched(text, f"(?is){pattern}") for pattern in P.SECTION_HEADINGS], text)
 
 
-def references_pages(page_text: DataFrame, limit: int = 50000, fallback_pages: int = 3) -> DataFrame:
+def references_pages(page_text: DataFrame) -> DataFrame:
     """Pages ``(paper_id, page, text)`` that hold the reference list.
 
-    A heading page starts a run, which goes on over the next page if that looks like references
-    and over up to two more. A heading inside a run starts nothing. Without any heading the last
-    pages count. At most ``limit`` characters from the end are kept, so that the first page of the
-    result may be cut at its start.
+    A page with a heading starts a run, which goes on as long as the pages behind it look like
+    references. Of a paper without any heading all pages count.
     """
-    head = F.substring("text", 1, 500)
     by_page = W.partitionBy("paper_id").orderBy("page")
-    flagged = page_text.select(
-        "paper_id",
-        "page",
-        "text",
-        F.rlike("text", F.lit(P.HEADING_ON_PAGE)).alias("heading"),
-        F.rlike(head, F.lit(P.REFERENCE_LIKE)).alias("like"),
-        F.rlike(head, F.lit(P.REFERENCE_LIKE_OR_ET_AL)).alias("loosely"),
-    )
-    one = F.lead("like", 1, False).over(by_page)
-    two = one & F.lead("loosely", 2, False).over(by_page)
-    three = two & F.lead("loosely", 3, False).over(by_page)
-    run = one.cast("int") + two.cast("int") + three.cast("int")
-    # A page's flags are two small numbers; a paper's pages are folded in order.
-    steps = flagged.select("paper_id", "page", "heading", run.alias("run"))
-    folded = steps.groupBy("paper_id").agg(
-        F.array_sort(F.collect_list(F.struct("page", "heading", "run"))).alias("steps")
+    heading = F.rlike("text", F.lit(P.HEADING_ON_PAGE))
+    flagged = page_text.select("paper_id", "page", "text", heading.alias("heading")).withColumn(
+        "breaks", (F.col("heading") | ~F.rlike("text", F.lit(P.REFERENCE_LIKE_OR_ET_AL))).cast("int")
     )
-    start = F.struct(F.lit(0).alias("left"), F.array().cast("array<int>").alias("pages"))
-
-    def step(state: Column, s: Column) -> Column:
-        covered = state["left"] > 0
-        begins = ~covered & s["heading"]
-        left = F.when(covered, state["left"] - 1).when(begins, s["run"]).otherwise(0)
-        pages = F.when(
-            covered | begins, F.concat(state["pages"], F.array(s["page"].cast("int")))
-        ).otherwise(state["pages"])
-        return F.struct(left.alias("left"), pages.alias("pages"))
-
-    def chosen(state: Column) -> Column:
-        last = F.slice(
-            F.transform("steps", lambda s: s["page"].cast("int")),
-            F.greatest(F.size("steps") - (fallback_pages - 1), F.lit(1)),
-            F.lit(fallback_pages),
-        )
-        return F.when(F.size(state["pages"]) > 0, state["pages"]).otherwise(last)
-
-    picked = folded.select("paper_id", F.explode(F.aggregate("steps", start, step, chosen)).alias("page"))
-    kept = page_text.join(picked, ["paper_id", "page"])
-    behind = W.partitionBy("paper_id").orderBy("page").rowsBetween(1, W.unboundedFollowing)
-    room = F.lit(limit) - F.coalesce(F.sum(F.length("text")).over(behind), F.lit(0))
+    runs = flagged.withColumn("run", F.sum("breaks").over(by_page))
+    belongs = F.first("heading").over(W.partitionBy("paper_id", "run").orderBy("page")) & (F.col("run") > 0)
+    headed = F.max("heading").over(W.partitionBy("paper_id"))
     return (
-        kept.withColumn("room", room)
-        .where("room > 0")
-        .select("paper_id", "page", F.right("text", F.col("room").cast("int")).alias("text"))
+        runs.withColumn("belongs", belongs)
+        .withColumn("headed", headed)
+        .where("belongs or not headed")
+        .select("paper_id", "page", "text")
     )
 
 
 def split_references(sections: DataFrame) -> DataFrame:
     """Numbered references ``(paper_id, ord, raw_text)`` of a reference section.
 
-    A body ends at the next number in brackets or at the end of its line and needs more than 15
-    characters. Sections without any are read as ``Author (year) rest``.
+    A body ends at the next number in brackets or at the end of the section, over any number of
+    lines, and needs more than 15 characters. Sections without any are read as ``Author (year) rest``.
     """
-    end = r"\n|\z"
-    numbered = rf"(?s)\[(\d+)\]\s+(.+?)(?=\[\d+\]|{end})"
-    dated = rf"(?s)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\((\d{{4}})\)\s*(.+?)(?=[A-Z][a-z]+\s*\(\d{{4}}\)|{end})"
 
     def groups(pattern: str, *numbers: int) -> list[Column]:
         return [F.regexp_extract_all("section", F.lit(pattern), F.lit(n)) for n in numbers]
 
-    numbers, bodies = groups(numbered, 1, 2)
-    authors, years, rests = groups(dated, 1, 2, 3)
+    numbers, bodies = groups(P.NUMBERED_REFERENCE, 1, 2)
+    authors, years, rests = groups(P.DATED_REFERENCE, 1, 2, 3)
     by_number = F.filter(
         F.zip_with(
             numbers, bodies, lambda n, b: F.struct(n.try_cast("int").alias("ord"), strip(b).alias("raw_text"))
@@ -143,14 +99,11 @@ def split_multi_paper(refs: DataFrame) -> DataFrame:
     but the first. Other references stay as they are with sub-order 0.
     """
     text = F.col("raw_text")
-    # fixed value: a quoted title, its venue, and the end of its entry
-    entry = r"""(?is)["']([^"']{10,200})["']\s*,\s*([^,]{5,100}?),\s*(?:vol\.\s*\d+[^.]*?\.|pp\.\s*[^.]*?\.|(?:19|20)\d{2}\.)"""
-    author = r"^([A-Z]\.\s+[A-Z][a-z]+(?:\s+et\s+al\.)?(?:\s*,\s*[A-Z]\.\s+[A-Z][a-z]+)*)"
-    several = (F.regexp_count(text, F.lit(r'"([^"]{10,200})"')) >= 2) & (
+    several = (F.regexp_count(text, F.lit(P.LISTED_TITLE)) >= 2) & (
         (F.regexp_count(text, F.lit(r"(?i)(?U)\bvol\.")) >= 2)
         | (F.regexp_count(text, F.lit(r"(?U)\b(19|20)\d{2}\b")) >= 2)
     )
-    entries = F.regexp_extract_all(text, F.lit(entry), F.lit(0))
+    entries = F.regexp_extract_all(text, F.lit(P.LISTED_PAPER), F.lit(0))
 
     def starts(found: Column) -> Column:
         first = F.struct(F.lit(1).alias("from_"), F.array().cast("array<int>").alias("at"))
@@ -166,7 +119,7 @@ def split_multi_paper(refs: DataFrame) -> DataFrame:
             stop = F.coalesce(F.get(at, i + 1), F.length(text) + 1)
             body = strip(F.substring(text, begin, stop - begin))
             body = F.when(i < F.size(at) - 1, F.regexp_replace(body, r"\.$", "")).otherwise(body)
-            prefix = matched(text, author)
+            prefix = matched(text, P.LISTED_AUTHOR)
             return F.when((i > 0) & prefix.isNotNull(), F.concat(prefix, F.lit(", "), body)).otherwise(body)
 
         return F.transform(at, piece)
@@ -213,13 +166,11 @@ def first_page_title(text: Column) -> Column:
 
     skipped = lambda line: _any([F.rlike(line, F.lit(p)) for p in P.FIRST_PAGE_SKIP])
     title = let(F.filter(_lines(text), lambda line: ~skipped(line)), joined)
-    clean = let(
-        F.regexp_replace(squeeze(strip(title)), r"[.,;:]+\s*$", ""), _cut_on_word
-    )
+    clean = F.regexp_replace(squeeze(strip(title)), r"[.,;:]+\s*$", "")
     return F.when(F.length(clean) > 10, clean)
 
 
-def first_page_authors(text: Column, limit: int = 10) -> Column:
+def first_page_authors(text: Column) -> Column:
     """Lines that are names, up to the first line with an address or an institute."""
 
     def names(lines: Column) -> Column:
@@ -228,10 +179,9 @@ def first_page_authors(text: Column, limit: int = 10) -> Column:
             True,
         ).cast("int")
         upto = F.when(stop == 0, lines).otherwise(F.slice(lines, F.lit(1), stop))
-        named = F.filter(
+        return F.filter(
             F.transform(upto, strip), lambda line: F.rlike(line, F.lit("(?U)" + P.FIRST_PAGE_AUTHOR))
         )
-        return F.slice(named, 1, limit)
 
     return let(F.split(text, "\n"), names)
 
@@ -240,47 +190,25 @@ def first_page_year(text: Column) -> Column:
     return F.coalesce(matched(text, P.MONTH_DATE), matched(text, P.RECENT_YEAR)).try_cast("int")
 
 
-def second_page_title(text: Column, pages: Column) -> Column:
-    """Longest title-like line around the second page, or the three longest joined if it is short."""
-    lines = F.split(text, "\n")
+def second_page_title(text: Column) -> Column:
+    """Longest line of a second page that starts with a capital, the first of equals."""
 
-    def second(all_lines: Column) -> Column:
-        per_page = F.ceil(F.size(all_lines) / pages).cast("int")
-        end = F.least(F.floor(per_page * 2.5).cast("int"), F.size(all_lines))
-        part = F.slice(all_lines, per_page + 1, F.greatest(end - per_page, F.lit(0)))
-        return F.when(pages >= 2, part).otherwise(all_lines)
-
-    def longest(part: Column) -> Column:
-        candidates = F.filter(
-            F.transform(part, strip),
-            lambda line: F.length(line).between(20, 250) & F.rlike(line, F.lit("^[A-Z]")),
-        )
-        return F.transform(
-            F.array_sort(
-                F.transform(
-                    candidates, lambda line, i: F.struct((-F.length(line)).alias("n"), i.alias("i"), line.alias("line"))
-                )
-            ),
-            lambda s: s["line"],
+    def longest(lines: Column) -> Column:
+        return F.aggregate(
+            F.filter(F.transform(lines, strip), lambda line: F.rlike(line, F.lit("^[A-Z]"))),
+            F.lit(None).cast("string"),
+            lambda best, line: F.when(best.isNull() | (F.length(line) > F.length(best)), line).otherwise(best),
         )
 
-    def title(ranked: Column) -> Column:
-        top = F.get(ranked, F.lit(0))
-        combined = strip(F.array_join(F.slice(ranked, 1, 3), " "))
-        use_three = (F.length(top) < 50) & (F.size(ranked) > 1) & (F.length(combined) <= 300)
-        return F.when(use_three, combined).otherwise(top)
-
-    found = let(let(let(lines, second), longest), title)
-    clean = F.trim(squeeze(found))
-    clean = F.regexp_replace(clean, r"(?i)^(?:paper title|title:|title)[:\s]+", "")
+    clean = F.trim(squeeze(longest(F.split(text, "\n"))))
+    clean = F.regexp_replace(clean, P.TITLE_LABEL, "")
     clean = F.regexp_replace(clean, r"[.!?]+$", "")
-    clean = F.regexp_replace(F.regexp_replace(clean, r"^```\w*\n?", ""), r"\n?```$", "")
     return F.nullif(clean, F.lit(""))
 
 
-def extract_abstract(text: Column, limit: int = 2000) -> Column:
-    """Text between the abstract heading and the next section, at most ``limit`` characters."""
-    return F.substring(strip(matched(text, P.ABSTRACT_SECTION)), 1, limit)
+def extract_abstract(text: Column) -> Column:
+    """Text between the abstract heading and the next section."""
+    return strip(matched(text, P.ABSTRACT_SECTION))
 
 
 def section_flags(texts: DataFrame) -> DataFrame:
@@ -342,13 +270,7 @@ def parse_llm_responses(raw: DataFrame) -> DataFrame:
     )
 
 
-def choose_references(
-    texts: DataFrame, by_model: DataFrame, by_pattern: DataFrame, min_chars: int = 1000, min_rows: int = 10
-) -> DataFrame:
-    """Model rows for long texts with enough of them, pattern rows for all other papers."""
-    long_enough = texts.where(F.length("text") > min_chars).select("paper_id")
-    enough = by_model.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_rows)
-    trusted = enough.join(long_enough, "paper_id", "left_semi").select("paper_id")
-    return by_model.join(trusted, "paper_id", "left_semi").unionByName(
-        by_pattern.join(trusted, "paper_id", "left_anti"), allowMissingColumns=True
-    )
+def choose_references(by_model: DataFrame, by_pattern: DataFrame) -> DataFrame:
+    """Model rows of every paper that has any, pattern rows of all other papers."""
+    modelled = by_model.select("paper_id").distinct()
+    return by_model.unionByName(by_pattern.join(modelled, "paper_id", "left_anti"), allowMissingColumns=True)

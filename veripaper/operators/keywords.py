@@ -12,12 +12,7 @@ from .listing import dedup_ci, first_per_key
 
 
 def _found(text: Column) -> Column:
-    def all_of(pattern: str, group: int = 1) -> Column:
-        return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-    few = F.concat(all_of("([A-Za-z0-9]+)"), all_of(r"(?U)([^\w\s]{1,3})"))
-    many = F.concat(*[all_of(pattern) for pattern in P.KEYWORD_PATTERNS])
-    return F.when(F.length(strip(text)) < 10, few).otherwise(many)
+    return F.concat(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) for pattern in P.KEYWORD_PATTERNS])
 
 
 def _spelling(word: Column) -> Column:
@@ -27,94 +22,81 @@ def _spelling(word: Column) -> Column:
     return F.when(upper | capital, word).otherwise(F.lower(word))
 
 
-def extract_keywords(texts: DataFrame, k: int = 30) -> DataFrame:
-    """``(image_id, rank, keyword)``: the ``k`` longest distinct keywords of every text.
+def extract_keywords(texts: DataFrame) -> DataFrame:
+    """``(image_id, rank, keyword)``: all distinct keywords of every text, the longest first.
 
     Words, numbers, versions, quotes and names in the order of their patterns; the first spelling
-    of a keyword wins. Short words and stop words are left out.
+    of a keyword wins. One-letter words and stop words are left out.
     """
-    least = F.when(F.length(strip(F.col("ocr_text"))) < 10, 1).otherwise(2)
-    raw = texts.select("image_id", least.alias("least"), F.posexplode(_found(F.col("ocr_text"))).alias("pos", "word"))
+    raw = texts.select("image_id", F.posexplode(_found(F.col("ocr_text"))).alias("pos", "word"))
     words = raw.where(
-        (F.length("word") >= F.col("least"))
-        & ~F.lower("word").isin(P.STOP_WORDS)
-        & (strip(F.col("word")) != "")
+        (F.length("word") >= 2) & ~F.lower("word").isin(P.STOP_WORDS) & (strip(F.col("word")) != "")
     ).select("image_id", "pos", strip(F.col("word")).alias("keyword"))
     distinct = dedup_ci(words, ["image_id"], "keyword", "pos").select(
         "image_id", _spelling(F.col("keyword")).alias("keyword")
     )
-    return top_keywords(distinct, k)
+    return ranked_keywords(distinct)
 
 
-def top_keywords(keywords: DataFrame, k: int = 30) -> DataFrame:
-    """The ``k`` longest keywords per image, equal lengths in order of their lower-cased text."""
+def ranked_keywords(keywords: DataFrame) -> DataFrame:
+    """Keywords per image from the longest on, equal lengths in order of their lower-cased text."""
     order = W.partitionBy("image_id").orderBy(F.desc(F.length("keyword")), F.lower("keyword"))
-    return (
-        keywords.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("image_id", "rank", "keyword")
-    )
+    return keywords.select("image_id", F.row_number().over(order).alias("rank"), "keyword")
+
+
+def top_keywords(keywords: DataFrame, k: int = 30) -> DataFrame:
+    """The ``k`` longest keywords per image."""
+    return ranked_keywords(keywords).where(F.col("rank") <= k)
 
 
 def keyword_lists(keywords: DataFrame) -> DataFrame:
-    """Ranked keywords as one short array per image; ``extract_keywords`` bounds its length."""
+    """Ranked keywords as one array per image, which its text bounds."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "keyword")))
     return keywords.groupBy("image_id").agg(F.transform(ranked, lambda s: s["keyword"]).alias("keywords"))
 
 
-def build_queries(texts: DataFrame, keywords: DataFrame, k: int = 5) -> DataFrame:
-    """``(image_id, pos, query)``: up to ``k`` search queries per text, in order of strategy."""
+def build_queries(texts: DataFrame, keywords: DataFrame) -> DataFrame:
+    """``(image_id, pos, query)``: all search queries of a text, in order of strategy.
+
+    Each keyword with two endings, each with the next two keywords, terms of architectures with three
+    endings, named blocks, sizes with such terms; the whole text where there is no keyword.
+    """
     rows = texts.join(keyword_lists(keywords), "image_id", "left").withColumn(
         "keywords", F.coalesce("keywords", F.array().cast("array<string>"))
     )
     words, text = F.col("keywords"), F.col("ocr_text")
-    empty = F.array().cast("array<string>")
 
-    single = F.flatten(
-        F.transform(words, lambda w: F.array(F.concat(w, F.lit(" diagram")), F.concat(w, F.lit(" architecture"))))
-    )
-    # The first three of the top five, each with its next two.
-    pairs = F.array_compact(
-        F.array(*[
-            F.concat_ws(" ", F.get(words, F.lit(i)), F.get(words, F.lit(j)))
-            if j < 3 else F.when(F.size(words) > j, F.concat_ws(" ", F.get(words, F.lit(i)), F.get(words, F.lit(j))))
-            for i in range(3) for j in range(i + 1, i + 3)
-        ])
-    )
-    architecture = F.filter(words, lambda w: contains_any(w, P.ARCHITECTURE_TERMS))
-    suffixed = F.flatten(
+    def ended(terms: Column, *endings: str) -> Column:
+        return F.flatten(F.transform(terms, lambda w: F.array(*[F.concat(w, F.lit(e)) for e in endings])))
+
+    pairs = F.flatten(
         F.transform(
-            F.slice(architecture, 1, 3),
-            lambda w: F.array(*[F.concat(w, F.lit(s)) for s in (" architecture", " diagram", " neural network")]),
+            words,
+            lambda w, i: F.array_compact(
+                F.array(*[F.concat(w, F.lit(" "), F.get(words, i + step)) for step in (1, 2)])
+            ),
         )
     )
-    named = F.slice(F.regexp_extract_all(text, F.lit(P.QUERY_PHRASES[0]), F.lit(1)), 1, 2)
+    architecture = F.filter(words, lambda w: contains_any(w, P.ARCHITECTURE_TERMS))
+    named = F.regexp_extract_all(text, F.lit(P.QUERY_PHRASES[0]), F.lit(1))
     naming = F.transform(
-        F.slice(F.regexp_extract_all(text, F.lit(P.QUERY_PHRASES[1]), F.lit(1)), 1, 2),
+        F.regexp_extract_all(text, F.lit(P.QUERY_PHRASES[1]), F.lit(1)),
         lambda q: F.regexp_replace(q, r"^(\w+)\s+", "$1 "),
     )
-    phrases = F.when(
-        F.length(text) > 10, F.filter(F.concat(named, naming), lambda q: F.length(q) > 5)
-    ).otherwise(empty)
     sizes = F.filter(words, lambda w: F.contains(F.lower(w), F.lit("x")) | F.contains(w, F.lit("×")))
     sized = F.flatten(
-        F.transform(
-            F.slice(sizes, 1, 2),
-            lambda s: F.transform(F.slice(architecture, 1, 2), lambda a: F.concat(a, F.lit(" "), s)),
-        )
+        F.transform(sizes, lambda s: F.transform(architecture, lambda a: F.concat(a, F.lit(" "), s)))
     )
-    made = F.concat(F.when(F.size(words) <= 3, single).otherwise(pairs), suffixed, phrases, sized)
-    least = F.when(F.size(words) <= 3, 3).otherwise(5)
-
-    def first_distinct(queries: Column) -> Column:
-        lowered = F.transform(queries, F.lower)
-        fresh = F.filter(
-            queries,
-            lambda q, i: (F.array_position(lowered, F.lower(q)) == i + 1) & (F.length(strip(q)) >= least),
-        )
-        return F.slice(F.transform(fresh, strip), 1, k)
-
-    whole = F.array_compact(F.array(F.nullif(F.substring(strip(text), 1, 100), F.lit(""))))
-    queries = F.when(F.size(words) == 0, whole).otherwise(let(made, first_distinct))
-    return rows.select("image_id", F.posexplode(queries).alias("pos", "query"))
+    made = F.concat(
+        ended(words, " diagram", " architecture"), pairs,
+        ended(architecture, " architecture", " diagram", " neural network"), named, naming, sized,
+    )
+    whole = F.array_compact(F.array(F.nullif(strip(text), F.lit(""))))
+    queries = F.when(F.size(words) == 0, whole).otherwise(made)
+    listed = rows.select("image_id", F.posexplode(queries).alias("pos", "query")).select(
+        "image_id", "pos", strip(F.col("query")).alias("query")
+    )
+    return dedup_ci(listed.where(F.length("query") >= 3), ["image_id"], "query", "pos")
 
 
 def top_queries(queries: DataFrame, k: int = 5) -> DataFrame:
@@ -153,7 +135,7 @@ def score_hits(hits: DataFrame, keywords: DataFrame, texts: DataFrame, above: fl
     word_share = common / F.greatest(F.size("ocr_words"), F.lit(1))
     scored = found.withColumn("confidence", keyword_share * 0.6 + word_share * 0.4).where(F.col("confidence") > above)
     reason = F.when(
-        F.size("matched") > 0, F.concat(F.lit("Keywords matched: "), F.array_join(F.slice("matched", 1, 3), ", "))
+        F.size("matched") > 0, F.concat(F.lit("Keywords matched: "), F.array_join("matched", ", "))
     ).otherwise("Contextual match")
     return scored.select(*hits.columns, F.bround("confidence", 2).alias("confidence"), reason.alias("reason"))
 
@@ -165,38 +147,37 @@ def top_hits(scored: DataFrame, k: int = 10) -> DataFrame:
 
 
 def outbound_links(
-    pages: DataFrame, own_hosts: list[str] | None = None, looked_at: int = 20, k: int = 10, min_text: int = 4
+    pages: DataFrame, own_hosts: list[str] | None = None, min_text: int = 4, whole_url: bool = False
 ) -> DataFrame:
-    """``(page_id, pos, url, title)``: links of stored result pages that leave the engine.
+    """``(page_id, pos, url, title)``: links of stored result pages that leave the engine and have a text.
 
-    Of the first ``looked_at`` links those to other hosts with a text count, at most ``k``.
+    With ``whole_url`` an engine's name anywhere in the address counts, not only in its host.
     """
     hosts = P.OWN_ENGINE_HOSTS if own_hosts is None else own_hosts
     link = r'(?s)<a [^>]*href="([^"]*http[^"]*)"[^>]*>(.*?)</a>'
     urls = F.regexp_extract_all("html", F.lit(link), F.lit(1))
     texts = F.regexp_extract_all("html", F.lit(link), F.lit(2))
     pairs = F.zip_with(
-        F.slice(urls, 1, looked_at),
-        F.slice(texts, 1, looked_at),
+        urls,
+        texts,
         lambda u, t: F.struct(u.alias("url"), strip(F.regexp_replace(t, "<[^>]*>", "")).alias("title")),
     )
 
     def leaves(link: Column) -> Column:
-        host = F.regexp_extract(link["url"], r"^[a-z]+://([^/?#]*)", 1)
+        host = link["url"] if whole_url else F.regexp_extract(link["url"], r"^[a-z]+://([^/?#]*)", 1)
         own = [F.contains(host, F.lit(h)) for h in hosts]
         outside = ~own[0]
         for other in own[1:]:
             outside = outside & ~other
         return outside & (F.length(link["title"]) >= min_text)
 
-    kept = F.slice(F.filter(pairs, leaves), 1, k)
-    found = pages.select("page_id", F.posexplode(kept).alias("pos", "link"))
-    return found.select("page_id", "pos", "link.url", F.substring("link.title", 1, 150).alias("title"))
+    found = pages.select("page_id", F.posexplode(F.filter(pairs, leaves)).alias("pos", "link"))
+    return found.select("page_id", "pos", "link.url", "link.title")
 
 
-def similar_images(pages: DataFrame, own_host: str | None = None, k: int = 15) -> DataFrame:
-    """``(page_id, n_images, found, urls)``: image addresses among the first ``k`` images of a page."""
-    sources = F.slice(F.regexp_extract_all("html", F.lit(r'<img [^>]*src="([^"]*)"'), F.lit(1)), 1, k)
+def similar_images(pages: DataFrame, own_host: str | None = None) -> DataFrame:
+    """``(page_id, n_images, found, urls)``: image addresses among the images of a page."""
+    sources = F.regexp_extract_all("html", F.lit(r'<img [^>]*src="([^"]*)"'), F.lit(1))
     usable = F.filter(
         sources,
         lambda u: F.startswith(u, F.lit("http")) & (F.lit(True) if own_host is None else ~F.contains(u, F.lit(own_host))),

@@ -51,10 +51,11 @@ def pending_papers(papers: DataFrame, n: int = 10) -> DataFrame:
     return papers.where("status = 'PENDING'").orderBy("paper_id").limit(n)
 
 
-def papers_to_rescan(papers: DataFrame, diagrams: DataFrame, n: int = 20) -> DataFrame:
-    """Up to ``n`` accepted or reviewed papers that have diagrams, smallest ids first."""
+def papers_to_rescan(papers: DataFrame, diagrams: DataFrame, n: int | None = 20) -> DataFrame:
+    """Up to ``n`` (None: all) accepted or reviewed papers that have diagrams, smallest ids first."""
     ready = papers.where(F.col("status").isin("VALIDATED", "NEEDS_REVIEW"))
-    return ready.join(diagrams.select("paper_id"), "paper_id", "left_semi").orderBy("paper_id").limit(n)
+    due = ready.join(diagrams.select("paper_id"), "paper_id", "left_semi")
+    return due if n is None else due.orderBy("paper_id").limit(n)
 
 
 def page(df: DataFrame, key: str, number: int = 1, limit: int = 20) -> DataFrame:

@@ -163,8 +163,6 @@ def merge_regions(regions: DataFrame, gap: float = 50.0) -> DataFrame:
         boxes = _grow(np.column_stack([page[c] for c in ("x0", "y0", "x1", "y1")]).astype(float), gap)
         n = len(boxes)
         return {
-            "doc_id": [page["doc_id"][0]] * n,
-            "page": [page["page"][0]] * n,
             "region_id": list(range(n)),
             **{c: list(boxes[:, i]) for i, c in enumerate(("x0", "y0", "x1", "y1"))},
         }

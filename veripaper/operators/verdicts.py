@@ -215,14 +215,14 @@ def is_likely_copied(pairs: DataFrame) -> DataFrame:
 
 
 def web_suspicion(matches: DataFrame, local: DataFrame | None = None) -> DataFrame:
-    """Per diagram: is it on the web, with score ``min(n/10, 1)`` over at most 20 matches.
+    """Per diagram: is it on the web, with score ``min(n/10, 1)``.
 
     ``matches`` has one row per web match. With ``local`` (diagram_id, is_suspicious,
     similarity_score) the larger of both scores counts.
     """
     found = (
         matches.groupBy("diagram_id")
-        .agg(F.least(F.count(F.lit(1)), F.lit(20)).alias("n_matches"))
+        .agg(F.count(F.lit(1)).alias("n_matches"))
         .withColumn("web_score", F.least(F.col("n_matches") / 10.0, F.lit(1.0)))
     )
     if local is None:

@@ -319,7 +319,7 @@ def plagiarism_summary(spark: SparkSession, folder: str) -> DataFrame:
              select a.diagram_id, 1 - {HEX} / 64.0::double as similarity_score
              from diagrams_v a join diagrams_v b on a.paper_id <> b.paper_id where 1 - {HEX} / 64.0::double > 0.85
              qualify row_number() over (partition by a.diagram_id order by b.diagram_id) = 1) l on l.diagram_id = d.diagram_id
-           left join (select page_id % 37 as diagram_id, least(count(*), 20) as n, least(least(count(*), 20) / 10.0::double, 1.0::double) as s
+           left join (select page_id % 37 as diagram_id, count(*) as n, least(count(*) / 10.0::double, 1.0::double) as s
              from pages group by 1) w on w.diagram_id = d.diagram_id""",
     ),
 )

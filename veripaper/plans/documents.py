@@ -16,8 +16,8 @@ from .oracle_views import with_views
 from .registry import query
 
 HEADED_SQL = " or ".join(
-    f"""(contains(array_to_string(lines[:5], chr(10)), '{k}') and len(list_filter(lines[:10],
-      lambda l: contains(l, '{k}') and (length({S.strip('l')}) < 100 or regexp_matches(l, '\\d')))) > 0)"""
+    f"""len(list_filter(lines,
+      lambda l: contains(l, '{k}') and (length({S.strip('l')}) < 100 or regexp_matches(l, '\\d')))) > 0"""
     for k in P.REFERENCE_HEADINGS
 )
 
@@ -40,7 +40,7 @@ def references_page(spark: SparkSession, folder: str) -> DataFrame:
         ["texts_v"],
         rf"""select paper_id, md5(section) as digest, length(section) as n_chars from (select paper_id, coalesce(
              {', '.join(S.matched('body', '(?is)' + p) for p in P.SECTION_HEADINGS)},
-             case when floor(length(body) * 0.6) = 0 then body else right(body, cast(floor(length(body) * 0.6) as bigint)) end) as section
+             body) as section
            from (select paper_id, case when paper_id % 3 = 0 then concat(text, chr(10), 'References ', chr(10), text) else text end as body from texts_v))""",
     ),
 )
@@ -54,7 +54,19 @@ def references_section(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("f23_references_pages")
+@query(
+    "f23_references_pages",
+    with_views(
+        ["page_text_v"],
+        rf"""select paper_id, page, md5(text) as digest from (
+               select *, first_value(heading) over (partition by paper_id, run order by page) and run > 0 as belongs,
+                      bool_or(heading) over (partition by paper_id) as headed
+               from (select *, sum((heading or not loosely)::int) over (partition by paper_id order by page) as run
+                     from (select *, regexp_matches(text, {S.re2(P.HEADING_ON_PAGE)}) as heading,
+                                  regexp_matches(text, {S.re2(P.REFERENCE_LIKE_OR_ET_AL)}) as loosely from page_text_v)))
+             where belongs or not headed""",
+    ),
+)
 def references_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = D.references_pages(B.page_text_v(spark, folder))
     return pages.select("paper_id", "page", F.md5("text").alias("digest"))
@@ -65,12 +77,12 @@ BODY = r"regexp_replace(raw_text, '^\[\d+\]\s*', '')"
 
 @query(
     "f24_split_references",
-    with_views(["refs_v"], f"select paper_id, ord, {S.strip(BODY)} as raw_text from refs_v"),
+    with_views(["refs_v"], f"select paper_id, ord, replace({S.strip(BODY)}, ', ', ',' || chr(10)) as raw_text from refs_v"),
 )
 def split_references(spark: SparkSession, folder: str) -> DataFrame:
-    """Each paper's four references as one section text, one per line."""
+    """Each paper's four references as one section text, each wrapped after its commas."""
     body = F.regexp_replace("raw_text", P.REFERENCE_NUMBER, "")
-    line = F.concat(F.lit("["), F.col("ord"), F.lit("] "), body)
+    line = F.concat(F.lit("["), F.col("ord"), F.lit("] "), F.replace(body, F.lit(", "), F.lit(",\n")))
     sections = B.refs_v(spark, folder).groupBy("paper_id").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda s: s["line"]), "\n"
@@ -113,15 +125,58 @@ def quote_aware_squeeze(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", F.md5(R.quote_aware_squeeze(F.col("text"))).alias("digest"))
 
 
-@query("f26_f27_f29_first_pages")
+LINES_SQL = rf"list_filter(list_transform(string_split(text, chr(10)), lambda l: {S.strip('l')}), lambda l: l <> '')"
+SKIPPED_SQL = " or ".join(f"regexp_matches(l, {S.re2(p)})" for p in P.FIRST_PAGE_SKIP)
+STARTS_LIKE_NAME_SQL = f"regexp_matches(l, {S.re2(P.FIRST_PAGE_STARTS_LIKE_NAME)})"
+TITLE_LIKE_SQL = "length(l) > 15 and " + " and ".join(
+    f"not regexp_matches(l, {S.re2(p)})" for p in (P.FIRST_PAGE_NAME, P.FIRST_PAGE_NAME_INITIAL, P.FIRST_PAGE_DATE)
+)
+AFFILIATION_SQL = " or ".join(f"contains(l, '{mark}')" for mark in P.FIRST_PAGE_AFFILIATIONS)
+TITLE_LINES = [
+    ("line", f"select doc_id, unnest(range(1, len({LINES_SQL}) + 1)) as n, unnest({LINES_SQL}) as l from documents"),
+    ("kept_line", f"""select doc_id, row_number() over (partition by doc_id order by n) as n, l, ({TITLE_LIKE_SQL}) as title_like,
+          case when {TITLE_LIKE_SQL} then {STARTS_LIKE_NAME_SQL} or {AFFILIATION_SQL}
+               else {STARTS_LIKE_NAME_SQL} or not (length(l) > 10 and not regexp_matches(l, '(?i)@|http|doi')) end as ends
+        from line where not ({SKIPPED_SQL})"""),
+    ("opened", "select doc_id, min(n) as a from kept_line where title_like group by doc_id"),
+    ("closed", "select o.doc_id, a, min(n) as b from opened o left join kept_line k on k.doc_id = o.doc_id and k.n > a and k.ends group by all"),
+    ("titled", rf"""select doc_id, regexp_replace(regexp_replace({S.strip("string_agg(l, ' ' order by n)")}, '\s+', ' ', 'g'), '[.,;:]+\s*$', '') as title
+        from closed join kept_line using (doc_id) where n >= a and (b is null or n < b) group by doc_id"""),
+    ("raw_line", "select doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n, unnest(string_split(text, chr(10))) as l from documents"),
+    ("stopped", "select doc_id, min(n) as b from raw_line where contains(l, '@') or contains(l, 'Engineering') group by doc_id"),
+    ("named", rf"""select doc_id, string_agg({S.strip('l')}, '; ' order by n) as authors from raw_line left join stopped using (doc_id)
+        where n <= coalesce(b, n) and regexp_matches({S.strip('l')}, {S.re2(P.FIRST_PAGE_AUTHOR)}) group by doc_id"""),
+    ("second", rf"""select doc_id, max_by(s, (length(s), -n)) as best from (
+          select paper_id as doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) as n,
+                 unnest(list_transform(string_split(text, chr(10)), lambda l: {S.strip('l')})) as s from page_text_v where page = 2)
+        where regexp_matches(s, '^[A-Z]') group by doc_id"""),
+]
+
+
+@query(
+    "f26_f27_f29_first_pages",
+    with_views(
+        ["page_text_v"],
+        rf"""select doc_id, case when length(title) > 10 then title end as title, coalesce(authors, '') as authors,
+               nullif(regexp_replace(regexp_replace(trim(regexp_replace(best, '\s+', ' ', 'g')), {S.re2(P.TITLE_LABEL)}, ''), '[.!?]+$', ''), '') as second_title
+             from documents left join titled using (doc_id) left join named using (doc_id) left join second using (doc_id)""",
+        *TITLE_LINES,
+    ),
+)
 def first_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Titles, authors and years read off whole document texts."""
+    """Titles and authors read off whole document texts, second titles off the second pages."""
     text = F.col("text")
-    return B.table(spark, folder, "documents").select(
-        "doc_id",
-        D.first_page_title(text).alias("title"),
-        F.array_join(D.first_page_authors(text), "; ").alias("authors"),
-        D.second_page_title(text, F.lit(2)).alias("second_title"),
+    second = B.page_text_v(spark, folder).where("page = 2").select(
+        F.col("paper_id").alias("doc_id"), D.second_page_title(text).alias("second_title")
+    )
+    return (
+        B.table(spark, folder, "documents")
+        .select(
+            "doc_id",
+            D.first_page_title(text).alias("title"),
+            F.array_join(D.first_page_authors(text), "; ").alias("authors"),
+        )
+        .join(second, "doc_id", "left")
     )
 
 
@@ -144,7 +199,7 @@ def first_page_year(spark: SparkSession, folder: str) -> DataFrame:
     "f30_extract_abstract",
     with_views(
         ["texts_v"],
-        rf"select paper_id, substring({S.strip(S.matched('text', P.ABSTRACT_SECTION))}, 1, 2000) as abstract from texts_v",
+        rf"select paper_id, {S.strip(S.matched('text', P.ABSTRACT_SECTION))} as abstract from texts_v",
     ),
 )
 def extract_abstract(spark: SparkSession, folder: str) -> DataFrame:
@@ -187,12 +242,57 @@ def fallback_authors_year(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --- keywords and hits ------------------------------------------------------------------------
-@query("f33_extract_keywords")
+# Boundaries know ASCII only here: letters and digits beyond it are masked as word characters of no pattern.
+FOUND_SQL = "list_concat(" + ", ".join(
+    f"regexp_extract_all({'ocr_text' if p.startswith(chr(34)) or '×' in p else 'masked'}, {S.re2(p)}, 1)" for p in P.KEYWORD_PATTERNS
+) + ")"
+FOUND_WORDS = [
+    ("masked_text", "select *, array_to_string(list_transform(regexp_extract_all(ocr_text, '(?s).'), "
+     r"lambda c: case when regexp_matches(c, '[^\x00-\x7F]') and regexp_matches(c, '[\p{L}\p{N}]') then '_' else c end), '') as masked from ocr_text_v"),
+    ("found_words", f"select image_id, unnest(range(1, len(w) + 1)) as pos, unnest(w) as word from (select image_id, {FOUND_SQL} as w from masked_text)"),
+    ("kept_words", f"""select image_id, pos, {S.strip('word')} as k from found_words where length(word) >= 2 and {S.strip('word')} <> ''
+        and lower(word) not in ({', '.join(repr(w) for w in P.STOP_WORDS)})"""),
+    ("spelled_words", r"""select image_id, case when (regexp_matches(k, '\p{Lu}') and not regexp_matches(k, '\p{Ll}'))
+          or (regexp_matches(k, '^\p{Lu}') and length(k) > 2) then k else lower(k) end as keyword from kept_words
+        qualify row_number() over (partition by image_id, lower(k) order by pos) = 1"""),
+    ("ranked_words", """select image_id, row_number() over (partition by image_id order by length(keyword) desc, lower(keyword))::int as rank, keyword
+        from spelled_words"""),
+]
+
+
+@query("f33_extract_keywords", with_views(["ocr_text_v"], "select image_id, rank, keyword from ranked_words", *FOUND_WORDS))
 def extract_keywords(spark: SparkSession, folder: str) -> DataFrame:
     return K.extract_keywords(B.ocr_text_v(spark, folder))
 
 
-@query("f34_build_queries")
+ARCHITECTURE_SQL = "list_filter(w, lambda x: " + " or ".join(f"contains(lower(x), '{t}')" for t in P.ARCHITECTURE_TERMS) + ")"
+MADE_QUERIES = [
+    *FOUND_WORDS,
+    ("word_lists", f"""select *, {ARCHITECTURE_SQL} as arch from (select t.image_id, t.ocr_text, coalesce(l.w, []) as w from ocr_text_v t
+        left join (select image_id, list(keyword order by rank) as w from ranked_words group by image_id) l using (image_id))"""),
+    ("made_lists", f"""select image_id, case when len(w) = 0 then list_filter([nullif({S.strip('ocr_text')}, '')], lambda x: x is not null) else
+        list_concat(
+          flatten(list_transform(w, lambda x: [x || ' diagram', x || ' architecture'])),
+          list_filter(flatten(list_transform(range(1, len(w) + 1), lambda i: [w[i] || ' ' || w[i + 1], w[i] || ' ' || w[i + 2]])), lambda x: x is not null),
+          flatten(list_transform(arch, lambda x: [x || ' architecture', x || ' diagram', x || ' neural network'])),
+          regexp_extract_all(ocr_text, {S.re2(P.QUERY_PHRASES[0])}, 1),
+          list_transform(regexp_extract_all(ocr_text, {S.re2(P.QUERY_PHRASES[1])}, 1), lambda q: regexp_replace(q, '^(\\w+)\\s+', '\\1 ')),
+          flatten(list_transform(list_filter(w, lambda x: contains(lower(x), 'x') or contains(x, '×')),
+            lambda s: list_transform(arch, lambda a: a || ' ' || s)))) end as q from word_lists"""),
+    ("made_queries", f"""select image_id, pos, {S.strip('query')} as query from (
+        select image_id, unnest(range(0, len(q)))::int as pos, unnest(q) as query from made_lists)"""),
+]
+
+
+@query(
+    "f34_build_queries",
+    with_views(
+        ["ocr_text_v"],
+        """select image_id, pos, query from made_queries where length(query) >= 3
+           qualify row_number() over (partition by image_id, lower(query) order by pos) = 1""",
+        *MADE_QUERIES,
+    ),
+)
 def build_queries(spark: SparkSession, folder: str) -> DataFrame:
     texts = B.ocr_text_v(spark, folder)
     return K.build_queries(texts, K.extract_keywords(texts))
@@ -203,7 +303,7 @@ KEYWORDS = (
     "keywords",
     f"""select paper_id as image_id, keyword, row_number() over (partition by paper_id order by length(keyword) desc, keyword) as rank
         from (select paper_id, unnest({WORDS_SQL}) as keyword from papers_v)
-        qualify row_number() over (partition by paper_id order by length(keyword) desc, keyword) <= 30""",
+        """,
 )
 
 
@@ -211,12 +311,13 @@ def title_keywords(spark: SparkSession, folder: str) -> DataFrame:
     words = B.papers_v(spark, folder).select(
         F.col("paper_id").alias("image_id"), F.explode(X.title_words(F.col("title"))).alias("keyword")
     )
-    return K.top_keywords(words)
+    return K.ranked_keywords(words)
 
 
-@query("o2_top_keywords", with_views(["papers_v"], "select image_id, rank, keyword from keywords", KEYWORDS))
+@query("o2_top_keywords", with_views(["papers_v"], "select image_id, rank, keyword from keywords where rank <= 30", KEYWORDS))
 def top_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    return title_keywords(spark, folder).withColumn("rank", F.col("rank").cast("bigint"))
+    top = K.top_keywords(title_keywords(spark, folder).select("image_id", "keyword"))
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query(
@@ -281,7 +382,7 @@ def _scored_hits(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         ["papers_v"],
         """select page_id as image_id, url, round(raw, 6) > 0.3 as kept, case when len(matched) > 0
-             then concat('Keywords matched: ', array_to_string(matched[:3], ', ')) else 'Contextual match' end as reason
+             then concat('Keywords matched: ', array_to_string(matched, ', ')) else 'Contextual match' end as reason
            from scored where raw > 0.3""",
         KEYWORDS,
         SCORED_HITS,
@@ -338,12 +439,12 @@ def linked_pages(spark: SparkSession, folder: str) -> DataFrame:
     "p13_outbound_links",
     with_views(
         ["papers_v"],
-        r"""select page_id, cast(i - 1 as int) as pos, kept[i].u as url, substring(kept[i].t, 1, 150) as title from (
+        r"""select page_id, cast(i - 1 as int) as pos, kept[i].u as url, kept[i].t as title from (
              select page_id, kept, unnest(range(1, len(kept) + 1)) as i from (
-               select page_id, list_filter(list_transform(range(1, least(len(us), 20) + 1), lambda i: {'u': us[i],
+               select page_id, list_filter(list_transform(range(1, len(us) + 1), lambda i: {'u': us[i],
                    't': regexp_replace(regexp_replace(ts[i], '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')}),
                  lambda x: not regexp_matches(regexp_extract(x.u, '^[a-z]+://([^/?#]*)', 1), 'google\.com|gstatic\.com|ggpht\.com')
-                   and length(x.t) > 3)[:10] as kept
+                   and length(x.t) > 3) as kept
                from (select page_id, regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*http[^"]*)"[^>]*>(.*?)</a>', 1) as us,
                  regexp_extract_all(html, '(?s)<a [^>]*href="([^"]*http[^"]*)"[^>]*>(.*?)</a>', 2) as ts from linked)))""",
         PAGES_SQL,
@@ -358,7 +459,7 @@ def outbound_links(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         ["papers_v"],
         """select page_id, len(urls)::bigint as n_images, len(urls) > 0 as found, array_to_string(urls, ' ') as urls from (
-             select page_id, list_filter(regexp_extract_all(html, '<img [^>]*src="([^"]*)"', 1)[:15], lambda u: starts_with(u, 'http')) as urls
+             select page_id, list_filter(regexp_extract_all(html, '<img [^>]*src="([^"]*)"', 1), lambda u: starts_with(u, 'http')) as urls
              from linked)""",
         PAGES_SQL,
     ),
@@ -367,3 +468,18 @@ def similar_images(spark: SparkSession, folder: str) -> DataFrame:
     return K.similar_images(linked_pages(spark, folder)).select(
         "page_id", F.col("n_images").cast("bigint").alias("n_images"), "found", F.array_join("urls", " ").alias("urls")
     )
+
+
+@query(
+    "f37_choose_references",
+    with_views(
+        ["refs_v"],
+        """select paper_id, ord, case when paper_id % 3 = 0 then concat('by model: ', raw_text) else raw_text end as raw_text from refs_v
+           where paper_id % 3 <> 0 or ord % 2 = 0""",
+    ),
+)
+def choose_references(spark: SparkSession, folder: str) -> DataFrame:
+    """Every third paper has model rows, for half of its references."""
+    refs = B.refs_v(spark, folder).select("paper_id", "ord", "raw_text")
+    by_model = refs.where("paper_id % 3 = 0 and ord % 2 = 0").withColumn("raw_text", F.concat(F.lit("by model: "), F.col("raw_text")))
+    return D.choose_references(by_model, refs)

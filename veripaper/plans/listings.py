@@ -76,7 +76,7 @@ def papers_to_rescan(spark: SparkSession, folder: str) -> DataFrame:
         """select a.diagram_id, a.paper_id, b.diagram_id as matched_diagram_id from diagrams_v a
            join diagrams_v b on a.paper_id <> b.paper_id
            where a.paper_id in (select paper_id from papers_v where status in ('VALIDATED', 'NEEDS_REVIEW')
-              and paper_id in (select paper_id from diagrams_v) order by paper_id limit 20)
+              and paper_id in (select paper_id from diagrams_v))
            and 1 - list_sum(list_transform(range(1, 17), lambda i: case when a.hash[i] <> b.hash[i] then 1 else 0 end)) / 64.0 > 0.85
            qualify row_number() over (partition by a.diagram_id order by b.diagram_id) = 1""",
     ),
@@ -85,7 +85,7 @@ def rescan_diagrams(spark: SparkSession, folder: str) -> DataFrame:
     from ..operators.diagrams import suspicious_diagrams
 
     diagrams = B.diagrams_v(spark, folder)
-    due = L.papers_to_rescan(B.papers_v(spark, folder), diagrams).select("paper_id")
+    due = L.papers_to_rescan(B.papers_v(spark, folder), diagrams, n=None).select("paper_id")
     return suspicious_diagrams(diagrams).join(due, "paper_id", "left_semi").select(
         "diagram_id", "paper_id", "matched_diagram_id"
     )
@@ -548,7 +548,7 @@ def status_alerts(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         ["refs_v", "papers_v", "catalogue_v"],
         f"""select 'INVALID_REFERENCE' as type, 'WARNING' as severity, concat('Invalid Reference in Paper: ', w.title) as title,
-             concat('Reference #', cast(ord as varchar), ' could not be verified: ', substring(raw_text, 1, 100), '...') as message,
+             concat('Reference #', cast(ord as varchar), ' could not be verified: ', raw_text) as message,
              paper_id, ord
            from (select * from (select c.paper_id, c.ord, p.raw_text, {S.title_similarity('p.title', 'k.title', 'lk', 'rk')} as score, c.rank
               from candidates c join parsed p on p.paper_id = c.paper_id and p.ord = c.ord join catalogue_v k on k.cat_id = c.cat_id

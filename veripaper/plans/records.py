@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashes as H
 from ..operators import alerts as A
+from ..operators import diagrams as G
 from ..operators import documents as D
 from ..operators import regions as R
 from ..sources import catalogues as C
@@ -205,3 +209,137 @@ def drawing_regions(spark: SparkSession, folder: str) -> DataFrame:
 @query("x1_merge_regions")
 def merge_regions(spark: SparkSession, folder: str) -> DataFrame:
     return R.merge_regions(page_regions(spark, folder))
+
+
+SIZED_SQL = "lower(ext) in ('jpg', 'jpeg', 'png')"
+
+
+@query(
+    "p8_filter_images_simple",
+    with_views(
+        ["papers_v"],
+        f"""select doc_id, page, region_id, count(*) as n from regions where {SIZED_SQL} and x1 - x0 >= 50 and y1 - y0 >= 50 and not {LOGO}
+           group by all""",
+        REGIONS_SQL,
+    ),
+)
+def filter_images_simple(spark: SparkSession, folder: str) -> DataFrame:
+    images = page_regions(spark, folder).withColumns({"width": F.col("x1") - F.col("x0"), "height": F.col("y1") - F.col("y0")})
+    return R.filter_embedded_images_simple(images).groupBy("doc_id", "page", "region_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "p27_image_boxes",
+    with_views(
+        ["papers_v"],
+        f"""select doc_id, page, region_id, count(*) as n from regions where {SIZED_SQL} and x1 - x0 >= 100 and y1 - y0 >= 100 and not {LOGO}
+           group by all""",
+        REGIONS_SQL,
+    ),
+)
+def image_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    boxes = R.image_boxes(page_regions(spark, folder))
+    return boxes.groupBy("doc_id", "page", "region_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+CLIPPED_SQL = """select doc_id, page, region_id, round(a, 6) as x0, round(b, 6) as y0, round(greatest(a, least(x1, page_w)), 6) as x1,
+    round(greatest(b, least(y1, page_h)), 6) as y1
+  from (select *, greatest(0.0, least(x0, page_w)) as a, greatest(0.0, least(y0, page_h)) as b from regions)
+  where greatest(a, least(x1, page_w)) - a >= 100 and greatest(b, least(y1, page_h)) - b >= 100"""
+
+
+def _rounded(boxes: DataFrame) -> DataFrame:
+    return boxes.select("doc_id", "page", "region_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query("p26_clip_regions", with_views(["papers_v"], CLIPPED_SQL, REGIONS_SQL))
+def clip_regions(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(R.clip_regions(page_regions(spark, folder)))
+
+
+@query(
+    "u2_union_regions",
+    with_views(["papers_v"], "select page, 'image' as kind, count(*) as n from regions group by page union all select page, 'drawing', count(*) from regions where page > 1 group by page", REGIONS_SQL),
+)
+def union_regions(spark: SparkSession, folder: str) -> DataFrame:
+    regions = page_regions(spark, folder)
+    images = regions.withColumn("kind", F.lit("image"))
+    drawings = regions.where("page > 1").drop("ext").withColumn("kind", F.lit("drawing"))
+    return R.union_regions(images, drawings).groupBy("page", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "a16_drawing_boxes",
+    with_views(
+        ["papers_v"],
+        """select doc_id, page, region_id as drawing_id, round(min(x0), 6) as x0, round(min(y0), 6) as y0, round(max(x0), 6) as x1, round(max(y0), 6) as y1
+           from (select doc_id, page, region_id % 2 as region_id, x0, y0 from regions union all select doc_id, page, region_id % 2, x1, y1 from regions)
+           group by all having max(x0) - min(x0) >= 50 and max(y0) - min(y0) >= 50""",
+        REGIONS_SQL,
+    ),
+)
+def drawing_boxes(spark: SparkSession, folder: str) -> DataFrame:
+    corners = "inline(array(named_struct('x', x0, 'y', y0), named_struct('x', x1, 'y', y1)))"
+    points = page_regions(spark, folder).selectExpr("doc_id", "page", "region_id % 2 as drawing_id", corners)
+    boxes = G.drawing_boxes(points)
+    return boxes.select("doc_id", "page", "drawing_id", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query(
+    "f39_search_urls_format_hash",
+    """select page_id, concat('https://www.google.com/searchbyimage?image_url=', url_encode(url)) as google,
+         concat('https://www.bing.com/images/search?view=detailv2&iss=sbi&form=SBIVSP&sbisrc=UrlPaste&q=imgurl:', url_encode(url)) as bing,
+         case when page_id % 7 = 0 then '' when page_id % 2 = 0 then left(md5(url), 8) else concat(left(md5(url), 16), '...') end as shown
+       from pages""",
+)
+def search_urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = B.table(spark, folder, "pages").selectExpr(
+        "page_id", "url", "case when page_id % 7 = 0 then null when page_id % 2 = 0 then left(md5(url), 8) else md5(url) end as hash"
+    )
+    return pages.select("page_id", H.search_urls(F.col("url")).alias("u"), H.format_hash(F.col("hash")).alias("shown")).select(
+        "page_id", "u.google", "u.bing", "shown"
+    )
+
+
+@query(
+    "f40_client_key",
+    """select event_id, case when event_id % 4 = 0 then concat('10.0.0.', user_id % 256) when event_id % 4 = 1 then concat('10.1.0.', user_id % 256)
+         when event_id % 4 = 2 then concat('10.2.0.', user_id % 256) else 'local' end as client_key from events""",
+)
+def client_key(spark: SparkSession, folder: str) -> DataFrame:
+    headers = """map('x-forwarded-for', if(event_id % 4 = 0, concat(' 10.0.0.', user_id % 256, ' , 1.1.1.1'), ''),
+        'x-real-ip', if(event_id % 4 = 1, concat('10.1.0.', user_id % 256, ' '), null),
+        'cf-connecting-ip', if(event_id % 4 in (0, 1, 2), concat('10.2.0.', user_id % 256), ''))"""
+    events = B.table(spark, folder, "events").selectExpr("event_id", f"{headers} as headers")
+    return events.select("event_id", H.client_key(F.col("headers")).alias("client_key"))
+
+
+@query(
+    "f41_rect_distance",
+    with_views(
+        ["papers_v"],
+        """select a.doc_id, a.page, round(max(sqrt(greatest(0.0, a.x0 - b.x1, b.x0 - a.x1) ** 2 + greatest(0.0, a.y0 - b.y1, b.y0 - a.y1) ** 2)), 6) as widest
+           from regions a join regions b on a.doc_id = b.doc_id and a.page < b.page group by a.doc_id, a.page""",
+        REGIONS_SQL,
+    ),
+)
+def rect_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the farthest box of a later page is from a box of the page, in page coordinates."""
+    a, b = page_regions(spark, folder).alias("a"), page_regions(spark, folder).alias("b")
+    both = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") < F.col("b.page")))
+    gap = H.rect_distance(*[{c: F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")} for side in "ab"])
+    return both.groupBy("a.doc_id", "a.page").agg(F.round(F.max(gap), 6).alias("widest"))
+
+
+@query(
+    "s4_load_catalogue",
+    with_views(["papers_v"], "select title, year, count(*) as n from papers_v group by all"),
+)
+def load_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers written as records of a catalogue and loaded again."""
+    from ..functions.scale import shared_folder
+
+    record = "to_json(named_struct('paperId', concat('S', paper_id), 'title', title, 'year', year)) as value"
+    landed = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    B.papers_v(spark, folder).selectExpr(record).write.text(landed)
+    return C.load_catalogue(spark, landed, "semantic").groupBy("title", "year").agg(F.count(F.lit(1)).alias("n"))

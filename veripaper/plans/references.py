@@ -37,7 +37,7 @@ def _long(pattern: str) -> str:
 
 PHRASES = (
     f"list_filter(list_transform(regexp_split_to_array(regexp_replace(raw_text, {S.re2(P.REFERENCE_NUMBER)}, ''), "
-    f"'[.,;]'), lambda p: {S.strip('p')}), lambda p: length(p) > 15 and length(p) < 200)[1]"
+    f"'[.,;]'), lambda p: {S.strip('p')}), lambda p: length(p) > 15)[1]"
 )
 TITLE_SQL = _cascade_sql(
     [
@@ -49,7 +49,7 @@ TITLE_SQL = _cascade_sql(
         (S.strip(S.matched("raw_text", P.TITLE_ITALICS)), "medium"),
         (_long(P.TITLE_BETWEEN_PERIODS), "low"),
         (PHRASES, "low"),
-        (S.strip("substring(raw_text, 1, 100)"), "low"),
+        (S.strip("raw_text"), "low"),
     ],
     "title",
 )
@@ -163,8 +163,7 @@ def _clean_sql(t: str) -> str:
         rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, {S.re2(P.BULK_NAME_PREFIX)}, ''), "
         rf"{S.re2(P.BULK_NAMES_PREFIX)}, ''), '\s+', ' ', 'g'), '[,;:]+\s*$', '')"
     )
-    cut = f"regexp_replace(substring({cleaned}, 1, 300), ' [^ ]*$', '')"
-    return S.strip(f"case when length({cleaned}) > 300 then {cut} else {cleaned} end")
+    return S.strip(cleaned)
 
 
 BULK_TITLES_SQL = f"""select paper_id, ord, list_filter([
@@ -335,7 +334,7 @@ def _end_off(text: str) -> str:
     return rf"regexp_replace({text}, '[,.;:]+$', '')"
 
 
-SEARCH_SQL = rf"trim(substring(trim(regexp_replace({_quotes_off(_end_off(_plain_sql('t', True)))}, '\s+', ' ', 'g')), 1, 200))"
+SEARCH_SQL = rf"trim(regexp_replace({_quotes_off(_end_off(_plain_sql('t', True)))}, '\s+', ' ', 'g'))"
 QUERY_SQL = rf"trim(regexp_replace({_quotes_off(_end_off(_plain_sql('q', False)))}, '\s+', ' ', 'g'))"
 
 
@@ -346,7 +345,7 @@ QUERY_SQL = rf"trim(regexp_replace({_quotes_off(_end_off(_plain_sql('q', False))
         f"""select paper_id, ord, coalesce({SEARCH_SQL}, '') as search_text, {QUERY_SQL} as query_text,
              {S.strip(_end_off(_plain_sql('t', False)))} as upload_text
         from (select paper_id, ord, concat('“', raw_text, '”…') as t,
-                case when ord % 2 = 0 then substring(raw_text, 1, 100) else concat('‘', raw_text, '’,;') end as q
+                case when ord % 2 = 0 then raw_text else concat('‘', raw_text, '’,;') end as q
               from refs_v)""",
     ),
 )
@@ -577,7 +576,7 @@ def reference_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- papers against the catalogue ---------------------------------------------------------------
 PAPER_CANDIDATES = [
-    ("asked", f"select paper_id, {WORDS_SQL('left(title, 200)')} as words from papers_v"),
+    ("asked", f"select paper_id, {WORDS_SQL('title')} as words from papers_v"),
     *[c for c in candidates_ctes(5) if c[0] in ("stored", "cat_words", "ask_words", "set_hits", "set_top")],
 ]
 CATALOGUE_MATCH_CTES = [

@@ -63,7 +63,7 @@ def jaccard(a: str, b: str) -> str:
 
 
 def score_text(score: str) -> str:
-    return rf"regexp_replace(printf('%.6f', {score}), '\.?0+$', '')"
+    return rf"regexp_replace(cast({score} as varchar), '\.0$', '')"
 
 
 def notes(*items: str, separator: str = "; ") -> str:

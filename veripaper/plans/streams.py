@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import shared_folder
 from ..streaming import jobs as J
 from ..streaming import pipelines as L
 from ..streaming import quotas as Q
 from . import bindings as B
+from . import sql_text as S
 from .oracle_views import with_views
+from .papers import AS_OF as TODAY
 from .registry import query
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A fresh folder for a stream's table and checkpoint, below ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        return tempfile.mkdtemp(prefix="stream-")
-    import uuid
-
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A fresh folder for a stream's table and checkpoint, in the shared folder."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -101,7 +97,7 @@ def quota_labels_hourly(spark: SparkSession, folder: str) -> DataFrame:
 def quota_stream(spark: SparkSession, folder: str) -> DataFrame:
     events = read_stream(spark, folder, "events")
     requests = events.selectExpr("event_id as req_id", "user_id as client_key", "ts")
-    labelled = run_to_table(Q.quota_stream(requests, limit=3, window_seconds=168 * 3600, expire=False), spark)
+    labelled = run_to_table(Q.quota_stream(requests, limit=3, window_seconds=168 * 3600), spark)
     return labelled.select("req_id", "allowed", F.col("remaining").cast("bigint").alias("remaining"))
 
 
@@ -183,17 +179,38 @@ DAILY_SQL = with_views(
 )
 
 
+ALERT_COLUMNS = [
+    "event_id as alert_id",
+    "case event_type when 'signup' then 'PAPER_VALIDATED' when 'view' then 'PAPER_REJECTED' when 'click' then 'INVALID_REFERENCE' "
+    "when 'purchase' then 'SUSPICIOUS_DIAGRAM' else 'VALIDATION_ERROR' end as type",
+    "case event_id % 4 when 0 then 'INFO' when 1 then 'WARNING' when 2 then 'ERROR' else 'CRITICAL' end as severity",
+    "concat('Alert ', event_id) as title",
+    "props as message",
+    "ts as created_at",
+]
+
+
 @query("t8_daily_counts", DAILY_SQL)
 def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
     kinds = B.alerts_v(spark, folder).selectExpr("created_at", "type as kind")
     return L.daily_counts(kinds)
 
 
-@query("t6_validate_new_papers")
+@query(
+    "t6_validate_new_papers",
+    with_views(
+        ["papers_v"],
+        f"""select paper_id, len(errors) = 0 as is_valid, array_to_string(errors, '; ') as errors from (
+              select paper_id, list_filter([
+                case when title is null or {S.strip('title')} = '' then 'Title is required' end,
+                case when paper_id % 3 = 0 then 'At least one author is required' end,
+                case when 2000 + paper_id % 30 > {TODAY.year + 1} then concat('Invalid publication year: ', 2000 + paper_id % 30) end],
+                lambda e: e is not null) as errors
+              from papers_v where paper_id % 4 = 0)""",
+    ),
+)
 def validate_new_papers(spark: SparkSession, folder: str) -> DataFrame:
     """Documents streamed as papers through the metadata check."""
-    from .papers import AS_OF as TODAY
-
     papers = read_stream(spark, folder, "documents").selectExpr(
         "doc_id as paper_id", f"{B.TITLE} as title", "cast(null as string) as doi", "cast(2000 + doc_id % 30 as int) as year",
         "source as venue", "if(doc_id % 4 = 0, 'PENDING', 'VALIDATED') as status", "cast(doc_id % 3 as int) as n_authors",
@@ -202,3 +219,50 @@ def validate_new_papers(spark: SparkSession, folder: str) -> DataFrame:
     L.validate_new_papers(papers, f"{work}/out", f"{work}/checkpoint", TODAY).awaitTermination()
     checked = spark.read.parquet(f"{work}/out")
     return checked.select("paper_id", "is_valid", F.array_join("errors", "; ").alias("errors"))
+
+
+@query("t8_daily_counts_stream", DAILY_SQL)
+def daily_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts of a stream of alerts, whole days as they end, the last one when the stream does."""
+    kinds = "case event_type when 'signup' then 'PAPER_VALIDATED' when 'view' then 'PAPER_REJECTED' when 'click' then 'INVALID_REFERENCE' when 'purchase' then 'SUSPICIOUS_DIAGRAM' else 'VALIDATION_ERROR' end as kind"
+    events = read_stream(spark, folder, "events").selectExpr("cast(ts as timestamp) as created_at", kinds)
+    work, name = work_folder(spark), f"days_{uuid.uuid4().hex}"
+
+    def keep(days: DataFrame, number: int) -> None:
+        days.write.mode("overwrite").parquet(f"{work}/{name}")
+
+    counts = L.daily_counts(events)
+    schema = counts.schema
+    query = counts.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{work}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{work}/{name}").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query(
+    "t9_alert_fanout",
+    with_views(
+        ["alerts_v"],
+        "select channel, type, count(*) as n from alerts_v cross join (select unnest(['slack', 'email']) as channel) group by all",
+    ),
+)
+def alert_fanout(spark: SparkSession, folder: str) -> DataFrame:
+    """Alerts that a stream has stored, for each channel whose payloads it wrote, by type."""
+    alerts = read_stream(spark, folder, "events").selectExpr(*ALERT_COLUMNS)
+    work = work_folder(spark)
+    L.alert_fanout(alerts, f"{work}/out", f"{work}/checkpoint", ["slack", "email"]).awaitTermination()
+    payloads = spark.read.parquet(f"{work}/out/payloads").select("channel", "alert_id")
+    stored = spark.read.parquet(f"{work}/out/alerts").select("alert_id", "type")
+    return payloads.join(stored, "alert_id").groupBy("channel", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "t10_ingest_catalogue",
+    with_views(["papers_v"], "select title, count(*) as n from papers_v where coalesce(title, '') <> '' group by title"),
+)
+def ingest_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """Papers landed as records of a catalogue and read by a stream, counted by title."""
+    record = "to_json(named_struct('id', concat('W', paper_id), 'title', title, 'doi', doi, 'publication_year', year)) as value"
+    work = work_folder(spark)
+    B.papers_v(spark, folder).selectExpr(record).write.text(f"{work}/landed")
+    L.ingest_catalogue(spark, f"{work}/landed", "openalex", f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out/papers").groupBy("title").agg(F.count(F.lit(1)).alias("n"))

@@ -26,6 +26,12 @@ def _start(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoin
     return writer.start()
 
 
+def _once(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written and read back, so that a micro-batch is worked out once."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def validate_new_papers(
     papers: DataFrame, out: str, checkpoint: str, as_of: date, every: str | None = None
 ) -> StreamingQuery:
@@ -54,7 +60,7 @@ def ingest_catalogue(
     raw = spark.readStream.text(landed)
 
     def batch(df: DataFrame, number: int) -> None:
-        papers = normalize_catalogue(df, source)
+        papers = _once(normalize_catalogue(df, source), f"{out}/read/batch={number}")
         good = papers.where(F.coalesce("title", F.lit("")) != "")
         kept = good if import_batch is None else import_batch(good)
         kept.write.mode("overwrite").parquet(f"{out}/papers/batch={number}")
@@ -72,17 +78,21 @@ def alert_fanout(
     deliver: Callable[[DataFrame, int], None] | None = None,
     every: str | None = None,
 ) -> StreamingQuery:
-    """Alerts written to a table and, per enabled channel, as payloads; a failed delivery blocks nothing."""
+    """Alerts written to a table and, per enabled channel, as payloads; a failed delivery blocks nothing
+    and is a row of ``failures``."""
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
-        payloads = build_alert_payloads(df, channels)
-        payloads.write.mode("overwrite").parquet(f"{out}/payloads/batch={number}")
+        stored = df.sparkSession.read.schema(df.schema).parquet(f"{out}/alerts/batch={number}")
+        payloads = _once(build_alert_payloads(stored, channels), f"{out}/payloads/batch={number}")
+        failures = []
         if deliver is not None:
             try:
                 deliver(payloads, number)
             except Exception as error:  # noqa: BLE001
-                print(f"delivery of batch {number} failed: {error}")
+                failures.append((number, str(error)))
+        log = df.sparkSession.createDataFrame(failures, "batch_number bigint, error string")
+        log.write.mode("overwrite").parquet(f"{out}/failures/batch={number}")
 
     return _start(alerts, batch, checkpoint, every)
 

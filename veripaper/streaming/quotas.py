@@ -42,7 +42,7 @@ def _exits(times: np.ndarray, entries: np.ndarray, window: int) -> np.ndarray:
 def _block_function(block_micros: int, window: int):
     def summarize(rows: Columns) -> dict[str, list]:
         times = rows["micros"]
-        block = int(rows["block"][0])
+        block = int(times[0] // block_micros)
         reach = block * block_micros + window
         # A window opened before the block resets before ``reach``: only these can open the block.
         before = np.concatenate(([_NEVER], times))
@@ -52,13 +52,7 @@ def _block_function(block_micros: int, window: int):
         exits = np.full(len(lows), _NEVER)
         exits[opens] = _exits(times, entries, window)
         changed = np.concatenate(([True], exits[1:] != exits[:-1]))
-        kept = int(changed.sum())
-        return {
-            "client_key": [rows["client_key"][0]] * kept,
-            "block": [block] * kept,
-            "low": lows[changed].tolist(),
-            "leaves": exits[changed].tolist(),
-        }
+        return {"low": lows[changed].tolist(), "leaves": exits[changed].tolist()}
 
     return summarize
 
@@ -73,11 +67,7 @@ def _chain(pieces: Columns) -> dict[str, list]:
         reached.append(reset)
         exit_ = int(leaves[begin + np.searchsorted(low[begin:end], reset, side="right") - 1])
         reset = reset if exit_ == _NEVER else exit_
-    return {
-        "client_key": [pieces["client_key"][0]] * len(starts),
-        "block": block[starts].tolist(),
-        "reached": reached,
-    }
+    return {"block": block[starts].tolist(), "reached": reached}
 
 
 def _window_starts(window: int):
@@ -89,7 +79,7 @@ def _window_starts(window: int):
         while at < len(times):
             starts.append(int(times[at]))
             at = int(np.searchsorted(times, times[at] + window, side="right"))
-        return {"client_key": [rows["client_key"][0]], "block": [int(rows["block"][0])], "starts": [starts]}
+        return {"starts": [starts]}
 
     return place
 
@@ -116,14 +106,19 @@ def quota_labels(
     reached = map_groups(
         pieces, ["client_key"], ["block", "low"], _chain, f"client_key {kind}, block bigint, reached bigint"
     )
+    same_block = moments["client_key"].eqNullSafe(reached["client_key"]) & (moments["block"] == reached["block"])
     starts = map_groups(
-        moments.join(reached, by_block), by_block, ["micros"], _window_starts(window),
+        moments.join(reached, same_block).select(moments["*"], "reached"), by_block, ["micros"], _window_starts(window),
         f"client_key {kind}, block bigint, starts array<bigint>",
     )
     start = F.element_at(F.filter("starts", lambda s: s <= F.col("micros")), -1)
-    placed = timed.join(starts, ["client_key", "block"]).withColumn("start", start).drop("starts", "block")
+    same_block = timed["client_key"].eqNullSafe(starts["client_key"]) & (timed["block"] == starts["block"])
+    placed = timed.join(starts, same_block).select(timed["*"], start.alias("start"))
+    # Only the first ``limit`` requests of a window matter; each task keeps as many before the shuffle.
     nth = F.row_number().over(W.partitionBy("client_key", "start").orderBy("micros", "req_id"))
-    counted = placed.withColumn("nth", nth)
+    first = placed.withColumn("nth", nth).where(F.col("nth") <= limit).select("req_id", F.col("client_key").alias("_key"), "nth")
+    own = (placed["req_id"] == first["req_id"]) & placed["client_key"].eqNullSafe(F.col("_key"))
+    counted = placed.join(first, own, "left").select(placed["*"], F.coalesce("nth", F.lit(limit + 1)).alias("nth"))
     return counted.select(
         *requests.columns,
         (F.col("nth") <= limit).alias("allowed"),
@@ -151,14 +146,14 @@ def live_quotas(snapshot_windows: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def quota_stream(
-    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, expire: bool = True
+    requests: DataFrame, limit: int = LIMIT, window_seconds: int = WINDOW_SECONDS, lateness: str = "1 hour"
 ) -> DataFrame:
     """Streaming form: ``(req_id, client_key, ts, allowed, remaining)`` per request.
 
-    The state of a key is its reset time and count; with ``expire`` it goes when no request came
-    for a window. A run over available data only must not expire: its timers would keep it going.
-    Requests of a key are taken in order of time within a micro-batch; micro-batches must arrive
-    in order.
+    The state of a key is its reset time and count; it goes once the watermark of ``ts``, ``lateness``
+    behind the latest request, has passed the reset time, so that a replayed log forgets nothing
+    early. Requests of a key are taken in order of time within a micro-batch; requests behind the
+    watermark are dropped.
     """
     window = window_seconds * _MICROS
 
@@ -167,33 +162,35 @@ def quota_stream(
             state.remove()
             return
         rows = pd.concat(list(chunks)).sort_values(["micros", "req_id"])
+        times = rows["micros"].to_numpy()
         reset, used = state.get if state.exists else (_NEVER, 0)
-        allowed, remaining = [], []
-        for micros in rows["micros"].to_numpy():
-            if micros > reset:
-                reset, used = int(micros) + window, 0
-            allowed.append(used < limit)
-            used = min(used + 1, limit)
-            remaining.append(limit - used)
-        state.update((reset, used))
-        if expire:
-            state.setTimeoutDuration(window_seconds * 1000)
+        at = int(np.searchsorted(times, reset, side="right"))
+        parts = [used + 1 + np.arange(at)]
+        used += at
+        while at < len(times):
+            reset = int(times[at]) + window
+            end = int(np.searchsorted(times, reset, side="right"))
+            parts.append(1 + np.arange(end - at))
+            used, at = end - at, end
+        nth = np.concatenate(parts)
+        state.update((reset, min(used, limit)))
+        state.setTimeoutTimestamp(max(reset // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {
                 "req_id": rows["req_id"],
                 "client_key": key[0],
                 "ts": rows["ts"],
-                "allowed": allowed,
-                "remaining": remaining,
+                "allowed": nth <= limit,
+                "remaining": np.maximum(limit - nth, 0),
             }
         )
 
     kinds = dict(requests.dtypes)
-    timed = requests.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
-    return timed.groupBy("client_key").applyInPandasWithState(
+    timed = requests.withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", lateness)
+    return timed.withColumn("micros", F.unix_micros("event_time")).groupBy("client_key").applyInPandasWithState(
         label,
         f"req_id {kinds['req_id']}, client_key {kinds['client_key']}, ts {kinds['ts']}, allowed boolean, remaining int",
         "reset bigint, used int",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
