@@ -5,10 +5,11 @@ windows that share one anchor form a run. Equal windows have equal anchors at th
 
 1. anchors are counted in a count-min sketch, merged from partition sketches by Spark;
 2. runs whose anchor may be repeated are grouped by their whole content: later members are repeated;
-3. only where one anchor has several contents, the windows of the first run of each content are
-   grouped one by one.
+3. only where one anchor has several contents, the first run of each is looked at more closely: longer
+   strings around its anchor, one for each quarter of its windows, are counted in a second sketch;
+4. windows that hold such a string with a count above one are grouped one by one.
 
-No window is lost: the sketch never counts too little, and steps 2 and 3 compare 128-bit hashes.
+No window is lost: the sketches never count too little, and steps 2 and 4 compare 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -63,11 +64,14 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows of one batch: text number, first window, windows, anchor, content (two hashes)."""
+    """Runs of windows of one batch: text number, first window, windows, place in the batch of the first
+    window and of the anchor, anchor, content (two hashes)."""
 
     text: np.ndarray
     start: np.ndarray
     size: np.ndarray
+    begin: np.ndarray
+    at: np.ndarray
     anchor: np.ndarray
     content: np.ndarray
     check: np.ndarray
@@ -81,7 +85,7 @@ def runs_of(units: Units, data: np.ndarray, starts: np.ndarray) -> Runs:
     n_windows = np.maximum(0, lengths - units.window + 1)
     if len(one) < units.window or not n_windows.any():
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), (one, two))
+        return Runs(none, none, none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint64), (one, two))
     text = np.repeat(np.arange(len(lengths)), n_windows)
     begin = np.arange(n_windows.sum()) + np.repeat(first[:-1] - (np.cumsum(n_windows) - n_windows), n_windows)
     grams = run_hashes(one, units.gram, BASES[2])
@@ -96,6 +100,8 @@ def runs_of(units: Units, data: np.ndarray, starts: np.ndarray) -> Runs:
         text[heads],
         start - first[text[heads]],
         size,
+        start,
+        at[heads],
         grams[at[heads]],
         span_hashes(one, start, end, BASES[3]),
         span_hashes(two, start, end, BASES[1]),
@@ -252,28 +258,75 @@ def _run_key(doc: np.ndarray, content: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * U64(BASES[0]) ^ content.view(np.uint64))
 
 
-def _window_rows(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast) -> DataFrame:
-    """All windows of the wanted runs (and of a few others): ``doc, start, one, two``."""
+#: Parts of a run's windows, by how far left of the anchor they start, that are told apart in step 3.
+PARTS = 4
+
+
+def _parts(units: Units) -> list[tuple[int, int]]:
+    """First and last distance from the anchor of each part's windows."""
+    slack = units.window - units.gram
+    step = -(-(slack + 1) // PARTS)
+    return [(low, min(slack, low + step - 1)) for low in range(0, slack + 1, step)]
+
+
+def part_keys(units: Units, runs: Runs, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each part the chosen runs that have windows in it, and the hash of what all these windows hold."""
+    at, begin, size = runs.at[chosen], runs.begin[chosen], runs.size[chosen]
+    slack = units.window - units.gram
+    for j, (low, high) in enumerate(_parts(units)):
+        has = np.flatnonzero((at - begin >= low) & (at - begin - size + 1 <= high))
+        keys = span_hashes(runs.hashes[0], at[has] - low, at[has] + units.gram + slack - high, BASES[3])
+        yield has, mix(keys ^ U64(j + 1))
+
+
+def _wanted_runs(batch: pa.RecordBatch, runs: Runs, anchors: Broadcast, wanted: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    docs = batch.column("doc").to_numpy(zero_copy_only=False)
+    kept = np.flatnonzero(anchors.value.hold(runs.anchor))
+    return docs, kept[wanted.value.hold(_run_key(docs[runs.text[kept]], runs.content[kept]))]
+
+
+def _part_sketch(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast, cells: int) -> DataFrame:
+    """Partition sketches of the longer strings around the anchors of the wanted runs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch, data, starts in small_batches(batches, "text"):
+            runs = runs_of(units, data, starts)
+            _, kept = _wanted_runs(batch, runs, anchors, wanted)
+            held += [keys for _, keys in part_keys(units, runs, kept)]
+            if sum(map(len, held)) > 4 * BLOCK:
+                yield packed_batch(np.concatenate(held), cells)
+                held = []
+        if sum(map(len, held)):
+            yield packed_batch(np.concatenate(held), cells)
+
+    return docs.mapInArrow(work, PACKED)
+
+
+def _window_rows(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast, shared: Broadcast) -> DataFrame:
+    """Windows of the wanted runs whose part may occur again: ``doc, start, one, two``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in small_batches(batches, "text"):
             runs = runs_of(units, data, starts)
-            docs_of = batch.column("doc").to_numpy(zero_copy_only=False)
-            kept = np.flatnonzero(anchors.value.hold(runs.anchor))
-            kept = kept[wanted.value.hold(_run_key(docs_of[runs.text[kept]], runs.content[kept]))]
+            docs_of, kept = _wanted_runs(batch, runs, anchors, wanted)
             if not len(kept):
                 continue
-            first = units.read(data, starts)[2]
+            open_parts = np.zeros((len(kept), PARTS), dtype=bool)
+            for j, (has, keys) in enumerate(part_keys(units, runs, kept)):
+                open_parts[has, j] = shared.value.hold(keys)
             size = runs.size[kept]
+            run = np.repeat(np.arange(len(kept)), size)
             nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            start = np.repeat(runs.start[kept], size) + nth
-            text = np.repeat(runs.text[kept], size)
-            begin = start + first[text]
+            step = _parts(units)[0][1] + 1
+            chosen = open_parts[run, (runs.at[kept][run] - runs.begin[kept][run] - nth) // step]
+            run, nth = run[chosen], nth[chosen]
+            begin = runs.begin[kept][run] + nth
             hashes = [
                 _signed(span_hashes(h, begin, begin + units.window, base))
                 for h, base in zip(runs.hashes, (BASES[3], BASES[1]))
             ]
-            columns = [docs_of[text], start.astype(np.int32), *hashes]
+            columns = [docs_of[runs.text[kept][run]], (runs.start[kept][run] + nth).astype(np.int32), *hashes]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "one", "two"])
 
     return docs.mapInArrow(work, "doc long, start int, one long, two long")
@@ -315,7 +368,11 @@ def repeated_windows(docs: DataFrame, units: Units, own_repeats: bool) -> DataFr
     wanted = spark.sparkContext.broadcast(
         merged_cells(open_runs.select("doc", "content").mapInArrow(open_sketch, PACKED), wanted_cells, 1)
     )
-    windows = written(_window_rows(docs, units, anchors, wanted))
+    part_cells = cells_for(PARTS * n_open)
+    shared = spark.sparkContext.broadcast(
+        merged_cells(_part_sketch(docs, units, anchors, wanted, part_cells), part_cells, 2)
+    )
+    windows = written(_window_rows(docs, units, anchors, wanted, shared))
     groups = windows.groupBy("one", "two").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")
     ).where("n > 1" if own_repeats else "last > first.doc").select("one", "two", "first")

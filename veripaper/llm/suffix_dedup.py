@@ -2,8 +2,8 @@
 
 Suffixes start at anchors that their own content selects, about one in 35 bytes, so equal strings have
 equal anchors (see ``repeats``). Spark ranks them at growing lengths: first by the 32 bytes at the
-anchor, then by everything that the windows at this anchor can see, last by the exact 100 bytes of each
-window. A suffix leaves the ranking as soon as it is unique or, past the threshold, known to be
+anchor, then by everything that the windows at this anchor can see, then by 83 bytes around it, last by
+the exact 100 bytes of each window. A suffix leaves the ranking as soon as it is unique or, past the threshold, known to be
 repeated. Ranks are 128-bit names instead of positions in a global order, so a round needs a shuffle
 and no second lookup of the rank at the offset.
 """
