@@ -70,4 +70,4 @@ def test_common_shingles():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(20)]
     expected = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
-    assert N.common_shingles(sets).tolist() == expected
+    assert N.common_shingles(sets).astype(int).tolist() == expected

@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -67,7 +67,7 @@ def set_keys(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """``TOKENS`` minwise tokens for each non-empty set, 32 bits each."""
+    """``TOKENS`` minwise tokens for each non-empty set, 32 bits each; their lower halves tell tokens apart."""
     full = first[:-1][np.diff(first) > 0]
     out = np.zeros((len(full), TOKENS), np.uint32)
     factors = mix(np.arange(1, TOKENS + 1, dtype=np.uint64)) | U64(1)
@@ -77,25 +77,32 @@ def signatures(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """``doc, key, n, signature`` of every document; without shingles ``n`` is 0 and the signature null."""
+    """``doc, key, n`` and the signature's halves of every document; without shingles ``n`` is 0 and they are null."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in small_batches(batches, "text"):
             shingles, first = shingle_sets(data, starts)
             sizes = np.diff(first)
-            rows = iter(signatures(shingles, first))
-            tokens = [next(rows).tobytes() if n else None for n in sizes]
+            rows = signatures(shingles, first)
+            full = np.cumsum(sizes > 0) - 1
+            upper, lower = (
+                pa.array([half[i].tobytes() if n else None for i, n in zip(full, sizes)], pa.binary())
+                for half in ((rows >> np.uint32(16)).astype(np.uint16), rows.astype(np.uint16))
+            )
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc"), pa.array(set_keys(shingles, first).view(np.int64)), pa.array(sizes, pa.int64()),
-                 pa.array(tokens, pa.binary())],
-                names=["doc", "key", "n", "signature"],
-            )
+                [batch.column("doc"), pa.array(set_keys(shingles, first).view(np.int64)), pa.array(sizes, pa.int64()), upper, lower],
+                names=["doc", "key", "n", "upper", "lower"],
+            )
+
+    return docs.mapInArrow(work, "doc long, key long, n long, upper binary, lower binary")
+
 
-    return docs.mapInArrow(work, "doc long, key long, n long, signature binary")
+def _tokens(halves: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(halves), np.uint16).reshape(-1, TOKENS)
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """``node, key`` one level below ``rows (node, key, signature)``: one row for each picked coordinate."""
+    """``node, key`` one level below ``rows (node, key, upper, lower)``: one row for each picked coordinate."""
     odds = U64(int((1 << 64) / (PERCENT / 100 * TOKENS)))
     coordinates = np.arange(TOKENS, dtype=np.uint64)
 
@@ -106,7 +113,8 @@ def _children(rows: DataFrame) -> DataFrame:
                 continue
             nodes = batch.column("node").to_numpy().view(np.uint64)
             keys = batch.column("key").to_numpy()
-            tokens = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, TOKENS)
+            upper, lower = (_tokens(batch.column(half).to_pylist()).astype(np.uint64) for half in ("upper", "lower"))
+            tokens = (upper << U64(16)) | lower
             out_nodes, out_keys = [], []
             for node in np.unique(nodes):
                 if node not in picks:
@@ -116,7 +124,7 @@ def _children(rows: DataFrame) -> DataFrame:
                     picks[node] = np.flatnonzero(drawn < odds)
                 own = np.flatnonzero(nodes == node)
                 for i in picks[node]:
-                    out_nodes.append(mix(mix(tokens[own, i].astype(np.uint64) + node) ^ U64(i + 1)))
+                    out_nodes.append(mix(mix(tokens[own, i] + node) ^ U64(i + 1)))
                     out_keys.append(keys[own])
             if out_nodes:
                 yield pa.RecordBatch.from_arrays(
@@ -124,7 +132,7 @@ def _children(rows: DataFrame) -> DataFrame:
                     names=["node", "key"],
                 )
 
-    return rows.select("node", "key", "signature").mapInArrow(work, "node long, key long")
+    return rows.select("node", "key", "upper", "lower").mapInArrow(work, "node long, key long")
 
 
 def _leaves(sets: DataFrame, trees: int) -> DataFrame:
@@ -134,7 +142,7 @@ def _leaves(sets: DataFrame, trees: int) -> DataFrame:
     are in every chunk.
     """
     roots = [int(mix(np.array([t + 1], np.uint64)).view(np.int64)[0]) for t in range(trees)]
-    level = sets.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "key", "signature")
+    level = sets.select(F.explode(F.array(*[F.lit(r) for r in roots])).alias("node"), "key", "upper", "lower")
     leaves: DataFrame | None = None
     for depth in range(LEVELS + 1):
         rows = written(_children(level))
@@ -148,7 +156,7 @@ def _leaves(sets: DataFrame, trees: int) -> DataFrame:
         leaves = done if leaves is None else leaves.unionByName(done)
         if last:
             break
-        level = rows.join(large.select("node"), "node").join(sets, "key").select("node", "key", "signature")
+        level = rows.join(large.select("node"), "node").join(sets, "key").select("node", "key", "upper", "lower")
     leaves = written(leaves)
     chunks = F.ceil(F.col("n") / SMALL_NODE).cast("int")
     small = leaves.where(F.col("n") <= SMALL_NODE).select("node", F.lit(0).alias("chunk"), F.lit(False).alias("hub"), "key")
@@ -217,23 +225,23 @@ def _strong_pairs(rows: DataFrame) -> DataFrame:
     """Pairs ``a, b``: in every node the strongest estimated links that hold it together."""
 
     def work(keys: np.ndarray, parts: np.ndarray, tokens: list[bytes]) -> list[np.ndarray]:
-        alike = _similarities(np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS))
+        alike = _similarities(_tokens(tokens))
         edges = np.array(strongest_links(alike, SURE * TOKENS), np.int64).reshape(-1, 2)
         a, b = keys[edges[:, 0]], keys[edges[:, 1]]
         return [np.minimum(a, b), np.maximum(a, b)]
 
-    return _by_node(rows, "signature", work, ["a", "b"]).select("a", "b").distinct()
+    return _by_node(rows, "lower", work, ["a", "b"]).select("a", "b").distinct()
 
 
 def _open_members(rows: DataFrame) -> DataFrame:
     """``node, chunk, key, component``: sets that may reach the threshold with one of another component."""
 
     def work(keys: np.ndarray, parts: np.ndarray, tokens: list[bytes]) -> list[np.ndarray]:
-        alike = _similarities(np.frombuffer(b"".join(tokens), np.uint32).reshape(-1, TOKENS))
+        alike = _similarities(_tokens(tokens))
         kept = ((alike >= LEAST * TOKENS) & (parts[:, None] != parts[None, :])).any(axis=1)
         return [keys[kept], parts[kept]]
 
-    return _by_node(rows, "signature", work, ["key", "component"])
+    return _by_node(rows, "lower", work, ["key", "component"])
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -252,21 +260,27 @@ def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
         part[own[a:b], at[a:b] - begin] = 1
         total += part @ part.T
     total[np.diag_indices(len(sets))] = [len(x) for x in sets]
-    return total.astype(np.int64)
+    return total
 
 
 def local_links(keys: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
     """Links ``a, b`` of a node's sets, as few as join all components that the threshold joins."""
     common = common_shingles(sets)
-    size = np.diagonal(common)
-    linked = 100 * common >= PERCENT * (size[:, None] + size[None, :] - common)
-    _, group = np.unique(parts, return_inverse=True)
+    size = np.array([len(x) for x in sets])
     a, b = [], []
-    for i, j in np.argwhere(np.triu(linked & (group[:, None] != group[None, :]), 1)).tolist() if len(keys) else ():
-        if group[i] != group[j]:
-            group[group == group[j]] = group[i]
-            a.append(keys[i])
-            b.append(keys[j])
+    free = np.ones(len(sets), dtype=bool)
+    for head in range(len(sets)):
+        reached = [head] if free[head] else []
+        free[head] = False
+        while reached:
+            at = reached.pop()
+            both = common[at].astype(np.int64)
+            found = np.flatnonzero(free & (100 * both >= PERCENT * (size[at] + size - both)))
+            free[found] = False
+            reached += found.tolist()
+            other = found[parts[found] != parts[at]]
+            a += [keys[at]] * len(other)
+            b += keys[other].tolist()
     return [np.array(a, np.int64), np.array(b, np.int64)]
 
 
@@ -349,9 +363,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = written(_set_rows(slim))
     linked = rows.where("doc is not null and n > 0")
     slim = slim.where("doc is not null")
-    sets = written(linked.groupBy("key").agg(F.min("doc").alias("owner"), F.first("signature").alias("signature")))
+    sets = written(linked.groupBy("key").agg(F.min("doc").alias("owner"), F.first("upper").alias("upper"), F.first("lower").alias("lower")))
     leaves = written(_leaves(sets, trees))
-    signed = sets.select("key", "signature")
+    signed = sets.select("key", "lower")
     first = leaves.join(signed, "key").withColumn("component", F.col("key"))
     links = cut(_confirmed(cut(_strong_pairs(first)), slim, sets))
     parts = cut(components(links))
@@ -359,15 +373,30 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = leaves.join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")
     )
+    # Of a node in chunks, the sets outside its main component meet all others, block by block.
+    outside = F.col("component") != F.col("main")
     nodes = placed.groupBy("node").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), (F.max("chunk") + 1).alias("chunks"),
         F.max(F.when(F.col("hub"), F.col("component"))).alias("main"),
-    ).where("low < high")
-    open_rows = written(placed.join(nodes, "node"))
-    everywhere = open_rows.where("chunks > 1 and component <> main").select(
-        "node", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "key", "component"
+    ).where("low < high").select("node", "chunks", "main")
+    open_rows = written(placed.where("not hub").join(nodes, "node").select("node", "chunk", "chunks", "main", "key", "component"))
+    blocks = open_rows.where("chunks > 1").groupBy("node").agg(
+        F.greatest(F.lit(1), F.ceil(F.count_if(outside) / SMALL_NODE)).cast("int").alias("blocks")
     )
-    second = open_rows.select("node", "chunk", "key", "component").unionByName(everywhere).join(signed, "key")
+    dealt = open_rows.where("chunks > 1").join(blocks, "node")
+
+    def spread(rows: DataFrame, chunk: Column) -> DataFrame:
+        return rows.select("node", chunk.alias("chunk"), "key", "component")
+
+    each_block = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each_chunk = dealt.where(outside).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    own_block = F.pmod(F.xxhash64("key", F.lit(2)), F.col("blocks")).cast("int")
+    second = (
+        open_rows.where("chunks = 1").select("node", "chunk", "key", "component")
+        .unionByName(spread(each_block, F.col("block") * F.col("chunks") + F.col("chunk")))
+        .unionByName(spread(each_chunk, own_block * F.col("chunks") + F.col("other")))
+        .join(signed, "key")
+    )
     members = written(_open_members(second))
     if not members.isEmpty():
         full = _full_sets(members.select("key"), slim, sets)
