@@ -29,20 +29,73 @@ WINDOW, GRID, DEPTH = 2048, 16, 3
 #: The id behind every document.
 END_ID = 1
 #: Words whose ids a Python worker remembers, and pieces that are numbered in one group.
-REMEMBERED, NUMBERED = 300_000, 50_000
+REMEMBERED, NUMBERED = 400_000, 50_000
+#: Marks that are split off the end of a word.
+PUNCTUATION = ".,;:!?"
 
 _ENCODERS: dict[str, "WordIds"] = {}
 
 
 class WordIds:
-    """Ids of white-space separated words; equal to encoding the whole text, as no token spans white space."""
+    """Ids of white-space separated words; equal to encoding the whole text, as no token spans white space.
+
+    A word is letters with punctuation behind them in most cases. Both are encoded apart, as the
+    vocabulary's own splitting does, and many new words of letters in one call: each of them ends with the
+    only token that ends a word.
+    """
+
+    ENDS = "</w>"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already uses all cores
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.ENDS)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(f.ids, "<u4").tobytes() for f in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        ids = np.frombuffer(self._encoded([" ".join(words)])[0], "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words) or stops[-1] != len(ids):
+            return self._encoded(words)
+        return [ids[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+
+    def _learn(self, words: set[bytes]) -> None:
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        self.parts.setdefault("", b"")
+        split: dict[bytes, tuple[str, str]] = {}
+        letters: set[str] = set()
+        others: set[str] = set()
+        for word in words:
+            text = word.decode()
+            head = text.rstrip(PUNCTUATION)
+            if head.isalpha():
+                if head.isascii():
+                    head = head.lower()
+                tail = text[len(head) :]
+                split[word] = (head, tail)
+                letters.add(head)
+                others.add(tail)
+            else:
+                split[word] = (text, "")
+                others.add(text)
+        fresh = [w for w in letters if w not in self.parts]
+        if fresh:
+            self.parts.update(zip(fresh, self._letters(fresh)))
+        fresh = [w for w in others if w not in self.parts]
+        if fresh:
+            self.parts.update(zip(fresh, self._encoded(fresh)))
+        parts = self.parts
+        self.known.update((word, parts[head] + parts[tail]) for word, (head, tail) in split.items())
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
@@ -50,9 +103,9 @@ class WordIds:
             self.known.clear()
         known = self.known
         split = [text.split() for text in texts]
-        new = list({word for words in split for word in words if word not in known})
-        for found, word in zip(self.encode([w.decode() for w in new], add_special_tokens=False), new):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(new)
         return [b"".join([known[word] for word in words]) for words in split]
 
 
