@@ -344,27 +344,28 @@ def ssim(
 ) -> DataFrame:
     """Mean structural likeness of image pairs given as pixels ``(*keys, y, x, v)``.
 
-    Every pixel goes to the windows that hold it; only whole windows count, as in a cropped
-    comparison. Window statistics are aggregates, so that an image never sits in one task.
+    Only whole windows count, as in a cropped comparison. Sums over a window are rolling sums along x,
+    then along y, so that a pixel is one row throughout and a task holds one line of an image.
     """
     joined = a.select(*keys, "y", "x", F.col("v").cast("double").alias("p")).join(
         b.select(*keys, "y", "x", F.col("v").cast("double").alias("q")), [*keys, "y", "x"]
     )
-    spread = joined.select(
-        *keys, F.explode(F.sequence(F.col("y") - (side - 1), F.col("y"))).alias("wy"), "x", "p", "q"
-    ).select(*keys, "wy", F.explode(F.sequence(F.col("x") - (side - 1), F.col("x"))).alias("wx"), "p", "q")
-    windows = (
-        spread.groupBy(*keys, "wy", "wx")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("p").alias("mp"),
-            F.avg("q").alias("mq"),
-            F.var_samp("p").alias("vp"),
-            F.var_samp("q").alias("vq"),
-            F.covar_samp("p", "q").alias("cov"),
-        )
-        .where(F.col("n") == side * side)
-    )
+    p, q = F.col("p"), F.col("q")
+    terms = {"n": F.lit(1.0), "p": p, "q": q, "pp": p * p, "qq": q * q, "pq": p * q}
+    along_x = W.partitionBy(*keys, "y").orderBy("x").rangeBetween(0, side - 1)
+    along_y = W.partitionBy(*keys, "x").orderBy("y").rangeBetween(0, side - 1)
+    lines = joined.select(*keys, "y", "x", *[term.alias(name) for name, term in terms.items()])
+    for direction in (along_x, along_y):
+        lines = lines.select(*keys, "y", "x", *[F.sum(name).over(direction).alias(name) for name in terms])
+    n = float(side * side)
+
+    def spread(product: str, one: str, two: str) -> Column:
+        return (F.col(product) - F.col(one) * F.col(two) / n) / (n - 1)
+
+    windows = lines.where(F.col("n") == n).select(
+        *keys, (p / n).alias("mp"), (q / n).alias("mq"), spread("pp", "p", "p").alias("vp"),
+        spread("qq", "q", "q").alias("vq"), spread("pq", "p", "q").alias("cov"),
+    )
     # fixed values: the usual stabilizers
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
     mp, mq, vp, vq, cov = (F.col(n) for n in ("mp", "mq", "vp", "vq", "cov"))

@@ -252,12 +252,12 @@ def _keep_first(rows: DataFrame, set_edges: DataFrame) -> DataFrame:
     """Rows that a sequential pass keeps: no earlier kept row shares the DOI or a similar title.
 
     ``rows`` are (age, grams, doi), one per (grams, doi); ``set_edges`` are similar sets in both
-    directions. A round keeps every row that is the earliest left of its DOI, its set and all
+    directions, worked out once by the caller. A round keeps every row that is the earliest left of its DOI, its set and all
     similar sets, and drops what those repeat; only minima per group are exchanged, never pairs
     of rows.
     """
     left = cut_lineage(rows)
-    edges = cut_lineage(set_edges)
+    edges = set_edges
     kept_parts = []
     while not left.isEmpty():
         of_set = left.where("grams is not null").groupBy("grams").agg(F.min("age").alias("set_first"))

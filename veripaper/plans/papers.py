@@ -178,38 +178,61 @@ def rejected_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return rejected_duplicates_plan(spark, folder)
 
 
+IMPORT_CTES = [
+    ("keyed", f"select paper_id, paper_id % 2 = 0 as is_stored, created_at, doi, {S.trigrams('title')} as grams from papers_v"),
+    ("numbered", "select row_number() over (order by created_at, paper_id) as step, * from keyed where not is_stored"),
+    (
+        "near",
+        f"""select l.paper_id as paper_id, r.paper_id as earlier, r.is_stored, r.created_at, coalesce(l.doi <> '' and l.doi = r.doi, false) as same_doi,
+             {S.jaccard('l.grams', 'r.grams')} as score
+           from numbered l join keyed r on (r.is_stored or (r.created_at, r.paper_id) < (l.created_at, l.paper_id))
+             and ((l.doi <> '' and l.doi = r.doi) or (len(l.grams) > 0 and len(r.grams) > 0
+               and len(l.grams) >= 0.8 * len(r.grams) and len(r.grams) >= 0.8 * len(l.grams)
+               and {S.jaccard('l.grams', 'r.grams')} > 0.8))""",
+    ),
+    ("near_lists", "select paper_id, list(earlier) as earlier from near group by paper_id"),
+    (
+        "rec_walk",
+        """select cast(0 as bigint) as step, (select coalesce(list(paper_id), []) from keyed where is_stored) as kept union all
+           select n.step, case when list_has_any(w.kept, coalesce(e.earlier, [])) then w.kept
+             else list_append(w.kept, n.paper_id) end
+           from rec_walk w join numbered n on n.step = w.step + 1 left join near_lists e on e.paper_id = n.paper_id""",
+    ),
+]
+
+
+def _imported(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the papers imported in order of time where the other half is stored."""
+    papers = B.papers_v(spark, folder)
+    return D.import_papers(papers.where("paper_id % 2 = 0"), papers.where("paper_id % 2 = 1"))
+
+
 @query(
     "s15_import_papers",
     with_views(
         ["papers_v"],
         """select i.paper_id, list_contains(f.kept, i.paper_id) as imported,
              case when not list_contains(f.kept, i.paper_id) then 'Duplicate detected' end as reason
-           from papers_v i cross join (select kept from rec_walk order by step desc limit 1) f""",
-        DUPLICATE_CTES[0],
-        (
-            "numbered",
-            f"""select row_number() over (order by created_at, paper_id) as step, paper_id, doi, {S.trigrams('title')} as grams
-                from papers_v""",
-        ),
-        (
-            "near",
-            f"""select l.paper_id as paper_id, list(r.paper_id) as earlier from numbered l join numbered r on r.step < l.step
-                and ((l.doi <> '' and l.doi = r.doi) or (len(l.grams) > 0 and len(r.grams) > 0
-                  and len(l.grams) >= 0.8 * len(r.grams) and len(r.grams) >= 0.8 * len(l.grams)
-                  and {S.jaccard('l.grams', 'r.grams')} > 0.8)) group by l.paper_id""",
-        ),
-        (
-            "rec_walk",
-            """select cast(0 as bigint) as step, cast([] as bigint[]) as kept union all
-               select n.step, case when list_has_any(w.kept, coalesce(e.earlier, [])) then w.kept
-                 else list_append(w.kept, n.paper_id) end
-               from rec_walk w join numbered n on n.step = w.step + 1 left join near e on e.paper_id = n.paper_id""",
-        ),
+           from numbered i cross join (select kept from rec_walk order by step desc limit 1) f""",
+        *IMPORT_CTES,
     ),
 )
 def import_papers(spark: SparkSession, folder: str) -> DataFrame:
-    papers = B.papers_v(spark, folder)
-    return D.import_papers(papers.where("false"), papers).select("paper_id", "imported", "reason")
+    return _imported(spark, folder).select("paper_id", "imported", "reason")
+
+
+@query(
+    "s15_stored_duplicates",
+    with_views(
+        ["papers_v"],
+        """select paper_id, earlier as similar_paper_id from near where is_stored
+           qualify row_number() over (partition by paper_id order by same_doi desc, case when same_doi then 0 else -score end, created_at, earlier) = 1""",
+        *IMPORT_CTES[:3],
+    ),
+)
+def stored_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Incoming papers that repeat a stored one, and which."""
+    return _imported(spark, folder).where("similar_paper_id % 2 = 0").select("paper_id", "similar_paper_id")
 
 
 @query(
