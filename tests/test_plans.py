@@ -2,11 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from veripaper.functions.scale import salted_join
+from veripaper.plans import all_queries
 from veripaper.plans import bindings as B
 
-QUERIES = entry.queries()
+QUERIES = all_queries()
 # One-row sides only: counts of whole tables, and statistics put side by side.
 ONE_ROW_SIDES = {"a11_daily_summary"}
 
