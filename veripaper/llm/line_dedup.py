@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .repeats import PACKED, cells_for, merged_cells, packed_batch, span_hashes
+from .repeats import PACKED, Spans, cells_for, merged_cells, packed_batch, span_hashes
 from .shared import BASES, U64, cut, mix, small_batches, word_spans, written
 
 #: Edits (bytes inserted, deleted or replaced) between lines that count as the same, and the least bytes of
@@ -45,11 +45,11 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * small + np.maximum(0, i - (parts - long_ones)), small + (i >= parts - long_ones)
 
 
-def _keys(units: np.ndarray, start: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
-    return mix(span_hashes(units, start, start + size, BASES[3]) ^ mix((length * 64 + i).astype(np.uint64)))
+def _keys(units: Spans, start: np.ndarray, size: np.ndarray, length: np.ndarray, i: int) -> np.ndarray:
+    return mix(units.hashes(start, start + size) ^ mix((length * 64 + i).astype(np.uint64)))
 
 
-def index_keys(units: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int) -> list[np.ndarray]:
+def index_keys(units: Spans, begin: np.ndarray, end: np.ndarray, edits: int) -> list[np.ndarray]:
     """One key for each segment of every line."""
     length = end - begin
     out = []
@@ -59,7 +59,7 @@ def index_keys(units: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int
     return out
 
 
-def probe_keys(units: np.ndarray, begin: np.ndarray, end: np.ndarray, edits: int, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+def probe_keys(units: Spans, begin: np.ndarray, end: np.ndarray, edits: int, shortest: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
     """``line, key, own`` for every substring that may be a segment of a line at most ``edits`` bytes shorter.
 
     Segment i has at most i edits to its left and ``edits - i`` to its right, so it starts at most that far
@@ -170,7 +170,7 @@ def _similar(docs: DataFrame, firsts: DataFrame, edits: int, shortest: int) -> D
         text, number, begin, end = lines_of(data, starts)
         doc = batch.column("doc").to_numpy(zero_copy_only=False)[text]
         kept = np.flatnonzero((end - begin >= shortest) & wanted.value.hold(_place_key(doc, number)))
-        return doc[kept], number[kept].astype(np.int32), begin[kept], end[kept], _units(data)
+        return doc[kept], number[kept].astype(np.int32), begin[kept], end[kept], Spans(_units(data), BASES[3])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []

@@ -109,12 +109,21 @@ def runs_of(units: Units, data: np.ndarray, starts: np.ndarray) -> Runs:
     )
 
 
+class Spans:
+    """Hashes of spans of items, from sums that are worked out once."""
+
+    def __init__(self, items: np.ndarray, base: int):
+        self.sums = np.zeros(len(items) + 1, np.uint64)
+        np.cumsum(items * powers(base, len(items)), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), len(items) + 1)
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the items from ``start`` to before ``end``, for many spans."""
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
+
+
 def span_hashes(items: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Hash of the items from ``start`` to before ``end``, for many spans."""
-    prefix = np.zeros(len(items) + 1, np.uint64)
-    np.cumsum(items * powers(base, len(items)), out=prefix[1:])
-    back = powers(pow(base, -1, 1 << 64), len(items) + 1)
-    return mix((prefix[end] - prefix[start]) * back[start] + (end - start).astype(np.uint64))
+    return Spans(items, base).hashes(start, end)
 
 
 class Cells:
@@ -272,10 +281,11 @@ def _parts(units: Units) -> list[tuple[int, int]]:
 def part_keys(units: Units, runs: Runs, chosen: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each part the chosen runs that have windows in it, and the hash of what all these windows hold."""
     at, begin, size = runs.at[chosen], runs.begin[chosen], runs.size[chosen]
+    spans = Spans(runs.hashes[0], BASES[3])
     slack = units.window - units.gram
     for j, (low, high) in enumerate(_parts(units)):
         has = np.flatnonzero((at - begin >= low) & (at - begin - size + 1 <= high))
-        keys = span_hashes(runs.hashes[0], at[has] - low, at[has] + units.gram + slack - high, BASES[3])
+        keys = spans.hashes(at[has] - low, at[has] + units.gram + slack - high)
         yield has, mix(keys ^ U64(j + 1))
 
 

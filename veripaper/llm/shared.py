@@ -76,12 +76,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
+#: Powers that a worker keeps, for batches of the usual size.
+_POWERS: dict[int, np.ndarray] = {}
+_KEPT_POWERS = 1 << 21
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """``base ** i`` modulo 2**64 for i below n."""
-    out = np.full(n, U64(base), dtype=np.uint64)
-    if n:
-        out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    if n <= _KEPT_POWERS and base in _POWERS:
+        return _POWERS[base][:n]
+    out = np.full(max(n, _KEPT_POWERS), U64(base), dtype=np.uint64)
+    out[0] = 1
+    out = np.cumprod(out, dtype=np.uint64)
+    _POWERS[base] = out[:_KEPT_POWERS].copy() if n > _KEPT_POWERS else out
+    return out[:n]
 
 
 #: ASCII white space, the only separator of words.
