@@ -71,3 +71,10 @@ def test_common_shingles():
     sets = [np.unique(rng.integers(0, 3000, rng.integers(1, 900)).astype(np.uint64)) for _ in range(20)]
     expected = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
     assert N.common_shingles(sets).astype(int).tolist() == expected
+
+
+def test_packed_sets():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 700):
+        shingles = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        assert (N.unpacked_set(N.packed_set(shingles)) == shingles >> np.uint64(24)).all()
