@@ -7,9 +7,10 @@ windows that share one anchor form a run. Equal windows have equal anchors at th
 2. runs whose anchor may be repeated are grouped by their whole content: later members are repeated;
 3. only where one anchor has several contents, the first run of each is looked at more closely: longer
    strings around its anchor, one for each quarter of its windows, are counted in a second sketch;
-4. windows that hold such a string with a count above one are grouped one by one.
+4. quarters whose string may occur again are grouped by their whole content, as runs were;
+5. only where one string has several contents, the windows of each first quarter are grouped one by one.
 
-No window is lost: the sketches never count too little, and steps 2 and 4 compare 128-bit hashes.
+No window is lost: the sketches never count too little, and steps 2, 4 and 5 compare 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -257,10 +258,14 @@ def _run_rows(docs: DataFrame, units: Units, shared: Broadcast) -> DataFrame:
             columns = [doc, runs.start[kept].astype(np.int32), runs.size[kept].astype(np.int32)]
             columns += [_signed(x[kept]) for x in (runs.anchor, runs.content, runs.check)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["doc", "start", "size", "anchor", "content", "check"]
+                [pa.array(c) for c in columns], names=RUN_COLUMNS
             )
 
-    return docs.mapInArrow(work, "doc long, start int, size int, anchor long, content long, check long")
+    return docs.mapInArrow(work, RUN_SCHEMA)
+
+
+RUN_COLUMNS = ["doc", "start", "size", "anchor", "content", "check"]
+RUN_SCHEMA = "doc long, start int, size int, anchor long, content long, check long"
 
 
 def _run_key(doc: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -313,8 +318,54 @@ def _part_sketch(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broa
     return docs.mapInArrow(work, PACKED)
 
 
-def _window_rows(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast, shared: Broadcast) -> DataFrame:
-    """Windows of the wanted runs whose part may occur again: ``doc, start, one, two``."""
+@dataclass
+class Quarters:
+    """Quarters of the wanted runs whose string may occur again; places are of the batch."""
+
+    run: np.ndarray
+    key: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    content: np.ndarray
+    check: np.ndarray
+
+
+def _quarters(units: Units, runs: Runs, kept: np.ndarray, shared: Cells) -> Quarters:
+    found = []
+    for (low, high), (has, keys) in zip(_parts(units), part_keys(units, runs, kept)):
+        hit = shared.hold(keys)
+        run = kept[has[hit]]
+        begin = np.maximum(runs.begin[run], runs.at[run] - high)
+        end = np.minimum(runs.begin[run] + runs.size[run] - 1, runs.at[run] - low)
+        found.append((run, keys[hit], begin, end - begin + 1))
+    run, key, begin, size = (np.concatenate(x) for x in zip(*found))
+    content, check = (
+        span_hashes(h, begin, begin + size + units.window - 1, base) for h, base in zip(runs.hashes, (BASES[3], BASES[1]))
+    )
+    return Quarters(run, key, begin, size, content, check)
+
+
+def _quarter_rows(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast, shared: Broadcast) -> DataFrame:
+    """Quarters as rows of the form of runs; the anchor is their string."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, starts in small_batches(batches, "text"):
+            runs = runs_of(units, data, starts)
+            docs_of, kept = _wanted_runs(batch, runs, anchors, wanted)
+            if len(kept):
+                part = _quarters(units, runs, kept, shared.value)
+                start = runs.start[part.run] + part.begin - runs.begin[part.run]
+                columns = [docs_of[runs.text[part.run]], start.astype(np.int32), part.size.astype(np.int32)]
+                columns += [_signed(x) for x in (part.key, part.content, part.check)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=RUN_COLUMNS)
+
+    return docs.mapInArrow(work, RUN_SCHEMA)
+
+
+def _window_rows(
+    docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broadcast, shared: Broadcast, open_quarters: Broadcast
+) -> DataFrame:
+    """Windows of the open quarters (and of a few others): ``doc, start, one, two``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, starts in small_batches(batches, "text"):
@@ -322,26 +373,46 @@ def _window_rows(docs: DataFrame, units: Units, anchors: Broadcast, wanted: Broa
             docs_of, kept = _wanted_runs(batch, runs, anchors, wanted)
             if not len(kept):
                 continue
-            open_parts = np.zeros((len(kept), PARTS), dtype=bool)
-            for j, (has, keys) in enumerate(part_keys(units, runs, kept)):
-                open_parts[has, j] = shared.value.hold(keys)
-            size = runs.size[kept]
-            run = np.repeat(np.arange(len(kept)), size)
-            nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            step = _parts(units)[0][1] + 1
-            chosen = open_parts[run, (runs.at[kept][run] - runs.begin[kept][run] - nth) // step]
-            run, nth = run[chosen], nth[chosen]
-            begin = runs.begin[kept][run] + nth
+            part = _quarters(units, runs, kept, shared.value)
+            hit = np.flatnonzero(open_quarters.value.hold(_run_key(docs_of[runs.text[part.run]], part.content)))
+            run, size = np.repeat(part.run[hit], part.size[hit]), part.size[hit]
+            begin = np.repeat(part.begin[hit], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             hashes = [
                 _signed(span_hashes(h, begin, begin + units.window, base))
                 for h, base in zip(runs.hashes, (BASES[3], BASES[1]))
             ]
-            columns = [docs_of[runs.text[kept][run]], (runs.start[kept][run] + nth).astype(np.int32), *hashes]
+            start = runs.start[run] + begin - runs.begin[run]
+            columns = [docs_of[runs.text[run]], start.astype(np.int32), *hashes]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "start", "one", "two"])
 
     return docs.mapInArrow(work, "doc long, start int, one long, two long")
 
 
+def _settled(runs: DataFrame, own_repeats: bool) -> DataFrame:
+    """``doc, start, size, content, later, open``: runs whose content occurs before, and first ones of several contents."""
+    place, key = F.struct("doc", "start"), ["anchor", "content", "check"]
+    classes = runs.groupBy(*key).agg(F.min(place).alias("first"))
+    kinds = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("open"))
+    ranked = classes.join(kinds, "anchor")
+    later = place != F.col("first") if own_repeats else F.col("doc") != F.col("first.doc")
+    joined = runs.join(ranked, key).select("doc", "start", "size", "content", later.alias("later"), "open")
+    return written(joined.where("later or open"))
+
+
+def _open_cells(settled: DataFrame) -> Broadcast:
+    """Which runs are open, as bits that tasks can look up (with a few false hits)."""
+    rows = settled.where("not later and open").select("doc", "content")
+    cells = cells_for(rows.count())
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                doc, content = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "content"))
+                yield packed_batch(_run_key(doc, content), cells)
+
+    return settled.sparkSession.sparkContext.broadcast(merged_cells(rows.mapInArrow(sketch, PACKED), cells, 1))
+
+
 def repeated_windows(docs: DataFrame, units: Units, own_repeats: bool) -> DataFrame:
     """Windows of ``docs (doc long, text)`` that occur before: ``doc, start, size``, runs of window starts.
 
@@ -353,40 +424,22 @@ def repeated_windows(docs: DataFrame, units: Units, own_repeats: bool) -> DataFr
     share = 2 / (units.window - units.gram + 2) / (6 if units.read is word_units else 1)
     cells = cells_for(n_bytes * share)
     anchors = spark.sparkContext.broadcast(merged_cells(_sketch(docs, units, cells, own_repeats), cells, 2))
-    runs = written(_run_rows(docs, units, anchors))
-    place = F.struct("doc", "start")
-    key = ["anchor", "content", "check"]
-    classes = runs.groupBy(*key).agg(F.min(place).alias("first"))
-    kinds = classes.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("open"))
-    ranked = classes.join(kinds, "anchor")
-    first = F.col("first") if own_repeats else F.col("first.doc")
-    own = place if own_repeats else F.col("doc")
-    placed = written(
-        runs.join(ranked, key).select("doc", "start", "size", "content", (own != first).alias("later"), "open").where("later or open")
-    )
-    covered = placed.where("later").select("doc", "start", "size")
-    open_runs = placed.where("not later and open")
-    n_open = open_runs.count()
-    wanted_cells = cells_for(n_open)
-
-    def open_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, content = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "content"))
-            if len(doc):
-                yield packed_batch(_run_key(doc, content), wanted_cells)
-
-    wanted = spark.sparkContext.broadcast(
-        merged_cells(open_runs.select("doc", "content").mapInArrow(open_sketch, PACKED), wanted_cells, 1)
-    )
-    part_cells = cells_for(PARTS * n_open)
+    runs = _settled(written(_run_rows(docs, units, anchors)), own_repeats)
+    wanted = _open_cells(runs)
+    part_cells = cells_for(PARTS * runs.where("not later and open").count())
     shared = spark.sparkContext.broadcast(
         merged_cells(_part_sketch(docs, units, anchors, wanted, part_cells), part_cells, 2)
     )
-    windows = written(_window_rows(docs, units, anchors, wanted, shared))
+    quarters = _settled(written(_quarter_rows(docs, units, anchors, wanted, shared)), own_repeats)
+    windows = written(_window_rows(docs, units, anchors, wanted, shared, _open_cells(quarters)))
+    place = F.struct("doc", "start")
+    first = F.col("first") if own_repeats else F.col("first.doc")
+    own = place if own_repeats else F.col("doc")
     groups = windows.groupBy("one", "two").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.max("doc").alias("last")
     ).where("n > 1" if own_repeats else "last > first.doc").select("one", "two", "first")
     single = windows.join(groups, ["one", "two"]).where(own != first).select("doc", "start", F.lit(1).alias("size"))
+    covered = runs.unionByName(quarters).where("later").select("doc", "start", "size")
     return covered.unionByName(single)
 
 
