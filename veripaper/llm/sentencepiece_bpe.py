@@ -7,13 +7,14 @@ is left the position is marked as failed and the search takes one step back. A b
 positions keeps the search linear.
 
 Pieces never hold white space behind other characters, so a text is encoded chunk by chunk, a chunk being
-white space and the word behind it; a worker remembers the chunks it has seen.
+white space with the letters or the other characters behind it; a worker remembers the chunks it has seen.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -48,9 +49,16 @@ class Model:
         self.score = {piece: library.get_score(i) for i, piece in self.pieces.items()}
         self.bytes = {int(library.id_to_piece(i)[3:-1], 16): i for i in ids if library.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
+        self.chars = frozenset(piece for piece in self.pieces.values() if len(piece) == 1)
         # Chunks are encoded apart, which is exact only where no piece crosses from a word into white space.
-        if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.pieces.values()):
+        joined = {(piece[i], piece[i + 1]) for piece in self.pieces.values() for i in range(len(piece) - 1)}
+        if any(right == SPACE != left for left, right in joined):
             raise ValueError("pieces of this model hold white space behind other characters")
+        # Where no piece joins a letter to another kind of character either, marks and digits are chunks apart.
+        letters = re.escape("".join(sorted(c for c in self.chars if c.isalpha())))
+        mixed = any(SPACE not in pair and pair[0].isalpha() != pair[1].isalpha() for pair in joined)
+        words = f"{SPACE}*[^{SPACE}]+" if mixed else f"{SPACE}*(?:[{letters}]+|[^{SPACE}{letters}]+)"
+        self.split = re.compile(f"{words}|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
         for piece in self.pieces.values():
             self.automaton.add_word(piece, piece)
@@ -88,8 +96,23 @@ class Model:
             found[last - len(piece) + 1].append(piece)
         return [pieces[::-1] for pieces in found]
 
+    def longest(self, text: str) -> list[str] | None:
+        """The longest piece at each place in turn, where all neighbours are compatible; else None."""
+        pieces = [piece for _, piece in self.automaton.iter_long(text)]
+        if sum(map(len, pieces)) != len(text):
+            return None
+        for i in range(len(pieces) - 1):
+            if not self.fits(pieces[i], pieces[i + 1]):
+                return None
+        return pieces
+
     def searched(self, text: str) -> list[str] | None:
-        """Pieces of ``text`` by backtracking; None if no sequence of compatible pieces covers it."""
+        """Pieces of ``text`` by backtracking; None if no sequence of compatible pieces covers it.
+
+        A search that never has to step back is what ``longest`` finds at once.
+        """
+        if (found := self.longest(text)) is not None:
+            return found
         choices = self.matches(text)
         failed = bytearray(len(text) // 8 + 1)
         chosen: list[str] = []
@@ -119,6 +142,9 @@ class Model:
 
         Characters outside the vocabulary are never merged: they part the text and become their bytes.
         """
+        if self.chars.issuperset(text):
+            pieces = self.searched(text)
+            return [self.ids[p] for p in (pieces if pieces is not None else self.merged(text))]
         ids: list[int] = []
         begin = 0
         for at in [*(i for i, c in enumerate(text) if c not in self.ids), len(text)]:
@@ -137,11 +163,13 @@ class Model:
             if len(self.known) > REMEMBERED:
                 self.known.clear()
             ids = self.encoded(text)
-            found = self.known[text] = (np.array(ids, "<u4").tobytes(), self.decoded(ids))
+            found = self.known[text] = (struct.pack(f"<{len(ids)}I", *ids), self.decoded(ids))
         return found
 
     def decoded(self, ids: list[int]) -> str:
         """Text of the ids, with all spaces; control ids are nothing."""
+        if self.pieces.keys() >= set(ids):
+            return "".join([self.pieces[i] for i in ids]).replace(SPACE, " ")
         out, pending = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -160,15 +188,12 @@ class Model:
         The model puts a space in front of every text that is not empty; decoding takes it away again.
         """
         written = (SPACE + text.replace(" ", SPACE)) if text else ""
-        parts = [self.chunk(c) for c in CHUNK.findall(written)]
+        chunk, known = self.chunk, self.known
+        parts = [known.get(c) or chunk(c) for c in self.split.findall(written)]
         edges = [np.array([i], "<u4").tobytes() for i in (self.begin, self.end)]
         return edges[0] + b"".join([p[0] for p in parts]) + edges[1], "".join([p[1] for p in parts])[1:]
 
 
-#: White space as the model writes it with the word behind it; together these cover a text.
-CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-
 def sentencepiece_encoded(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True
 ) -> DataFrame:
