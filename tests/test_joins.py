@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from veripaper.operators import diagrams as D
 from veripaper.operators import duplicates as U
+from veripaper.operators import matching as M
 from veripaper.operators.diagrams import _bit_bands, _digit_patterns
 
 
@@ -143,3 +144,26 @@ def test_greedy_dedup(spark):
     links = spark.createDataFrame(list(edges), "paper_id long, earlier_id long")
     got = sorted(r.paper_id for r in U.greedy_dedup(df, links).collect() if r.kept)
     assert got == kept
+
+
+def test_title_candidates_without_bound(spark):
+    rng = random.Random(3)
+    # "the" is in most titles, few queries share half of their words with k of them.
+    word = lambda: "the" if rng.random() < 0.3 else f"w{int(rng.random() ** 2 * 60)}"
+    titles = [" ".join(word() for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    titles += ["the w0"] * 7 + ["deep nets"]
+    asked = [" ".join(word() for _ in range(rng.randint(1, 20))) for _ in range(60)]
+    asked += ["smith jones journal volume twelve pages deep nets", "the", "unheard words"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "q long, query string")
+    catalogue = spark.createDataFrame(list(enumerate(titles)), "cat_id long, title string")
+    for share in (None, 0.5):
+        want = {}
+        for q, text in enumerate(asked):
+            words = set(text.split())
+            least = 1 if share is None else -(-len(words) // 2)
+            found = [(-len(words & set(t.split())), i) for i, t in enumerate(titles)]
+            for rank, (n, i) in enumerate(sorted(f for f in found if -f[0] >= least)[:5], 1):
+                want[q, rank] = (i, -n)
+        bound = {} if share is None else {"share": share}
+        got = {(r.q, r["rank"]): (r.cat_id, r.overlap) for r in M.title_candidates(queries, catalogue, ["q"], 5, **bound).collect()}
+        assert got == want

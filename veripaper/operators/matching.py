@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.scale import cut_lineage
 from ..functions.text import (
     blank,
     edit_similarity,
@@ -33,19 +34,48 @@ def _word_sets(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumn("words", F.array_join(words, " "))
 
 
+def _sharing(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """Sets that share ``need`` words or more with a query: ``(q_words, c_words, set_id, n_rows, overlap)``.
+
+    Such a set has one of the query's rarest ``n - need + 1`` words, so only those are probed.
+    """
+    # Words travel as numbers within the join: equal hashes of unequal words only cost a check.
+    probe = probe.select("q_words", "need", F.transform("ranked", lambda r: F.xxhash64(r["word"])).alias("q_codes"))
+    probe = probe.withColumn("prefix", F.slice("q_codes", F.lit(1), F.size("q_codes") - F.col("need") + 1))
+    probe = probe.withColumn("code", F.explode("prefix"))
+    q, c = probe.alias("q"), index.alias("c")
+    near = q.join(
+        c,
+        (F.col("q.code") == F.col("c.code"))
+        & (F.size("c.c_codes") >= F.col("q.need"))
+        & (F.col("q.code") == F.get(F.array_intersect("q.prefix", "c.c_codes"), F.lit(0)))
+        & (F.size(F.array_intersect("q.q_codes", "c.c_codes")) >= F.col("q.need")),
+    )
+    overlap = F.size(F.array_intersect(F.split("q_words", " "), F.split("c_words", " ")))
+    hits = near.select("q_words", "c_words", "set_id", "n_rows", "need", overlap.alias("overlap"))
+    return hits.where("overlap >= need").drop("need")
+
+
+def _without_enough(probe: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+    """Queries whose hits so far hold less than ``k`` rows."""
+    enough = hits.groupBy("q_words").agg(F.sum("n_rows").alias("n")).where(F.col("n") >= k)
+    return probe.join(enough.select("q_words"), "q_words", "left_anti")
+
+
 def title_candidates(
     queries: DataFrame,
     catalogue: DataFrame,
     keys: list[str],
     k: int,
-    share: float = 0.5,
+    share: float | None = None,
 ) -> DataFrame:
     """The ``k`` catalogue rows nearest to each ``query`` text: ``(*keys, cat_id, rank, overlap)``.
 
-    Stands in for a remote search. A row is a hit when it has at least ``share`` of the query's
-    distinct words; more shared words rank first, then the smaller id. Equal word sets are
-    searched once. A hit shares one of the query's rarest ``n - ceil(share n) + 1`` words, so
-    only those are probed and frequent words only where a query has nothing else.
+    Stands in for a remote search. A row is a hit when it shares a word with the query, or at
+    least ``share`` of the query's distinct words where that is given; more shared words rank
+    first, then the smaller id. Equal word sets are searched once. Rows with half of the words
+    are looked for first, by the rarest words. A query with ``k`` of them is done, as all other
+    rows share less; the others are searched for two shared words and, if need be, for one.
     """
     asked = _word_sets(queries, F.col("query")).where("words <> ''")
     stored = _word_sets(catalogue.select("cat_id", "title"), F.col("title")).where("words <> ''")
@@ -53,7 +83,7 @@ def title_candidates(
     members = (
         stored.select("words", "cat_id").withColumn("_n", F.row_number().over(by_set)).where(F.col("_n") <= k)
     )
-    sets = members.where("_n = 1").select("words", F.col("cat_id").alias("set_id"))
+    sets = members.groupBy("words").agg(F.min("cat_id").alias("set_id"), F.count(F.lit(1)).alias("n_rows"))
     frequency = (
         sets.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -62,33 +92,30 @@ def title_candidates(
         .distinct()
         .select("words", F.explode(F.split("words", " ")).alias("word"))
         .join(frequency, "word", "left")
-        .groupBy("words")
+        .groupBy(F.col("words").alias("q_words"))
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
     )
-    need = F.ceil(F.size("ranked") * F.lit(share)).cast("int")
-    # Words travel as numbers within the join: equal hashes of unequal words only cost a check.
-    probe = ranked.select(
-        F.col("words").alias("q_words"),
-        need.alias("need"),
-        F.transform("ranked", lambda r: F.xxhash64(r["word"])).alias("q_codes"),
-    )
-    probe = probe.withColumn("prefix", F.slice("q_codes", F.lit(1), F.size("q_codes") - F.col("need") + 1))
-    probe = probe.withColumn("code", F.explode("prefix"))
+    need = F.ceil(F.size("ranked") * F.lit(0.5 if share is None else share)).cast("int")
+    probe = ranked.withColumn("need", need)
     index = sets.select(
         F.col("words").alias("c_words"),
         "set_id",
+        "n_rows",
         F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("c_codes"),
     ).withColumn("code", F.explode("c_codes"))
-    q, c = probe.alias("q"), index.alias("c")
-    near = q.join(
-        c,
-        (F.col("q.code") == F.col("c.code"))
-        & (F.size("c.c_codes") >= F.col("q.need"))
-        & (F.col("q.code") == F.get(F.array_intersect("q.prefix", "c.c_codes"), F.lit(0)))
-        & (F.size(F.array_intersect("q.q_codes", "c.c_codes")) >= F.col("q.need")),
-    )
-    overlap = F.size(F.array_intersect(F.split("q_words", " "), F.split("c_words", " ")))
-    hits = near.select("q_words", "c_words", "set_id", "need", overlap.alias("overlap")).where("overlap >= need")
+    hits = _sharing(probe, index)
+    if share is None:
+        hits = cut_lineage(hits)
+        rest = _without_enough(probe, hits, k).withColumnRenamed("need", "done")
+        two = _sharing(rest.where("done > 2").withColumn("need", F.lit(2)), index)
+        known = hits.select("q_words", "c_words")
+        hits = cut_lineage(hits.unionByName(two.join(known, ["q_words", "c_words"], "left_anti")))
+        # Fewer than k sets share more words with such a query, so of the sets of a word the first 2 k hold
+        # the k smallest that share this word only, or all of them.
+        first = W.partitionBy("code").orderBy("set_id")
+        heads = index.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * k).drop("_n")
+        last = _without_enough(rest, hits, k).where("done > 1").withColumn("need", F.lit(1))
+        hits = hits.unionByName(_sharing(last, heads).where("overlap = 1"))
     best_sets = W.partitionBy("q_words").orderBy(F.desc("overlap"), "set_id")
     top_sets = hits.withColumn("_r", F.row_number().over(best_sets)).where(F.col("_r") <= k)
     best_rows = W.partitionBy("q_words").orderBy(F.desc("overlap"), "cat_id")

@@ -382,6 +382,10 @@ WORDS_SQL = lambda text: f"list_sort(list_distinct(list_filter(string_split({S.n
 UNDATED_SQL = rf"trim(regexp_replace({_quotes_off(_end_off(_plain_sql('title', False)))}, '\s+', ' ', 'g'))"
 
 
+#: The bound of ``set_hits`` below; the operator itself has none.
+SHARE = 0.5
+
+
 def candidates_ctes(k: int) -> list[tuple[str, str]]:
     return [
         PARSED,
@@ -424,7 +428,7 @@ def undated_refs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
 )
 def title_candidates(spark: SparkSession, folder: str) -> DataFrame:
     _, asked = undated_refs(spark, folder)
-    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5)
+    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5, share=SHARE)
     return found.select(
         "paper_id", "ord", "cat_id", F.col("overlap").cast("bigint").alias("overlap"), F.col("rank").cast("bigint").alias("rank")
     )
@@ -470,7 +474,7 @@ MATCH_CTES = [
 def best_match(spark: SparkSession, folder: str) -> DataFrame:
     refs, asked = undated_refs(spark, folder)
     catalogue = B.catalogue_v(spark, folder)
-    return M.best_match(refs, M.title_candidates(asked, catalogue, KEYS, k=5), catalogue, KEYS)
+    return M.best_match(refs, M.title_candidates(asked, catalogue, KEYS, k=5, share=SHARE), catalogue, KEYS)
 
 
 @query(
@@ -484,7 +488,7 @@ def best_match(spark: SparkSession, folder: str) -> DataFrame:
 )
 def best_per_ref(spark: SparkSession, folder: str) -> DataFrame:
     _, asked = undated_refs(spark, folder)
-    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5)
+    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5, share=SHARE)
     found = found.withColumn("overlap", F.col("overlap").cast("bigint"))
     return M.best_per_ref(found, KEYS, ["cat_id"], score="overlap")
 
@@ -506,7 +510,7 @@ def best_per_ref(spark: SparkSession, folder: str) -> DataFrame:
 def best_title_match(spark: SparkSession, folder: str) -> DataFrame:
     refs, asked = undated_refs(spark, folder)
     catalogue = B.catalogue_v(spark, folder)
-    return M.best_title_match(refs, M.title_candidates(asked, catalogue, KEYS, k=3), catalogue, KEYS)
+    return M.best_title_match(refs, M.title_candidates(asked, catalogue, KEYS, k=3, share=SHARE), catalogue, KEYS)
 
 
 @query(
@@ -557,7 +561,7 @@ def verified_refs(spark: SparkSession, folder: str) -> DataFrame:
     catalogue = B.catalogue_v(spark, folder)
     by_doi = M.verify_by_doi(refs, catalogue).select("paper_id", "ord", "status")
     undated, asked = undated_refs(spark, folder)
-    matched = M.best_match(undated, M.title_candidates(asked, catalogue, KEYS, k=5), catalogue, KEYS)
+    matched = M.best_match(undated, M.title_candidates(asked, catalogue, KEYS, k=5, share=SHARE), catalogue, KEYS)
     by_title = (
         undated.select("paper_id", "ord")
         .join(matched.select("paper_id", "ord", "status"), KEYS, "left")
@@ -622,7 +626,7 @@ def matched_papers(spark: SparkSession, folder: str) -> DataFrame:
     )
     asked = papers.select("paper_id", X.clean_title_for_search(F.col("title")).alias("query"))
     catalogue = B.catalogue_v(spark, folder)
-    found = M.title_candidates(asked, catalogue, ["paper_id"], k=5)
+    found = M.title_candidates(asked, catalogue, ["paper_id"], k=5, share=SHARE)
     return M.catalogue_match(papers, found, catalogue)
 
 
