@@ -6,7 +6,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from veripaper.plans.streams import run_to_table
+from veripaper.plans.streams import read_stream, run_to_table
 from veripaper.streaming import jobs as J
 from veripaper.streaming import pipelines as L
 from veripaper.streaming import quotas as Q
@@ -124,3 +124,12 @@ def test_validate_new_papers(spark, tmp_path):
     L.validate_new_papers(stream, str(tmp_path / "out"), str(tmp_path / "cp"), date(2024, 1, 1)).awaitTermination()
     rows = {r.paper_id: r.is_valid for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert rows == {1: True, 2: False}
+
+
+def test_read_stream_of_part_files(spark, tmp_path):
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.range(7).coalesce(1).write.parquet(str(tmp_path / "made"))
+    next((tmp_path / "made").glob("part-*.parquet")).rename(tmp_path / "single.parquet")
+    for name, n in (("parts", 100), ("single", 7)):
+        got = run_to_table(read_stream(spark, str(tmp_path), name), spark)
+        assert sorted(r.id for r in got.collect()) == list(range(n))

@@ -25,8 +25,11 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A test table as a stream of its file."""
+    """A test table as a stream of its file, or of the part files of its folder."""
     reader = spark.readStream.schema(B.table(spark, folder, name).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}.parquet")
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
