@@ -1,6 +1,7 @@
 """Plans are what they should be at scale."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veripaper.functions.scale import salted_join
 from veripaper.plans import all_queries
@@ -47,3 +48,17 @@ def test_salted_join(spark):
     got = {(r.id, r.v) for r in salted_join(big, small, ["k"], [big.id], "left").collect()}
     want = {(r.id, r.v) for r in big.join(small, "k", "left").collect()}
     assert got == want and len(got) == 1000
+
+
+def test_papers_without_references_stay(spark, folder, tmp_path):
+    # Of six papers those with id % 6 = 1 cite the ids 2 to 5, which are gaps.
+    ids = [0, 1, 12, 13, 18, 19]
+    for name, key in (("documents", "doc_id"), ("events", "event_id")):
+        spark.read.parquet(f"{folder}/{name}.parquet").where(F.col(key).isin(ids)).write.parquet(f"{tmp_path}/{name}.parquet")
+    statuses = {r.paper_id: r.status for r in B.papers_v(spark, str(tmp_path)).collect()}
+    got = {r.paper_id: r for r in QUERIES["p6_upload_pipeline"](spark, str(tmp_path)).collect()}
+    assert sorted(statuses) == sorted(got) == ids
+    for i in ids:
+        assert (got[i].overall_status is None) == (got[i].reason is None) == (i % 6 == 1)
+        if i % 6 == 1:
+            assert got[i].status == statuses[i]

@@ -669,11 +669,14 @@ def decide_upload_status(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def upload_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Parse, verify and look up all references of all papers at once, then judge the papers."""
+    """Parse, verify and look up all references of all papers at once, then judge the papers.
+
+    A paper without references has no verdict and keeps its status.
+    """
     judged = CQ.verdicts(spark, folder)
     papers = B.papers_v(spark, folder).select("paper_id", "status")
     final = F.when(F.col("overall_status") == "VALID", "VALIDATED").otherwise(F.col("status"))
-    return papers.join(judged, "paper_id").select("paper_id", "overall_status", "reason", final.alias("status"))
+    return papers.join(judged, "paper_id", "left").select("paper_id", "overall_status", "reason", final.alias("status"))
 
 
 # --- table changes ------------------------------------------------------------------------------
