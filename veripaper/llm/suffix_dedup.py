@@ -1,11 +1,10 @@
-"""Deduplication of repeated byte strings by prefix doubling over sampled suffixes.
+"""Deduplication of repeated byte strings: the grouping of operator 3 (``repeats``) over bytes.
 
-Suffixes start at anchors that their own content selects, about one in 35 bytes, so equal strings have
-equal anchors (see ``repeats``). Spark ranks them at growing lengths: first by the 32 bytes at the
-anchor, then by everything that the windows at this anchor can see, then by 83 bytes around it, last by
-the exact 100 bytes of each window. A suffix leaves the ranking as soon as it is unique or, past the threshold, known to be
-repeated. Ranks are 128-bit names instead of positions in a global order, so a round needs a shuffle
-and no second lookup of the rank at the offset.
+This is no suffix array and no prefix doubling: nothing is sorted by (rank, rank at an offset) and no ranks
+are assigned anew. Anchors, about one in 35 bytes, are selected by their own content, so equal strings have
+equal anchors. Their 32-byte grams are counted in a count-min sketch; runs that may be repeated are grouped by
+the 128-bit hash of their content, then quarters of runs, last the exact 100 bytes of single
+windows. What is known to be unique or repeated leaves between these steps.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ from pyspark.sql import types as T
 from .repeats import Units, byte_units, covered_units, repeated_windows, spans_by_doc
 from .shared import small_batches
 
-#: Bytes of a string that must repeat, and of the first ranking.
+#: Bytes of a string that must repeat, and of the grams that are counted first.
 THRESHOLD, FIRST_RANK = 100, 32
 
 
