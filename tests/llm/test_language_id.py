@@ -60,3 +60,24 @@ def test_odd_rows(spark):
     assert {r["lang_pred"] for r in L.language_id(docs, {}).collect()} == {L.UNKNOWN}
     blank = docs.withColumn("lang", F.lit(None).cast("string"))
     assert L.labelled_samples(blank) == {}
+
+
+def test_rare_letters_count():
+    rng = random.Random(5)
+    letters = [chr(0x4E00 + i) for i in range(900)]
+    sample = "".join(rng.choice(letters) for _ in range(4000))
+    texts = [sample[at : at + 700] for at in (0, 1000, 3300)] + ["".join(rng.choice(letters) for _ in range(600)), "zzz"]
+    points = [np.array([ord(c) for c in t], dtype=np.uint32) for t in texts]
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in points])]).astype(np.int64)
+    found = L.Automaton(np.array([ord(c) for c in sample], dtype=np.uint32)).phrases(np.concatenate(points), starts)
+    assert found.tolist() == [phrases_by_hand(t, sample) for t in texts]
+
+
+def test_samples_behind_headers(spark):
+    header, digits = "this notice stands before all texts " * 60, "12, " * 1000
+    rows = [(i, header + "le chien et le chat " * 400, "fr") for i in range(30)]
+    rows += [(i, digits + "der hund", "de") for i in range(30, 60)]
+    samples = L.labelled_samples(spark.createDataFrame(rows, "id long, text string, lang string"), "id")
+    assert samples["fr"].count("chien") > samples["fr"].count("notice") > 0
+    assert "der hund" in samples["de"]
+    assert all(len(samples[lang]) <= 30 * (L.SAMPLE_LETTERS + L.SAMPLE_PLACES) for lang in samples)

@@ -17,11 +17,11 @@ from pyspark.sql import types as T
 
 from .shared import small_batches
 
-#: The labelled sample: documents for each language, and letters taken from each of them.
-SAMPLE_DOCS, SAMPLE_LETTERS = 200, 400
+#: The labelled sample: documents for each language, letters taken from each of them, and from how many places.
+SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_PLACES = 200, 400, 4
 #: A phrase ends after this many letters at the latest; segments are parsed side by side.
 SEGMENT = 512
-#: Letters that a language tells apart; rarer ones of its sample count as unknown.
+#: Letters of a language that have a column in its table; steps by rarer ones are searched in a sorted list.
 ALPHABET = 255
 UNKNOWN = "und"
 
@@ -46,26 +46,39 @@ def letters_of(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sample as a table: row = state, column = letter code, -1 = no such substring."""
+    """Suffix automaton of a sample as a table: row = state, column = letter code, -1 = no such substring.
+
+    The last column stands for all letters without an own one: ``rare`` has their steps, sorted by state and code.
+    """
 
     def __init__(self, sample: np.ndarray):
         points, counts = np.unique(sample, return_counts=True)
-        points = points[np.argsort(-counts, kind="stable")][:ALPHABET]
+        points = points[np.argsort(-counts, kind="stable")]
         self.size = len(points)
         self.codes = np.full(0x110000, self.size, dtype=np.int32)
         self.codes[points] = np.arange(self.size)
         self.bits = np.log2(max(2, len(sample)))
-        coded = self.codes[sample]
         steps, link, length, last = [{}], [-1], [0], 0
-        for code in coded.tolist():
-            if code == self.size:  # an unknown letter: the sample starts anew behind it
-                last = 0
-                continue
+        for code in self.codes[sample].tolist():
             last = _extended(steps, link, length, last, code)
-        self.table = np.full((len(steps), self.size + 1), -1, dtype=np.int32)
+        self.columns = min(self.size, ALPHABET)
+        self.table = np.full((len(steps), self.columns + 1), -1, dtype=np.int32)
+        self.root = np.zeros(self.size + 1, dtype=np.int32)
+        rare = []
         for state, out in enumerate(steps):
             for code, to in out.items():
-                self.table[state, code] = to
+                if state == 0:
+                    self.root[code] = to
+                if code < self.columns:
+                    self.table[state, code] = to
+                else:
+                    rare.append((state * (self.size + 1) + code, to))
+        self.rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2)
+
+    def _rare_steps(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        keys = state.astype(np.int64) * (self.size + 1) + code
+        at = np.minimum(np.searchsorted(self.rare[:, 0], keys), len(self.rare) - 1)
+        return np.where(self.rare[at, 0] == keys, self.rare[at, 1], -1)
 
     def phrases(self, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrases of every text; ``starts`` has where each text begins in ``points`` (one more)."""
@@ -79,7 +92,7 @@ class Automaton:
         size = np.minimum(SEGMENT, length[owner] - nth * SEGMENT)
         order = np.argsort(-size, kind="stable")
         begin, size = begin[order], size[order]
-        width, root = self.size + 1, np.maximum(self.table[0], 0)
+        width, root = self.columns + 1, self.root
         flat = self.table.ravel()
         state = np.zeros(len(begin), dtype=np.int32)
         found = np.zeros(len(begin), dtype=np.int32)
@@ -87,7 +100,9 @@ class Automaton:
         for step in range(int(size[0]) if len(size) else 0):
             n = active[step]
             code, old = codes[begin[:n] + step], state[:n]
-            to = flat[old * width + code]
+            to = flat[old * width + np.minimum(code, self.columns)]
+            if len(self.rare) and len(rare := np.flatnonzero((code >= self.columns) & (code < self.size))):
+                to[rare] = self._rare_steps(old[rare], code[rare])
             stuck = to < 0
             found[:n] += stuck & (old > 0)
             state[:n] = np.where(stuck, root[code], to)
@@ -138,8 +153,28 @@ def remainder(id_column: Column) -> Column:
     return F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(4))
 
 
+def _letters_at_places(text: Column, id_column: Column) -> Column:
+    """``SAMPLE_LETTERS`` letters of ``text``: one stretch at a place chosen by hash in each of its equal parts.
+
+    A text with no more letters is taken whole. Runs of other characters are one space.
+    """
+    size = SAMPLE_LETTERS // SAMPLE_PLACES
+
+    def stretch(letters: Column, nth: int) -> Column:
+        part = F.floor(F.char_length(letters) / F.lit(SAMPLE_PLACES)).cast("int")
+        place = F.pmod(F.xxhash64(id_column, F.lit(2 + nth)), (part - F.lit(size - 1)).cast("long")).cast("int")
+        return F.substring(letters, part * nth + place + 1, F.lit(size))
+
+    def chosen(letters: Column) -> Column:
+        places = F.concat_ws(" ", *[stretch(letters, i) for i in range(SAMPLE_PLACES)])
+        return F.when(F.char_length(letters) <= SAMPLE_LETTERS, letters).otherwise(places)
+
+    return F.get(F.transform(F.array(F.trim(F.regexp_replace(text, r"\P{L}+", " "))), chosen), F.lit(0))
+
+
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """Text of each language for its automaton: ``SAMPLE_DOCS`` documents, ``SAMPLE_LETTERS`` of each.
+    """Text of each language for its automaton: ``SAMPLE_DOCS`` documents, ``SAMPLE_LETTERS`` of each,
+    from places all over the text, so that a common header is not what is learnt.
 
     Documents are chosen by a hash of the identifier, those with remainder 2 are held out. What comes to
     the driver is bounded by these two numbers for each language.
@@ -153,11 +188,11 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shares = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, n // (4 * SAMPLE_DOCS)))])
     thinned = known.where(F.pmod(F.xxhash64("id"), shares[F.col("lang")]) == 0)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit(1)), "id"))
-    chosen = thinned.select("lang", "id", F.substring("text", 1, 4 * SAMPLE_LETTERS).alias("text"))
+    chosen = thinned.select("lang", "id", _letters_at_places(F.col("text"), F.col("id")).alias("text"))
     rows = chosen.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).select("lang", "nth", "text").collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["nth"])):
-        letters = letters_of(row["text"])[:SAMPLE_LETTERS]
+        letters = letters_of(row["text"])
         samples.setdefault(row["lang"], []).append("".join(chr(c) if c else " " for c in letters.tolist()))
     return {lang: " ".join(texts) for lang, texts in samples.items()}
 
