@@ -4,7 +4,7 @@ A window opens at its key's first request after the last window ended (strictly
 time), so that windows depend on each other in time. The batch form cuts time into blocks: a block
 is worked on as a function from the reset time that reaches it to the reset time that leaves it,
 these short functions are chained per key, and then every block places its windows. No task holds
-more than one block of one key.
+the requests of more than one block of one key; the chain holds the functions of all its blocks.
 """
 
 from __future__ import annotations
