@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, with_quotations
 from .exact_dedup import exact_dedup
+from .filter_audit import filter_audit
 from .language_id import labelled_samples, language_id
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
@@ -224,3 +225,43 @@ def op4_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return format_conversations(with_quotations(table(spark, folder, "conversations")))
+
+
+@query(
+    "op11_filter_audit",
+    """
+    with recursive t as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+               list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+    f as (select doc_id, part,
+                 (len(w) < 100)::int
+                 + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+                 + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int
+                 + 8 * regexp_matches(text, '[#$%&*|]')::int
+                 + 16 * (coalesce(doc_id, 9223372036854775807)
+                         > min(coalesce(doc_id, 9223372036854775807)) over (partition by text))::int as failed from t),
+    l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+    c as (select part, failed, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+          from f left join l using (doc_id) group by part, failed),
+    o as (select '' as filter_order, 0 as before, 0 as after, 0 as bit, 0 as step, '' as taken
+          union all
+          select filter_order || x.name, o.after, o.after + x.bit, x.bit, step + 1, taken || x.name
+          from o join (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) as x(name, bit) on o.after & x.bit = 0),
+    s as (select p.filter_order, o.step, o.before, o.after, o.bit from o join o p on p.step = 5 and o.step > 0
+          and p.filter_order[1 : o.step] = o.filter_order),
+    r as (select part, filter_order, step, bit,
+                 sum(case when failed & after = 0 then n else 0 end) as kept,
+                 sum(case when failed & before = 0 and failed & bit <> 0 then n else 0 end) as removed,
+                 sum(case when failed & before <> 0 and failed & bit <> 0 then n else 0 end) as redundant,
+                 sum(case when failed = bit then n else 0 end) as unique_fails,
+                 sum(case when failed & before = 0 and failed & bit <> 0 then good else 0 end) as good_lost,
+                 sum(case when failed & before = 0 and failed & bit <> 0 then toxic else 0 end) as toxic_lost
+          from c cross join s group by all)
+    select part, filter_order, step::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+           unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+           (sum(removed) over (partition by part, bit))::bigint as shapley
+    from r
+    """,
+)
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
