@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_conversations, with_quotations
+from .conversation_repair import damaged, repair_conversations
 from .exact_dedup import exact_dedup
 from .filter_audit import filter_audit
 from .language_id import labelled_samples, language_id
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .packing import packed
+from .quality_classifier import quality_scores
 from .sentencepiece_bpe import sentencepiece_encoded
 from .shared import table
 from .substring_dedup import substring_dedup
@@ -265,3 +267,67 @@ def op7_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op13_conversation_repair",
+    r"""
+    with recursive crc as (
+        select list(list_reduce(list_concat([i], range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t
+        from range(256) as r(i)),
+    k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                 coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as key from conversations),
+    h as (select k.*, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: unicode(x)::bigint)),
+                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 as kind from k cross join crc),
+    d as (select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+                 case when kind = 1 then '' when kind = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+                 unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy from h),
+    n as (select *, left(role, 1) as initial, row_number() over (partition by conv_id order by turn nulls first,
+                 sha256(length(role) || ':' || role || text), copy) as i from d),
+    f as (select *, lag(initial) over (partition by conv_id order by i) as before,
+                 case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'blank'
+                      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                      when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 'truncated' else '' end as fault from n),
+    c as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                 count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                 count(*) filter (fault = 'truncated') as truncated,
+                 count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n
+          from f group by conv_id),
+    -- States: 0 nothing written, 1 a system turn, 2 a user turn last, 3 an assistant turn last.
+    g as (select * from (values (0, 0, 0, []), (1, 0, 1, []), (2, 0, 2, []), (3, 0, 3, []),
+                                (0, 1, 2, ['user:']), (1, 1, 2, ['user:']), (3, 1, 2, ['user:']), (2, 1, 3, ['assistant:']),
+                                (0, 2, 3, ['user:', 'assistant:']), (1, 2, 3, ['user:', 'assistant:']), (3, 2, 3, ['user:', 'assistant:']),
+                                (2, 2, 2, ['assistant:', 'user:'])) as v(state, k, behind, lines)),
+    e as (select * from (values (0, 's', 1, null), (0, 'u', 2, 'user:'), (1, 'u', 2, 'user:'), (3, 'u', 2, 'user:'), (2, 'a', 3, 'assistant:'))
+          as v(state, initial, behind, role)),
+    m as (select f.*, g.state as came, g.k, g.behind as state, g.lines from f cross join g),
+    s as (select conv_id, i, came, state as behind, 5 * k + 2 as cost, repeat('I', k) || 'D' as audit, lines from m
+          union all
+          select conv_id, i, came, e.behind, 5 * k + case when e.initial = m.initial then 0 else 1 end + case when fault = 'truncated' then 5 else 0 end,
+                 repeat('I', k) || case when e.initial = m.initial then 'K' else 'R' end,
+                 list_append(lines, case when e.initial = m.initial then m.role || ':' else e.role end || text)
+          from m join e on e.state = m.state and (e.initial = m.initial or e.role is not null) where fault not in ('blank', 'duplicate')),
+    w as (select conv_id, 0::bigint as i, 0 as state, {'cost': 0, 'audit': '', 'lines': []::varchar[]} as best
+          from (select distinct conv_id from conversations)
+          union all
+          select w.conv_id, w.i + 1, s.behind,
+                 min({'cost': w.best.cost + s.cost, 'audit': w.best.audit || s.audit, 'lines': list_concat(w.best.lines, s.lines)})
+          from w join s on s.conv_id is not distinct from w.conv_id and s.i = w.i + 1 and s.came = w.state group by w.conv_id, w.i, s.behind),
+    z as (select w.conv_id, min({'cost': w.best.cost + 5 * g.k, 'audit': w.best.audit || repeat('I', g.k),
+                                 'lines': list_concat(w.best.lines, g.lines)}) as best
+          from w left join c on c.conv_id is not distinct from w.conv_id join g on g.state = w.state and g.behind in (0, 3)
+          where w.i = coalesce(c.n, 0) group by w.conv_id)
+    select z.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+           coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, best.cost::bigint as cost, best.audit as audit,
+           sha256(array_to_string(best.lines, chr(10))) as repaired_sha256
+    from z left join c on c.conv_id is not distinct from z.conv_id
+    """,
+)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_conversations(damaged(table(spark, folder, "conversations")), times="times")
+
+
+@query("op12_quality_classifier")
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    fifth = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
+    return quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"), fifth == 0)
