@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Characters deleted before texts are compared.
-BLANKS = "[\\x20\\x09-\\x0D]"
+BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Splitters hold this many characters of content; rows with the same ones are dealt by the spread.
 SPLITTER_CHARS = 64
 #: Rows a range should hold, ranges at most, and sampled rows for each range.
@@ -61,6 +63,18 @@ def _range_of(splitters: list[tuple[str, int]]) -> Column:
     )
 
 
+def _head(text: Column) -> Column:
+    """The first characters of the content; most texts need not be read to their end for them."""
+    start = normalized(F.substring(text, 1, 4 * SPLITTER_CHARS))
+    enough = (F.char_length(start) >= SPLITTER_CHARS) | (F.char_length(text) <= 4 * SPLITTER_CHARS)
+    return F.substring(F.when(F.coalesce(enough, F.lit(True)), start).otherwise(normalized(text)), 1, SPLITTER_CHARS)
+
+
+def _decisions(local: DataFrame, carried: list[str]) -> DataFrame:
+    own = {"doc_id": "_id", "keep_id": "_best", "group_size": "_size", "kept": "_new"}
+    return local.select(*[F.col(c).alias(n) for n, c in own.items()], *carried)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -68,29 +82,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     most code points, then the smallest identifier stays. A null text is empty (all empty texts are
     equal), a null identifier comes after all others, and of rows that agree in everything exactly
     one stays. Other columns are ignored, whatever their names; with ``carry`` they come along as the
-    struct ``row``. An empty table gives no rows.
+    struct ``row``. An empty table gives no rows. Texts are compared whole, however long.
+
+    Each row is shuffled once, as it was read; what is derived from its text is derived behind that.
     """
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *row).withColumn(
+    text = F.col(f"`{text_col}`")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(text.alias("_text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), row.alias("row")).withColumn(
         "_spread", F.xxhash64(F.coalesce("_id", F.lit(LAST)))
     )
-    splitters = _splitters(rows)
+    text = F.col("row")[text_col if carry else "_text"]
+    splitters = _splitters(rows.withColumn("_text", text))
     edges = sorted({head for head, _ in splitters})
-    content = rows.select(
-        "_id",
-        F.coalesce(F.char_length("_text"), F.lit(0)).alias("_length"),
-        normalized(F.col("_text")).alias("_content"),
-        "_spread",
-        *["row"] * carry,
-    ).withColumn("_head", F.substring("_content", 1, SPLITTER_CHARS))
-    ranged = content.withColumn("_range", _range_of(splitters)).withColumn(
-        "_cut", F.col("_head").isin(edges) if edges else F.lit(False)
-    )
-    order = Window.partitionBy("_range").orderBy(
-        "_content", F.desc("_length"), F.asc_nulls_last("_id")
+    ranged = rows.withColumn("_head", _head(text)).withColumn("_range", _range_of(splitters))
+    ranged = ranged.withColumn("_cut", F.col("_head").isin(edges) if edges else F.lit(False)).drop("_head", "_spread")
+    content = ranged.repartition("_range").select(
+        "_id", "row", "_range", "_cut", F.coalesce(F.char_length(text), F.lit(0)).alias("_length"), normalized(text).alias("_content")
     )
+    order = Window.partitionBy("_range").orderBy("_content", F.desc("_length"), F.asc_nulls_last("_id"))
     before = F.lag("_content").over(order)
-    sorted_rows = ranged.withColumn("_new", before.isNull() | (before != F.col("_content")))
+    sorted_rows = content.withColumn("_new", before.isNull() | (before != F.col("_content")))
     grouped = sorted_rows.select(
         "_id",
         "_length",
@@ -106,16 +117,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     local = grouped.withColumn("_size", F.count(F.lit(1)).over(same)).withColumn(
         "_best", F.max(F.when(F.col("_new"), F.struct("_id"))).over(same)["_id"]
     )
-    result = [F.col("_id").alias("doc_id")]
-    whole = local if not edges else local.where(~F.col("_cut"))
-    done = whole.select(
-        *result, F.col("_best").alias("keep_id"), F.col("_size").alias("group_size"), F.col("_new").alias("kept"),
-        "text_sha256", *["row"] * carry,
-    )
+    carried = ["text_sha256", *["row"] * carry]
     if not edges:
-        return done
-    parts = local.where("_cut")
-    heads = parts.where("_new").select("_whole", "_range", "_group", "_size", "_length", F.col("_id"))
+        return _decisions(local, carried)
+    # Each range's decisions, written once; only contents that a splitter may have cut are looked at again.
+    local = written(local)
+    heads = local.where(F.col("_cut") & F.col("_new")).select("_whole", "_range", "_group", "_size", "_length", "_id")
     best = F.max_by(
         F.struct("_id", "_range"),
         F.struct("_length", -F.coalesce("_id", F.lit(LAST)), -F.col("_range")),
@@ -123,15 +130,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined_up = (
         heads.groupBy("_whole")
         .agg(F.sum("_size").alias("_all"), best.alias("_winner"), F.collect_set(F.struct("_range", "_group")).alias("_parts"))
+        .where(F.size("_parts") > 1)
         .select("_all", "_winner", F.explode("_parts").alias("_part"))
         .select("_all", "_winner", F.col("_part._range").alias("_r"), F.col("_part._group").alias("_g"))
     )
-    stitched = parts.join(joined_up, (F.col("_range") == F.col("_r")) & (F.col("_group") == F.col("_g"))).select(
-        *result,
-        F.col("_winner._id").alias("keep_id"),
-        F.col("_all").alias("group_size"),
-        (F.col("_new") & (F.col("_range") == F.col("_winner._range"))).alias("kept"),
-        "text_sha256",
-        *["row"] * carry,
+    done = local.where(~F.col("_cut"))
+    parts = local.where("_cut").join(joined_up, (F.col("_range") == F.col("_r")) & (F.col("_group") == F.col("_g")), "left")
+    elsewhere = F.col("_r").isNotNull()
+    stitched = parts.select(
+        F.col("_id").alias("doc_id"),
+        F.when(elsewhere, F.col("_winner._id")).otherwise(F.col("_best")).alias("keep_id"),
+        F.coalesce("_all", "_size").alias("group_size"),
+        F.when(elsewhere, F.col("_new") & (F.col("_range") == F.col("_winner._range"))).otherwise(F.col("_new")).alias("kept"),
+        *carried,
     )
-    return done.unionByName(stitched)
+    return _decisions(done, carried).unionByName(stitched)
