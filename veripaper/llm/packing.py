@@ -29,8 +29,8 @@ WINDOW, GRID, DEPTH = 2048, 16, 3
 #: The id behind every document.
 END_ID = 1
 #: Words whose ids a Python worker remembers, and pieces that are numbered in one group.
-REMEMBERED, NUMBERED = 400_000, 50_000
-#: Marks that are split off the end of a word.
+REMEMBERED, NUMBERED = 600_000, 50_000
+#: Marks that are split off the end of a word of letters.
 PUNCTUATION = ".,;:!?"
 
 _ENCODERS: dict[str, "WordIds"] = {}
@@ -39,9 +39,9 @@ _ENCODERS: dict[str, "WordIds"] = {}
 class WordIds:
     """Ids of white-space separated words; equal to encoding the whole text, as no token spans white space.
 
-    A word is letters with punctuation behind them in most cases. Both are encoded apart, as the
-    vocabulary's own splitting does, and many new words of letters in one call: each of them ends with the
-    only token that ends a word.
+    New words are encoded many in one call. A word of letters ends with the only token that ends a word; a
+    mark behind it is a token of its own that ends a word as well, as the vocabulary splits words from marks.
+    All other words are encoded one by one.
     """
 
     ENDS = "</w>"
@@ -55,57 +55,40 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(self.ENDS)]] = True
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4").tobytes() for f in found]
 
-    def _letters(self, words: list[str]) -> list[bytes]:
-        ids = np.frombuffer(self._encoded([" ".join(words)])[0], "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or stops[-1] != len(ids):
+    def _together(self, words: list[str], ends: int) -> list[bytes]:
+        """Ids of words that have ``ends`` tokens which end a word each."""
+        ids = self._encoded([" ".join(words)])[0]
+        stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()
+        if len(stops) != ends * len(words) or stops[-1] != len(ids):
             return self._encoded(words)
-        return [ids[a:b].tobytes() for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        self.parts.setdefault("", b"")
-        split: dict[bytes, tuple[str, str]] = {}
-        letters: set[str] = set()
-        others: set[str] = set()
-        for word in words:
-            text = word.decode()
-            head = text.rstrip(PUNCTUATION)
-            if head.isalpha():
-                if head.isascii():
-                    head = head.lower()
-                tail = text[len(head) :]
-                split[word] = (head, tail)
-                letters.add(head)
-                others.add(tail)
-            else:
-                split[word] = (text, "")
-                others.add(text)
-        fresh = [w for w in letters if w not in self.parts]
-        if fresh:
-            self.parts.update(zip(fresh, self._letters(fresh)))
-        fresh = [w for w in others if w not in self.parts]
-        if fresh:
-            self.parts.update(zip(fresh, self._encoded(fresh)))
-        parts = self.parts
-        self.known.update((word, parts[head] + parts[tail]) for word, (head, tail) in split.items())
+        stops = stops[ends - 1 :: ends]
+        return [ids[a:b] for a, b in zip([0, *stops[:-1]], stops)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = b" ".join(new).decode().split(" ")
+        kinds = [w.isalpha() or 2 * (w[-1] in PUNCTUATION and w[:-1].isalpha()) for w in words]
+        for kind in (1, 2, 0):
+            chosen = [i for i, k in enumerate(kinds) if k == kind]
+            if chosen:
+                some = [words[i] for i in chosen]
+                self.known.update(zip([new[i] for i in chosen], self._together(some, kind) if kind else self._encoded(some)))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
+        split = [text.split() for text in texts]
+        words = set().union(*split)
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            # Words of this batch stay, the frequent ones among them.
+            self.known = {word: self.known[word] for word in words if word in self.known}
         known = self.known
-        split = [text.split() for text in texts]
-        new = set().union(*split).difference(known)
+        new = words.difference(known)
         if new:
-            self._learn(new)
+            self._learn(list(new))
         return [b"".join([known[word] for word in words]) for words in split]
 
 
