@@ -184,10 +184,12 @@ def sampled(docs: DataFrame, marks: DataFrame) -> DataFrame:
     An identifier with several texts counts with the longest and gives the least of them.
     """
     lengths = docs.groupBy("doc_id").agg(F.max(F.coalesce(F.char_length("text"), F.lit(0))).alias("length"))
-    order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = lengths.join(marks, "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS)
+    rows = lengths.join(marks, "doc_id")
+    for parts in (["good", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))], ["good"]):
+        order = Window.partitionBy(*parts).orderBy(F.xxhash64("doc_id"), "doc_id")
+        rows = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= SAMPLE_ROWS)
     reached = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    chosen = ranked.withColumn("reached", reached).where((F.col("reached") <= SAMPLE_CHARS) | (F.col("nth") == 1))
+    chosen = rows.withColumn("reached", reached).where((F.col("reached") <= SAMPLE_CHARS) | (F.col("nth") == 1))
     # At most 2 * SAMPLE_ROWS rows.
     found = docs.join(F.broadcast(chosen.select("doc_id", "good")), "doc_id")
     return found.groupBy("doc_id", "good").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
@@ -201,7 +203,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     """
     docs = docs.where(learn).where("doc_id is not null").select("doc_id", "text")
     marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    counts = docs.join(marks, "doc_id").select("text", "good").mapInArrow(_counted, "ngram int, good long, bad long")
+    # Both sides are shuffled at every size, so that small and large tables run alike.
+    counts = docs.join(marks.hint("merge"), "doc_id").select("text", "good").mapInArrow(_counted, "ngram int, good long, bad long")
     table = counts.groupBy("ngram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     good, bad = np.zeros(SIZE), np.zeros(SIZE)
     at = table.column("ngram").to_numpy()
