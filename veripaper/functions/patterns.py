@@ -10,7 +10,8 @@ WORD_END = r"(?![A-Za-z0-9_])"
 # --- fixed values: titles in reference strings (first rule set) -----------------------------
 TITLE_DOUBLE_QUOTED = r'"([^"]{10,})"'
 TITLE_SINGLE_QUOTED = r"'([^']{10,})'"
-TITLE_BEFORE_YEAR = r'(?:,|\.)?\s*([A-Z][^,."]{10,}?)\s*,?\s*(?:19|20)\d{2}'
+# The first capital behind a comma, full stop or quotation mark is the only one that can begin the leftmost match.
+TITLE_BEFORE_YEAR = r'(?:^|[,."])[^A-Z,."]*([A-Z][^,."]{10,}?)\s*,?\s*(?:19|20)\d{2}'
 TITLE_BETWEEN_COMMAS = r'(?i),\s*([A-Z][^,."]{10,}?)(?:,|\.|"|in\s|IEEE|Proc)'
 TITLE_AFTER_ET_AL = r"""(?i)et\s+al\.\s*,?\s*["']?([A-Z][^,."]{10,}?)["']?\s*,"""
 TITLE_ITALICS = r"\*([^*]{10,})\*"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scale import cut_lineage
+from ..functions.scale import cut_lineage, salted_join
 from ..functions.text import (
     blank,
     edit_similarity,
@@ -29,102 +29,135 @@ def verify_by_doi(refs: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
-def _word_sets(df: DataFrame, text: Column) -> DataFrame:
+#: Postings of a word that every search reads at first, for each hit it wants.
+HEAD = 8
+#: Postings of a frequent word in one share of a join.
+SHARE_ROWS = 4096
+
+
+def _word_sets(df: DataFrame, text: Column, *others: str) -> DataFrame:
+    """Rows with words: ``others``, the key of the word set and the words as 64-bit numbers."""
     words = F.array_sort(title_words(text))
-    return df.withColumn("words", F.array_join(words, " "))
+    rows = df.select(*others, words.alias("words")).where(F.size("words") > 0)
+    codes = F.transform("words", lambda w: F.xxhash64(w))
+    return rows.select(*others, F.md5(F.array_join("words", " ")).alias("_set"), codes.alias("codes"))
+
 
+def _best_sets(hits: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` sets of each query, which hold its ``k`` rows; each task keeps no more than these."""
+    best = W.partitionBy("_q").orderBy(F.desc("overlap"), "set_id")
+    return hits.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).drop("_r")
 
-def _sharing(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """Sets that share ``need`` words or more with a query: ``(q_words, c_words, set_id, n_rows, overlap)``.
 
-    Such a set has one of the query's rarest ``n - need + 1`` words, so only those are probed.
+def _bounds(hits: DataFrame, k: int) -> DataFrame:
+    """``_q, bound``: what the k-th row of each query with k rows shares with it."""
+    best = W.partitionBy("_q").orderBy(F.desc("overlap"), "set_id")
+    rows = F.sum("n_rows").over(best.rowsBetween(W.unboundedPreceding, 0))
+    return (
+        hits.withColumn("_rows", rows)
+        .groupBy("_q")
+        .agg(F.max(F.when(F.col("_rows") >= k, F.col("overlap"))).alias("bound"))
+        .where("bound is not null")
+    )
+
+
+def _shared(index: DataFrame, probe: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of queries and sets that meet at the first word the query has read, with all words they share.
+
+    ``read`` are the words whose postings are read whole by now, so a pair is met once over all stages.
     """
-    # Words travel as numbers within the join: equal hashes of unequal words only cost a check.
-    probe = probe.select("q_words", "need", F.transform("ranked", lambda r: F.xxhash64(r["word"])).alias("q_codes"))
-    probe = probe.withColumn("prefix", F.slice("q_codes", F.lit(1), F.size("q_codes") - F.col("need") + 1))
-    probe = probe.withColumn("code", F.explode("prefix"))
-    q, c = probe.alias("q"), index.alias("c")
-    near = q.join(
-        c,
-        (F.col("q.code") == F.col("c.code"))
-        & (F.size("c.c_codes") >= F.col("q.need"))
-        & (F.col("q.code") == F.get(F.array_intersect("q.prefix", "c.c_codes"), F.lit(0)))
-        & (F.size(F.array_intersect("q.q_codes", "c.c_codes")) >= F.col("q.need")),
-    )
-    overlap = F.size(F.array_intersect(F.split("q_words", " "), F.split("c_words", " ")))
-    hits = near.select("q_words", "c_words", "set_id", "n_rows", "need", overlap.alias("overlap"))
-    return hits.where("overlap >= need").drop("need")
-
-
-def _without_enough(probe: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """Queries whose hits so far hold less than ``k`` rows."""
-    enough = hits.groupBy("q_words").agg(F.sum("n_rows").alias("n")).where(F.col("n") >= k)
-    return probe.join(enough.select("q_words"), "q_words", "left_anti")
-
-
-def title_candidates(
-    queries: DataFrame,
-    catalogue: DataFrame,
-    keys: list[str],
-    k: int,
-    share: float | None = None,
-) -> DataFrame:
+    met = F.get(F.array_intersect("read", "codes"), F.lit(0)) == F.col("code")
+    overlap = F.size(F.array_intersect("q_codes", "codes"))
+    return (
+        probe.join(index, on)
+        .where(met)
+        .select("_q", "set_id", "n_rows", overlap.alias("overlap"), "need")
+        .where("overlap >= need")
+        .drop("need")
+    )
+
+
+def title_candidates(queries: DataFrame, catalogue: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The ``k`` catalogue rows nearest to each ``query`` text: ``(*keys, cat_id, rank, overlap)``.
 
-    Stands in for a remote search. A row is a hit when it shares a word with the query, or at
-    least ``share`` of the query's distinct words where that is given; more shared words rank
-    first, then the smaller id. Equal word sets are searched once. Rows with half of the words
-    are looked for first, by the rarest words. A query with ``k`` of them is done, as all other
-    rows share less; the others are searched for two shared words and, if need be, for one.
+    Stands in for a remote search. A row is a hit when it shares a word with the query; more shared
+    words rank first, then the smaller id. Equal word sets are searched once.
+
+    A search over an inverted index with bounds. Every query first reads the heads of its words' postings,
+    the smallest ids; these are whole postings of all but frequent words. What its k-th hit shares is a
+    lower bound for all further hits, and a set that shares ``b`` of ``n`` words has one of the query's
+    rarest ``n - b + 1`` words: a query whose words up to there are read whole leaves. The others read the
+    frequent words among them in two steps, the rarer ones first, and the bound is raised in between. Hits
+    with one shared word never need more than the heads. Postings of a frequent word are dealt in shares.
+    Words are told apart by 64 bits.
     """
-    asked = _word_sets(queries, F.col("query")).where("words <> ''")
-    stored = _word_sets(catalogue.select("cat_id", "title"), F.col("title")).where("words <> ''")
-    by_set = W.partitionBy("words").orderBy("cat_id")
-    members = (
-        stored.select("words", "cat_id").withColumn("_n", F.row_number().over(by_set)).where(F.col("_n") <= k)
-    )
-    sets = members.groupBy("words").agg(F.min("cat_id").alias("set_id"), F.count(F.lit(1)).alias("n_rows"))
-    frequency = (
-        sets.select(F.explode(F.split("words", " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = (
-        asked.select("words")
+    asked = cut_lineage(_word_sets(queries, F.col("query"), *keys).withColumnRenamed("_set", "_q"))
+    stored = _word_sets(catalogue, F.col("title"), "cat_id")
+    by_set = W.partitionBy("_set").orderBy("cat_id")
+    members = cut_lineage(stored.withColumn("_n", F.row_number().over(by_set)).where(F.col("_n") <= k).drop("_n"))
+    sets = members.groupBy("_set").agg(
+        F.min("cat_id").alias("set_id"), F.count(F.lit(1)).alias("n_rows"), F.first("codes").alias("codes")
+    )
+    postings = sets.withColumn("code", F.explode("codes"))
+    frequency = postings.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    words = asked.groupBy("_q").agg(F.first("codes").alias("codes")).select("_q", F.explode("codes").alias("code"))
+    ranked = salted_join(words, frequency, ["code"], [F.col("_q")]).groupBy("_q").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "code"))).alias("ranked")
+    )
+    head = HEAD * k
+    probe = cut_lineage(
+        ranked.select(
+            "_q",
+            F.col("ranked.code").alias("q_codes"),
+            F.transform("ranked", lambda r: r["n"]).alias("counts"),
+        )
+    )
+    first = W.partitionBy("code").orderBy("set_id")
+    heads = postings.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= head).drop("_n", "_set")
+    near = (
+        probe.select("_q", "q_codes", F.explode("q_codes").alias("code"))
+        .join(heads, "code")
+        .select("_q", "set_id", "n_rows", F.size(F.array_intersect("q_codes", "codes")).alias("overlap"))
         .distinct()
-        .select("words", F.explode(F.split("words", " ")).alias("word"))
-        .join(frequency, "word", "left")
-        .groupBy(F.col("words").alias("q_words"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("ranked"))
-    )
-    need = F.ceil(F.size("ranked") * F.lit(0.5 if share is None else share)).cast("int")
-    probe = ranked.withColumn("need", need)
-    index = sets.select(
-        F.col("words").alias("c_words"),
-        "set_id",
-        "n_rows",
-        F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("c_codes"),
-    ).withColumn("code", F.explode("c_codes"))
-    hits = _sharing(probe, index)
-    if share is None:
-        hits = cut_lineage(hits)
-        rest = _without_enough(probe, hits, k).withColumnRenamed("need", "done")
-        two = _sharing(rest.where("done > 2").withColumn("need", F.lit(2)), index)
-        known = hits.select("q_words", "c_words")
-        hits = cut_lineage(hits.unionByName(two.join(known, ["q_words", "c_words"], "left_anti")))
-        # Fewer than k sets share more words with such a query, so of the sets of a word the first 2 k hold
-        # the k smallest that share this word only, or all of them.
-        first = W.partitionBy("code").orderBy("set_id")
-        heads = index.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 2 * k).drop("_n")
-        last = _without_enough(rest, hits, k).where("done > 1").withColumn("need", F.lit(1))
-        hits = hits.unionByName(_sharing(last, heads).where("overlap = 1"))
-    best_sets = W.partitionBy("q_words").orderBy(F.desc("overlap"), "set_id")
-    top_sets = hits.withColumn("_r", F.row_number().over(best_sets)).where(F.col("_r") <= k)
-    best_rows = W.partitionBy("q_words").orderBy(F.desc("overlap"), "cat_id")
+    )
+    hits = cut_lineage(_best_sets(near, k))
+    shares = F.ceil(F.col("n") / SHARE_ROWS).cast("int")
+    frequent = frequency.where(F.col("n") > head).select("code", shares.alias("shares"))
+    dealt = (
+        salted_join(postings, frequent, ["code"], [F.col("set_id")], "inner")
+        .withColumn("share", F.pmod(F.xxhash64("set_id"), F.col("shares")).cast("int"))
+        .select("code", "share", "set_id", "n_rows", "codes")
+    )
+    half = F.ceil(F.size("q_codes") / 2).cast("int")
+    for rarer in (True, False):
+        # Where one shared word is the bound, the heads hold all of the k smallest ids with one.
+        need = F.greatest("bound", F.lit(2))
+        reach = F.greatest(need, half) if rarer else need
+        read_before = F.size(F.filter("counts", lambda n: n <= head))
+        since = read_before if rarer else F.greatest(read_before, F.size("q_codes") - half + 1)
+        asks = (
+            probe.where(F.element_at("counts", -1) > head)
+            .join(_bounds(hits, k), "_q")
+            .select("_q", "q_codes", "counts", need.alias("need"), (F.size("q_codes") - reach + 1).alias("until"), since.alias("since"))
+            .where("until > since")
+            .withColumn("read", F.slice("q_codes", F.lit(1), F.col("until")))
+        )
+        new = F.slice(F.arrays_zip(F.col("q_codes").alias("code"), F.col("counts").alias("n")), F.col("since") + 1, F.col("until") - F.col("since"))
+        each = asks.select("_q", "q_codes", "need", "read", F.inline(new))
+        shares = F.sequence(F.lit(0), F.ceil(F.col("n") / SHARE_ROWS).cast("int") - 1)
+        spread = each.select("_q", "q_codes", "need", "read", "code", F.explode(shares).alias("share"))
+        found = _best_sets(_shared(dealt, spread, ["code", "share"]), k)
+        hits = cut_lineage(_best_sets(hits.unionByName(found).distinct(), k))
+    best_rows = W.partitionBy("_q").orderBy(F.desc("overlap"), "cat_id")
+    ids = members.select("_set", "cat_id")
+    of_sets = sets.select("set_id", "_set")
     top = (
-        top_sets.join(members.select(F.col("words").alias("c_words"), "cat_id"), "c_words")
-        .select("q_words", "cat_id", "overlap", F.row_number().over(best_rows).alias("rank"))
+        hits.join(of_sets, "set_id")
+        .join(ids, "_set")
+        .select("_q", "cat_id", "overlap", F.row_number().over(best_rows).alias("rank"))
         .where(F.col("rank") <= k)
     )
-    return asked.select(*keys, F.col("words").alias("q_words")).join(top, "q_words").drop("q_words")
+    return asked.select(*keys, "_q").join(top, "_q").drop("_q")
 
 
 def best_per_ref(scored: DataFrame, keys: list[str], keep: list[str], score: str = "score", rank: str = "rank") -> DataFrame:

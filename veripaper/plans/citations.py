@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import cut_lineage
 from ..operators import citations as C
 from ..operators import verdicts as V
 from . import bindings as B
@@ -50,7 +51,7 @@ CHECK_CTES = [
 
 
 def _checks(spark: SparkSession, folder: str) -> DataFrame:
-    return C.content_checks(RQ.parsed_refs(spark, folder), B.texts_v(spark, folder))
+    return C.content_checks(cut_lineage(RQ.parsed_refs(spark, folder)), B.texts_v(spark, folder))
 
 
 @query(
@@ -143,8 +144,9 @@ VERDICT_CTES = [*RQ.VERIFIED_CTES, *CHECK_CTES[1:], CITED_SQL, VERDICT_SQL]
 
 
 def verdicts(spark: SparkSession, folder: str) -> DataFrame:
-    summary = V.reference_summary(RQ.verified_refs(spark, folder)).select("paper_id", "valid_pct")
-    cited = V.content_summary(_checks(spark, folder)).select("paper_id", "cited_pct")
+    parsed, catalogue = (cut_lineage(t(spark, folder)) for t in (RQ.parsed_refs, B.catalogue_v))
+    summary = V.reference_summary(RQ.verified_refs(parsed, catalogue)).select("paper_id", "valid_pct")
+    cited = V.content_summary(C.content_checks(parsed, B.texts_v(spark, folder))).select("paper_id", "cited_pct")
     return V.overall_verdict(summary.join(cited, "paper_id"))
 
 

@@ -455,7 +455,7 @@ NOTES_SQL = """case when not coalesce(checked, false) then []
   when not (title_match and year_match and author_match) then list_filter([
     case when not title_match then 'Title mismatch with OpenAlex' end, case when not year_match then 'Year mismatch with OpenAlex' end,
     case when not author_match then 'Author mismatch with OpenAlex' end], lambda n: n is not null)
-  else [] end"""
+  else list_transform(range(n_unnamed), lambda i: 'OpenAlex paper has no author information') end"""
 DECISION_CTES = [
     ("validated", PQ.VALIDATED_SQL),
     *PQ.DUPLICATE_CTES,
@@ -467,16 +467,17 @@ DECISION_CTES = [
              b.score is not null or v.title <> '' as checked, coalesce(b.is_found, false) as found,
              case when b.is_found then b.score else 0.0 end as match_score, coalesce(b.title_match, false) as title_match,
              coalesce(b.year = b.cat_year, false) as year_match, coalesce(b.author_match, false) as author_match,
-             list_filter([
+             coalesce(b.n_unnamed, 0) as n_unnamed, list_filter([
                case when b.is_found and b.year is not null and b.cat_year is null
                  then concat('Year mismatch: PDF has ', cast(b.year as varchar), ', OpenAlex has unknown') end,
                case when b.is_found and len(b.names) > 0 and len(b.cat_names) > 0 and not b.author_match
                  then 'Author mismatch: PDF authors don''t match OpenAlex authors' end,
                case when b.is_found and not b.title_match
                  then concat('Title mismatch: "', b.title, '" vs "', b.cat_title, '"') end], lambda n: n is not null) as differences,
-             regexp_matches(t.text, '(?i)abstract') as has_abstract, regexp_matches(t.text, '(?i)conclusion|concluding') as has_conclusion
+             coalesce(regexp_matches(t.text, '(?i)abstract'), false) as has_abstract,
+             coalesce(regexp_matches(t.text, '(?i)conclusion|concluding'), false) as has_conclusion
            from validated v left join dups d on d.paper_id = v.paper_id left join best b on b.paper_id = v.paper_id
-           join texts_v t on t.paper_id = v.paper_id""",
+           left join texts_v t on t.paper_id = v.paper_id""",
     ),
     (
         "decided",
@@ -501,15 +502,13 @@ def decided_papers(spark: SparkSession, folder: str) -> DataFrame:
     checked = V.validate_metadata(papers, PQ.AS_OF)
     dups = D.duplicates_within(papers).select("paper_id", "similarity", F.lit(True).alias("is_duplicate"))
     match = RQ.matched_papers(spark, folder).drop("cat_id").withColumn("checked", F.lit(True))
-    # Whether another candidate lacks authors says nothing about the paper.
-    match = match.withColumn("match_warnings", F.array().cast("array<string>"))
     sections = B.texts_v(spark, folder).select(
         "paper_id",
         F.rlike("text", F.lit("(?i)abstract")).alias("has_abstract"),
         F.rlike("text", F.lit("(?i)conclusion|concluding")).alias("has_conclusion"),
     )
     joined = (
-        checked.join(dups, "paper_id", "left").join(match, "paper_id", "left").join(sections, "paper_id")
+        checked.join(dups, "paper_id", "left").join(match, "paper_id", "left").join(sections, "paper_id", "left")
         .withColumn("service_down", F.lit(False)).drop("status")
         .withColumn("checked", F.coalesce("checked", F.lit(False)) & (F.col("title") != ""))
     )
@@ -664,7 +663,7 @@ def decide_upload_status(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         ["refs_v", "catalogue_v", "texts_v", "papers_v"],
         """select p.paper_id, v.overall_status, v.reason, case when v.overall_status = 'VALID' then 'VALIDATED' else p.status end as status
-           from papers_v p join verdicts v on v.paper_id = p.paper_id""",
+           from papers_v p left join verdicts v on v.paper_id = p.paper_id""",
         *CQ.VERDICT_CTES,
     ),
 )

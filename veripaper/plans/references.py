@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions import references as R
 from ..functions import text as X
+from ..functions.scale import cut_lineage
 from ..operators import matching as M
 from ..operators import verdicts as V
 from . import bindings as B
@@ -98,7 +99,9 @@ PARSED = ("parsed", PARSED_SQL)
 
 
 def parsed_refs(spark: SparkSession, folder: str) -> DataFrame:
-    refs = R.parse_references(B.refs_v(spark, folder).select("paper_id", "ord", "raw_text"))
+    # The rules are regular expressions over each text; references of few input files are dealt over all cores.
+    refs = B.refs_v(spark, folder).select("paper_id", "ord", "raw_text").hint("rebalance")
+    refs = R.parse_references(refs)
     return refs.withColumn("year", F.col("year").try_cast("int"))
 
 
@@ -382,10 +385,6 @@ WORDS_SQL = lambda text: f"list_sort(list_distinct(list_filter(string_split({S.n
 UNDATED_SQL = rf"trim(regexp_replace({_quotes_off(_end_off(_plain_sql('title', False)))}, '\s+', ' ', 'g'))"
 
 
-#: The bound of ``set_hits`` below; the operator itself has none.
-SHARE = 0.5
-
-
 def candidates_ctes(k: int) -> list[tuple[str, str]]:
     return [
         PARSED,
@@ -399,7 +398,7 @@ def candidates_ctes(k: int) -> list[tuple[str, str]]:
         (
             "set_hits",
             """select a.words as q, c.words as c, count(*) as overlap from ask_words a join cat_words c on c.word = a.word
-               group by a.words, c.words having count(*) >= ceil(len(a.words) * 0.5)""",
+               group by a.words, c.words""",
         ),
         (
             "set_top",
@@ -415,9 +414,9 @@ def candidates_ctes(k: int) -> list[tuple[str, str]]:
     ]
 
 
-def undated_refs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def undated_refs(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """References without a DOI and their search text."""
-    refs = parsed_refs(spark, folder).where("doi is null")
+    refs = parsed.where("doi is null")
     asked = refs.select("paper_id", "ord", X.clean_query(F.col("title"), F.col("raw_text")).alias("query"))
     return refs, asked
 
@@ -427,8 +426,8 @@ def undated_refs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame
     with_views(["refs_v", "catalogue_v"], "select paper_id, ord, cat_id, overlap, rank from candidates", *candidates_ctes(5)),
 )
 def title_candidates(spark: SparkSession, folder: str) -> DataFrame:
-    _, asked = undated_refs(spark, folder)
-    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5, share=SHARE)
+    _, asked = undated_refs(parsed_refs(spark, folder))
+    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5)
     return found.select(
         "paper_id", "ord", "cat_id", F.col("overlap").cast("bigint").alias("overlap"), F.col("rank").cast("bigint").alias("rank")
     )
@@ -472,9 +471,9 @@ MATCH_CTES = [
     ),
 )
 def best_match(spark: SparkSession, folder: str) -> DataFrame:
-    refs, asked = undated_refs(spark, folder)
-    catalogue = B.catalogue_v(spark, folder)
-    return M.best_match(refs, M.title_candidates(asked, catalogue, KEYS, k=5, share=SHARE), catalogue, KEYS)
+    refs, asked = undated_refs(cut_lineage(parsed_refs(spark, folder)))
+    catalogue = cut_lineage(B.catalogue_v(spark, folder))
+    return M.best_match(refs, M.title_candidates(asked, catalogue, KEYS, k=5), catalogue, KEYS)
 
 
 @query(
@@ -487,8 +486,8 @@ def best_match(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def best_per_ref(spark: SparkSession, folder: str) -> DataFrame:
-    _, asked = undated_refs(spark, folder)
-    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5, share=SHARE)
+    _, asked = undated_refs(parsed_refs(spark, folder))
+    found = M.title_candidates(asked, B.catalogue_v(spark, folder), KEYS, k=5)
     found = found.withColumn("overlap", F.col("overlap").cast("bigint"))
     return M.best_per_ref(found, KEYS, ["cat_id"], score="overlap")
 
@@ -508,9 +507,9 @@ def best_per_ref(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def best_title_match(spark: SparkSession, folder: str) -> DataFrame:
-    refs, asked = undated_refs(spark, folder)
-    catalogue = B.catalogue_v(spark, folder)
-    return M.best_title_match(refs, M.title_candidates(asked, catalogue, KEYS, k=3, share=SHARE), catalogue, KEYS)
+    refs, asked = undated_refs(cut_lineage(parsed_refs(spark, folder)))
+    catalogue = cut_lineage(B.catalogue_v(spark, folder))
+    return M.best_title_match(refs, M.title_candidates(asked, catalogue, KEYS, k=3), catalogue, KEYS)
 
 
 @query(
@@ -555,13 +554,11 @@ VERIFIED_CTES = [
 ]
 
 
-def verified_refs(spark: SparkSession, folder: str) -> DataFrame:
-    """Every reference with its status: by DOI where it has one, else by title."""
-    refs = parsed_refs(spark, folder)
-    catalogue = B.catalogue_v(spark, folder)
-    by_doi = M.verify_by_doi(refs, catalogue).select("paper_id", "ord", "status")
-    undated, asked = undated_refs(spark, folder)
-    matched = M.best_match(undated, M.title_candidates(asked, catalogue, KEYS, k=5, share=SHARE), catalogue, KEYS)
+def verified_refs(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Every reference with its status: by DOI where it has one, else by title. Both tables are read several times."""
+    by_doi = M.verify_by_doi(parsed, catalogue).select("paper_id", "ord", "status")
+    undated, asked = undated_refs(parsed)
+    matched = M.best_match(undated, M.title_candidates(asked, catalogue, KEYS, k=5), catalogue, KEYS)
     by_title = (
         undated.select("paper_id", "ord")
         .join(matched.select("paper_id", "ord", "status"), KEYS, "left")
@@ -575,7 +572,8 @@ def verified_refs(spark: SparkSession, folder: str) -> DataFrame:
     with_views(["refs_v", "catalogue_v"], "select * from ref_summary", *VERIFIED_CTES),
 )
 def reference_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return V.reference_summary(verified_refs(spark, folder))
+    parsed, catalogue = (cut_lineage(t(spark, folder)) for t in (parsed_refs, B.catalogue_v))
+    return V.reference_summary(verified_refs(parsed, catalogue))
 
 
 # --- papers against the catalogue ---------------------------------------------------------------
@@ -607,7 +605,8 @@ CATALOGUE_MATCH_CTES = [
     ),
     (
         "best",
-        """select *, score > 0.5 as is_found from scored
+        """select *, score > 0.5 as is_found,
+             count(*) filter (len(names) > 0 and len(cat_names) = 0) over (partition by paper_id) as n_unnamed from scored
            qualify row_number() over (partition by paper_id order by score desc, rank) = 1""",
     ),
 ]
@@ -621,12 +620,15 @@ MATCH_COLUMNS_SQL = """p.paper_id, case when b.is_found then b.cat_id end as cat
 def matched_papers(spark: SparkSession, folder: str) -> DataFrame:
     names = F.transform(F.array_sort(F.collect_list(F.struct("order", "name"))), lambda s: s["name"])
     authors = B.authors_v(spark, folder).groupBy("paper_id").agg(names.alias("authors"))
-    papers = B.papers_v(spark, folder).join(authors, "paper_id", "left").withColumn(
-        "authors", F.coalesce("authors", F.array().cast("array<string>"))
+    papers = cut_lineage(
+        B.papers_v(spark, folder)
+        .select("paper_id", "title", "year")
+        .join(authors, "paper_id", "left")
+        .withColumn("authors", F.coalesce("authors", F.array().cast("array<string>")))
     )
     asked = papers.select("paper_id", X.clean_title_for_search(F.col("title")).alias("query"))
-    catalogue = B.catalogue_v(spark, folder)
-    found = M.title_candidates(asked, catalogue, ["paper_id"], k=5, share=SHARE)
+    catalogue = cut_lineage(B.catalogue_v(spark, folder))
+    found = M.title_candidates(asked, catalogue, ["paper_id"], k=5)
     return M.catalogue_match(papers, found, catalogue)
 
 
@@ -655,14 +657,24 @@ DIFFERENCES_SQL = S.notes(
 )
 
 
+UNNAMED_SQL = "list_transform(range(coalesce(b.n_unnamed, 0)), lambda i: 'OpenAlex paper has no author information')"
+WARNINGS_SQL = f"""array_to_string(list_concat({UNNAMED_SQL}, list_filter([
+  case when b.paper_id is null then 'No matching papers found in OpenAlex' end,
+  case when b.is_found and len(b.names) > 0 and len(b.cat_names) = 0
+    then 'Could not compare authors - OpenAlex has no author information' end,
+  case when not b.is_found then printf('Best match score (%.2f) is below threshold (0.5)', b.score) end], lambda n: n is not null)), '; ')"""
+
+
 @query(
     "p18_match_notes",
     with_views(
         ["papers_v", "catalogue_v", "authors_v"],
-        f"""select p.paper_id, coalesce({DIFFERENCES_SQL}, '') as differences
+        f"""select p.paper_id, coalesce({DIFFERENCES_SQL}, '') as differences, {WARNINGS_SQL} as match_warnings
         from papers_v p left join best b on b.paper_id = p.paper_id""",
         *CATALOGUE_MATCH_CTES,
     ),
 )
 def match_notes(spark: SparkSession, folder: str) -> DataFrame:
-    return matched_papers(spark, folder).select("paper_id", F.array_join("differences", "; ").alias("differences"))
+    return matched_papers(spark, folder).select(
+        "paper_id", *[F.array_join(c, "; ").alias(c) for c in ("differences", "match_warnings")]
+    )
