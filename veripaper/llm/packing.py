@@ -11,6 +11,7 @@ of each length and looks their places up in the plan.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ WINDOW, GRID, DEPTH = 2048, 16, 3
 END_ID = 1
 #: Words whose ids a Python worker remembers, and pieces that are numbered in one group.
 REMEMBERED, NUMBERED = 600_000, 50_000
-#: Marks that are split off the end of a word of letters.
-PUNCTUATION = ".,;:!?"
+#: Marks that stand behind letters.
+MARKS = string.punctuation
 
 _ENCODERS: dict[str, "WordIds"] = {}
 
@@ -39,8 +40,8 @@ _ENCODERS: dict[str, "WordIds"] = {}
 class WordIds:
     """Ids of white-space separated words; equal to encoding the whole text, as no token spans white space.
 
-    New words are encoded many in one call. A word of letters ends with the only token that ends a word; a
-    mark behind it is a token of its own that ends a word as well, as the vocabulary splits words from marks.
+    New words are encoded many in one call. A word of letters, or of marks, ends with the only token that
+    ends a word; marks behind letters end a word of their own, as the vocabulary splits letters from marks.
     All other words are encoded one by one.
     """
 
@@ -71,7 +72,8 @@ class WordIds:
 
     def _learn(self, new: list[bytes]) -> None:
         words = b" ".join(new).decode().split(" ")
-        kinds = [w.isalpha() or 2 * (w[-1] in PUNCTUATION and w[:-1].isalpha()) for w in words]
+        heads = [w.rstrip(MARKS) for w in words]
+        kinds = [(1 + (h != w)) * h.isalpha() if h else 1 for w, h in zip(words, heads)]
         for kind in (1, 2, 0):
             chosen = [i for i, k in enumerate(kinds) if k == kind]
             if chosen:
@@ -81,15 +83,19 @@ class WordIds:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         split = [text.split() for text in texts]
-        words = set().union(*split)
         if len(self.known) > REMEMBERED:
-            # Words of this batch stay, the frequent ones among them.
-            self.known = {word: self.known[word] for word in words if word in self.known}
+            # Words of these texts stay, the frequent ones among them.
+            self.known = {word: self.known[word] for words in split for word in words if word in self.known}
         known = self.known
-        new = words.difference(known)
+        found = [list(map(known.get, words)) for words in split]
+        missing = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        new = {words[i] for words, places in zip(split, missing) for i in places}
         if new:
             self._learn(list(new))
-        return [b"".join([known[word] for word in words]) for words in split]
+        for row, words, places in zip(found, split, missing):
+            for i in places:
+                row[i] = known[words[i]]
+        return [b"".join(row) for row in found]
 
 
 def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
