@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches
+from .shared import small_batches, with_texts
 
 #: The labelled sample: documents for each language, letters taken from each of them, and from how many places.
 SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_PLACES = 200, 400, 4
@@ -235,16 +235,17 @@ def language_id(
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(sorted(samples.items())))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
+    # Carried rows bring their text along; it goes to the workers once.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(f"`{text_col}`").alias("_text")
     slim = docs.select(
         F.col(id_col).alias("doc_id"),
         F.coalesce(remainder(F.col(id_col)) == 2, F.lit(False)).alias("held_out"),
-        F.col(text_col).alias("_text"),
-        *row,
+        row,
     )
     schema = T.StructType([f for f in slim.schema if f.name != "_text"]).add("lang_pred", "string").add("score", "double")
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = with_texts(batches, text_col, "_text") if carry else batches
         for batch, _, _ in small_batches(batches, "_text"):
             langs, score = identified(batch.column("_text").to_pylist(), shared.value)
             kept = [c for c in batch.schema.names if c != "_text"]

@@ -67,6 +67,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tupl
             row = end
 
 
+def with_texts(batches: Iterator[pa.RecordBatch], text: str, name: str) -> Iterator[pa.RecordBatch]:
+    """Batches of carried rows (a struct ``row``) with the rows' own ``text`` as column ``name``, not copied."""
+    for batch in batches:
+        yield batch.append_column(name, batch.column("row").field(text))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values, so that every output bit depends on every input bit."""
     h = h ^ (h >> U64(33))

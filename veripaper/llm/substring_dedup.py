@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .repeats import Units, covered_units, repeated_windows, spans_by_doc, word_units
-from .shared import small_batches, word_spans
+from .shared import small_batches, with_texts, word_spans
 
 #: Words of a window, and words of the grams among which its anchor is chosen.
 WINDOW, GRAM = 50, 25
@@ -31,13 +31,14 @@ def substring_dedup(
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     units = Units(word_units, window, gram)
     spans = spans_by_doc(repeated_windows(slim.where("doc is not null"), units, own_repeats=False))
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), *row)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if carry else F.col(text_col).alias("text")
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("long").alias("doc"), row)
     joined = whole.join(spans, "doc", "left").drop("doc")
     kept = [f for f in joined.schema if f.name in ("doc_id", "row")]
     schema = T.StructType(list(kept)).add("n_words", "long").add("n_removed", "long").add("kept_text", "string")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = with_texts(batches, text_col, "text") if carry else batches
         for batch, data, starts in small_batches(batches, "text"):
             begin, end, first = word_spans(data, starts)
             raw = data.tobytes()
