@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from veripaper.operators import diagrams as D
 from veripaper.operators import duplicates as U
 from veripaper.operators import matching as M
-from veripaper.operators.diagrams import _bit_bands, _digit_patterns
+from veripaper.operators.diagrams import _digit_patterns, bit_bands
 
 
 def near_hashes(rng, n, digits):
@@ -73,10 +73,12 @@ def test_patterns_are_complete(differing, data):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(1, 51), st.data())
-def test_bands_are_complete(differing, data):
+@given(st.integers(1, 51), st.sampled_from([10, 10**4, 10**8, 10**12]), st.data())
+def test_bands_are_complete(differing, stored, data):
     wrong = data.draw(st.lists(st.integers(0, 255), max_size=differing, unique=True))
-    assert any(sum(a <= w < b for w in wrong) <= 2 for a, b in _bit_bands(64, differing))
+    bands = bit_bands(256, differing, stored)
+    assert any(sum(a <= w < b for w in wrong) <= bands.turned for a, b in bands.bounds)
+    assert bands.bounds[0][0] == 0 and bands.bounds[-1][1] == 256 and max(b - a for a, b in bands.bounds) <= 32
 
 
 def grams(text):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -107,24 +109,33 @@ def _signatures(hashes: DataFrame, length: int, differing: int) -> DataFrame:
     )
     digits = F.transform("pattern.kept", lambda at: F.substring("hash", at, F.lit(1)))
     return hashes.withColumn("pattern", F.explode(patterns)).select(
-        "hash", "words", F.concat_ws("", F.col("pattern.n"), F.lit(":"), digits).alias("signature")
+        "hash", "words", F.col("pattern.n").alias("nth"), F.array_join(digits, "").alias("signature")
     )
 
 
+def _first_pattern(patterns: list[tuple[int, ...]], digits: int) -> Column:
+    """The first pattern on whose digits ``hash`` and ``other`` agree."""
+    same = F.transform(F.sequence(F.lit(1), F.lit(digits)), lambda i: F.substring("hash", i, F.lit(1)) == F.substring("other", i, F.lit(1)))
+    kept = F.array(*[F.array(*[F.lit(at) for at in pattern]) for pattern in patterns])
+    return let(same, lambda same: F.array_position(F.transform(kept, lambda pattern: F.forall(pattern, lambda at: F.get(same, at))), True) - 1)
+
+
 def near_hash_pairs(left: DataFrame, right: DataFrame, length: int, differing: int) -> DataFrame:
     """Pairs of distinct hashes ``(hash, other, distance)`` with at most ``differing`` unequal digits.
 
     Exact: every such pair shares a signature (pigeonhole). The distance is a condition of the
-    join itself, so that only true pairs leave it; a frequent signature is split by the adaptive
-    skew join.
+    join itself, so that only true pairs leave it, and a pair stays where it meets first; a frequent
+    signature is split by the adaptive skew join.
     """
     l = _signatures(_with_words(left, length), length, differing).alias("l")
     r = _signatures(_with_words(right, length), length, differing).alias("r")
     distance = _unequal_digits(length)
+    met = (F.col("l.nth") == F.col("r.nth")) & (F.col("l.signature") == F.col("r.signature"))
     return (
-        l.join(r, (F.col("l.signature") == F.col("r.signature")) & (distance <= differing))
-        .select(F.col("l.hash").alias("hash"), F.col("r.hash").alias("other"), distance.alias("distance"))
-        .distinct()
+        l.join(r, met & (distance <= differing))
+        .select(F.col("l.hash").alias("hash"), F.col("r.hash").alias("other"), distance.alias("distance"), F.col("l.nth").alias("nth"))
+        .where(F.col("nth") == _first_pattern(_digit_patterns(length, differing), length))
+        .drop("nth")
     )
 
 
@@ -179,58 +190,90 @@ def _two_first(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return ranked.where(F.col("_r") <= 2).drop("_r")
 
 
-def _bit_bands(digits: int, differing_bits: int) -> list[tuple[int, int]]:
-    """Bands of which one differs in at most two bits when at most ``differing_bits`` do."""
-    bits = digits * 4
-    bands = differing_bits // 3 + 1
-    bounds = [bits * i // bands for i in range(bands + 1)]
-    return list(zip(bounds, bounds[1:]))
+#: Signatures that a query hash may be looked up by.
+MOST_PROBES = 20_000
 
 
-def _bit_signatures(hashes: DataFrame, digits: int, differing_bits: int) -> DataFrame:
-    """Every band as it is and with each of its bits turned, as text of 0 and 1."""
-    binary = F.concat(
-        *[F.lpad(F.conv(F.substring("hash", at + 1, 8), 16, 2), 32, "0") for at in range(0, digits, 8)]
-    )
-    changes = F.array(
-        *[
-            F.struct(F.lit(n).alias("band"), F.lit(a + 1).alias("first"), F.lit(b - a).alias("width"), F.lit(at).alias("at"))
-            for n, (a, b) in enumerate(_bit_bands(digits, differing_bits))
-            for at in range(b - a + 1)
-        ]
-    )
-    rows = hashes.withColumn("bits", binary).withColumn("change", F.explode(changes))
-    band = F.substring("bits", F.col("change.first"), F.col("change.width"))
-    at = F.col("change.at")
-    turned = F.concat(
-        F.substring(band, F.lit(1), at - 1),
-        F.translate(F.substring(band, at, F.lit(1)), "01", "10"),
-        F.substring(band, at + 1, F.col("change.width")),
-    )
-    signature = F.concat(F.col("change.band").cast("string"), F.lit(":"), F.when(at == 0, band).otherwise(turned))
-    return rows.select("hash", "words", signature.alias("signature"))
+@dataclass(frozen=True)
+class Bands:
+    """``bounds`` of the bit bands, of which one has at most ``turned`` unequal bits in every near pair."""
+
+    bounds: list[tuple[int, int]]
+    turned: int
+
+    @property
+    def probes(self) -> int:
+        return sum(comb(b - a, i) for a, b in self.bounds for i in range(self.turned + 1))
+
+    def met(self, stored: int) -> float:
+        """Of ``stored`` random hashes, how many a query meets in a band."""
+        return stored * sum(comb(b - a, i) / 2 ** (b - a) for a, b in self.bounds for i in range(self.turned + 1))
+
+
+def bit_bands(bits: int, differing: int, stored: int) -> Bands:
+    """Bands for a store of ``stored`` hashes: few broad bands with several turned bits meet fewer hashes, many
+    narrow ones need fewer signatures of a query. The sum of both is smallest."""
+    found = []
+    for n in range(-(-bits // 32), differing + 2):
+        cuts = [bits * i // n for i in range(n + 1)]
+        bands = Bands(list(zip(cuts, cuts[1:])), differing // n)
+        if bands.probes <= MOST_PROBES:
+            found.append(bands)
+    return min(found, key=lambda bands: bands.probes + bands.met(stored))
+
+
+def _band(words: Column, first: int, last: int) -> Column:
+    """Bits ``first`` to ``last`` (behind it) of 32-bit words as a number."""
+    at, width = first // 32, last - first
+    pair = F.shiftleft(F.get(words, F.lit(at)), 32).bitwiseOR(F.coalesce(F.get(words, F.lit(at + 1)), F.lit(0)))
+    return F.shiftrightunsigned(pair, 64 - first % 32 - width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _plain_bands(hashes: DataFrame, bands: Bands) -> DataFrame:
+    values = [
+        F.struct(F.lit(n).alias("nth"), F.lit(b - a).alias("width"), _band(F.col("words"), a, b).alias("value"))
+        for n, (a, b) in enumerate(bands.bounds)
+    ]
+    return hashes.select("hash", "words", F.inline(F.array(*values)))
+
+
+def _turned_bands(hashes: DataFrame, bands: Bands) -> DataFrame:
+    """Every band as it is and with each choice of up to ``turned`` bits turned."""
+    masks = {
+        width: [sum(1 << at for at in chosen) for i in range(bands.turned + 1) for chosen in combinations(range(width), i)]
+        for width in {b - a for a, b in bands.bounds}
+    }
+    of_width = F.create_map(*[x for width, some in masks.items() for x in (F.lit(width), F.lit(some).cast("array<long>"))])
+    turned = F.explode(F.element_at(of_width, F.col("width"))).alias("mask")
+    rows = _plain_bands(hashes, bands).select("hash", "words", "nth", "value", turned)
+    return rows.select("hash", "words", "nth", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
 
 
 def similar_hash_pairs(left: DataFrame, right: DataFrame, minimum: float, digits: int) -> DataFrame:
     """Pairs of distinct hashes ``(hash, other, similarity)`` with bit likeness of at least ``minimum``.
 
-    Exact multi-index join: with d differing bits in d // 3 + 1 bands one band differs in at most
-    two bits, which one turned bit on either side makes equal.
+    Exact one-sided multi-index join: ``right``, the store, has one row for each band of a hash, ``left``
+    is looked up with bits of its bands turned. A pair stays at the first band in which it meets.
     """
     bits = digits * 4
     differing = max(d for d in range(bits + 1) if 1 - d / bits >= minimum)
-    l = _bit_signatures(_with_words(left, digits), digits, differing).alias("l")
-    r = _bit_signatures(_with_words(right, digits), digits, differing).alias("r")
+    stored = _with_words(right, digits)
+    bands = bit_bands(bits, differing, stored.count())
+    l = _turned_bands(_with_words(left, digits), bands).alias("l")
+    r = _plain_bands(stored, bands).drop("width").alias("r")
     distance = _unequal_bits(digits)
-    return (
-        l.join(r, (F.col("l.signature") == F.col("r.signature")) & (distance <= differing))
-        .select(
-            F.col("l.hash").alias("hash"),
-            F.col("r.hash").alias("other"),
-            (1 - distance / F.lit(float(bits))).alias("similarity"),
-        )
-        .distinct()
+    met = (F.col("l.nth") == F.col("r.nth")) & (F.col("l.value") == F.col("r.value"))
+    near = l.join(r, met & (distance <= differing)).select(
+        F.col("l.hash").alias("hash"),
+        F.col("r.hash").alias("other"),
+        F.col("l.nth").alias("nth"),
+        distance.alias("distance"),
+        F.zip_with("l.words", "r.words", lambda a, b: a.bitwiseXOR(b)).alias("unequal"),
+    )
+    first = F.coalesce(
+        *[F.when(F.bit_count(_band(F.col("unequal"), a, b)) <= bands.turned, F.lit(n)) for n, (a, b) in enumerate(bands.bounds)]
     )
+    return near.where(F.col("nth") == first).select("hash", "other", (1 - F.col("distance") / F.lit(float(bits))).alias("similarity"))
 
 
 def find_similar_hashes(

@@ -88,47 +88,71 @@ def suspicious_diagrams(spark: SparkSession, folder: str) -> DataFrame:
     with_views(
         ["diagrams_v"],
         f"""select distinct a.hash, b.hash as other, {HEX} as distance from diagrams_v a join diagrams_v b on a.hash < b.hash
-        where {HEX} <= 8""",
+        where {HEX} <= 5""",
     ),
 )
 def hashes_within(spark: SparkSession, folder: str) -> DataFrame:
-    near = D.hashes_within(B.diagrams_v(spark, folder), differing=8)
+    near = D.hashes_within(B.diagrams_v(spark, folder))
     return near.withColumn("distance", F.col("distance").cast("bigint"))
 
 
-BITS_SQL = "bit_count(xor(('0x' || a.hash)::ubigint, ('0x' || b.hash)::ubigint))"
+def _bits_sql(digits: int) -> str:
+    words = [f"bit_count(xor(('0x' || a.hash[{i + 1}:{i + 16}])::ubigint, ('0x' || b.hash[{i + 1}:{i + 16}])::ubigint))::int" for i in range(0, digits, 16)]
+    return f"({' + '.join(words)})"
+
+
+def _flags_sql(larger: str) -> str:
+    """Hex digits of 64 flags; ``larger`` is the flag of place ``i``, counted from 1, in the list ``v``."""
+    return f"""list_aggregate(list_transform(range(0, 16), lambda q: lower(format('{{:x}}', list_sum(list_transform([1, 2, 3, 4],
+      lambda b: case when {larger.replace('@', '(q * 4 + b)')} then (16 >> b) else 0 end))::bigint))), 'string_agg', '')"""
+
+
+#: 256 bits of a vector: larger than the median, than the value before, and both for absolute values.
+WIDE_SQL = f"""select vec_id, {_flags_sql('v[@] > m')} || {_flags_sql('v[@ % 64 + 1] > v[@]')} || {_flags_sql('w[@] > n')}
+    || {_flags_sql('w[@ % 64 + 1] > w[@]')} as hash
+  from (select vec_id, v, w, list_median(v) as m, list_median(w) as n from (
+    select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v,
+      list_transform(embedding, lambda x: abs(cast(x as double))) as w from embeddings))"""
+LIKENESS_SQL = f"1 - {_bits_sql(64)} / 256.0::double"
 STORE = [
-    ("store", "select concat('d/', cast(diagram_id as varchar)) as file_path, hash from diagrams_v"),
+    ("wide", WIDE_SQL),
+    ("store", "select concat('d/', cast(vec_id as varchar)) as file_path, hash from wide"),
     (
         "matches",
-        f"""select a.file_path as query_path, b.file_path, 1 - {BITS_SQL} / 64.0::double as similarity from store a
-            join store b on a.file_path <> b.file_path where 1 - {BITS_SQL} / 64.0::double >= 0.75""",
+        f"""select a.file_path as query_path, b.file_path, {LIKENESS_SQL} as similarity from store a
+            join store b on a.file_path <> b.file_path where {LIKENESS_SQL} >= 0.8""",
     ),
 ]
 
 
 def hash_store(spark: SparkSession, folder: str) -> DataFrame:
-    return B.diagrams_v(spark, folder).selectExpr("concat('d/', diagram_id) as file_path", "hash")
+    """Hashes of 256 bits, see ``WIDE_SQL``."""
+    values = F.col("embedding").cast("array<double>")
+    parts = []
+    for v in (values, F.transform(values, F.abs)):
+        parts += [H.phash(v), H.dhash(F.array(F.concat(v, F.slice(v, 1, 1))))]
+    vectors = B.table(spark, folder, "embeddings")
+    return vectors.select(F.concat(F.lit("d/"), F.col("vec_id").cast("string")).alias("file_path"), F.concat(*parts).alias("hash"))
 
 
 @query(
     "j17_find_similar_hashes",
     with_views(
-        ["diagrams_v"],
-        f"""select a.hash, b.hash as other, 1 - {BITS_SQL} / 64.0::double as similarity, b.n_files from (select distinct hash from store) a
-        join (select hash, count(*) as n_files from store group by hash) b on 1 - {BITS_SQL} / 64.0::double >= 0.75""",
-        STORE[0],
+        [],
+        f"""select a.hash, b.hash as other, {LIKENESS_SQL} as similarity, b.n_files from (select distinct hash from store) a
+        join (select hash, count(*) as n_files from store group by hash) b on {LIKENESS_SQL} >= 0.8""",
+        *STORE[:2],
     ),
 )
 def find_similar_hashes(spark: SparkSession, folder: str) -> DataFrame:
     store = hash_store(spark, folder)
-    return D.find_similar_hashes(store, store, minimum=0.75, digits=16)
+    return D.find_similar_hashes(store, store)
 
 
 @query(
     "a12_hash_match_summary",
     with_views(
-        ["diagrams_v"],
+        [],
         """select query_path, count(*) as n_matches, max(similarity) as highest,
              array_to_string(list(file_path order by similarity desc, file_path)[:5], ',') as top_paths
            from matches group by query_path""",
@@ -137,7 +161,7 @@ def find_similar_hashes(spark: SparkSession, folder: str) -> DataFrame:
 )
 def hash_match_summary(spark: SparkSession, folder: str) -> DataFrame:
     store = hash_store(spark, folder)
-    found = D.hash_match_summary(store, store, minimum=0.75, digits=16)
+    found = D.hash_match_summary(store, store)
     return found.withColumn("top_paths", F.array_join("top_paths", ","))
 
 
