@@ -214,7 +214,8 @@ def bit_bands(bits: int, differing: int, stored: int) -> Bands:
     """Bands for a store of ``stored`` hashes: few broad bands with several turned bits meet fewer hashes, many
     narrow ones need fewer signatures of a query. The sum of both is smallest."""
     found = []
-    for n in range(-(-bits // 32), differing + 2):
+    fewest = -(-bits // 32)
+    for n in range(fewest, max(fewest, differing + 1) + 1):
         cuts = [bits * i // n for i in range(n + 1)]
         bands = Bands(list(zip(cuts, cuts[1:])), differing // n)
         if bands.probes <= MOST_PROBES:
