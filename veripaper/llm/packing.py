@@ -127,6 +127,8 @@ def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             if with_ids:
                 columns.append(pa.array([np.frombuffer(x[4], "<u4").astype(np.int64) for x in out], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+        # The worker goes on to other tasks; most words are rare and would only take its memory.
+        encode.known.clear()
 
     return slim.mapInArrow(work, schema)
 
