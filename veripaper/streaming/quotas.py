@@ -3,85 +3,168 @@
 A window opens at its key's first request after the last window ended (strictly after its reset
 time), so that windows depend on each other in time. The batch form cuts time into blocks: a block
 is worked on as a function from the reset time that reaches it to the reset time that leaves it,
-these short functions are chained per key, and then every block places its windows. No task holds
-the requests of more than one block of one key; the chain holds the functions of all its blocks.
+these short functions pass by in order per key, one number being kept, and then every block places its
+windows. Numpy works on all blocks of a batch at once. No task holds the requests of a key beyond a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.scale import Columns, map_groups
-
 LIMIT = 10
 WINDOW_SECONDS = 3600
 _MICROS = 1_000_000
 _NEVER = -(2**62)
 
 
-def _exits(times: np.ndarray, entries: np.ndarray, window: int) -> np.ndarray:
-    """Reset time after the last window of the block, for windows first opened at ``entries``."""
-    following = np.searchsorted(times, times + window, side="right")
-    at = entries.copy()
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of rows sorted by ``client_key, block`` as tables that never cut a group; empty ones are left out."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        last = int(_group_starts(batch)[-1])
+        if held and (last or not _same_group(held[-1], batch)):
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _same_group(a: pa.RecordBatch, b: pa.RecordBatch) -> bool:
+    return all(a.column(c)[len(a) - 1] == b.column(c)[0] for c in ("client_key", "block"))
+
+
+def _group_starts(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    keys = rows.column("client_key")
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    codes = keys.dictionary_encode("encode").indices.to_numpy()
+    blocks = rows.column("block").to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1]))))
+
+
+class _Groups:
+    """Times of many (client, block) groups at once, on one axis on which groups lie far apart."""
+
+    def __init__(self, rows: pa.Table, block_micros: int, window: int):
+        self.starts = _group_starts(rows)
+        self.sizes = np.diff([*self.starts, rows.num_rows])
+        self.group = np.repeat(np.arange(len(self.starts)), self.sizes)
+        self.times, blocks = rows.column("micros").to_numpy(), rows.column("block").to_numpy()[self.starts]
+        self.begin = blocks * block_micros
+        self.far, self.window = block_micros + 4 * window, window
+        self.axis = self._on_axis(self.times, self.group)
+
+    def _on_axis(self, times: np.ndarray, group: np.ndarray) -> np.ndarray:
+        # Times before the block are all alike to it, and so are those behind its reach.
+        inside = np.clip(times - self.begin[group], -1, self.far - self.window)
+        return group * self.far + inside + 1
+
+    def after(self, times: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Place of the group's first time behind each of ``times``; the group's end where there is none."""
+        return np.clip(
+            np.searchsorted(self.axis, self._on_axis(times, group), side="right"),
+            self.starts[group],
+            self.starts[group] + self.sizes[group],
+        )
+
+
+def _block_pieces(rows: pa.Table, block_micros: int, window: int) -> dict[str, np.ndarray]:
+    """Each block as a function: from ``low`` on, the reset time that reaches it becomes ``leaves`` (never: stays)."""
+    g = _Groups(rows, block_micros, window)
+    # A window opened before the block resets before ``begin + window``: only these can open the block.
+    early = g.times < g.begin[g.group] + window
+    n_groups = len(g.starts)
+    group = np.concatenate((np.arange(n_groups), g.group[early]))
+    low = np.concatenate((np.full(n_groups, _NEVER), g.times[early]))
+    order = np.lexsort((low, group))
+    group, low = group[order], low[order]
+    end = g.starts[group] + g.sizes[group]
+    at = g.after(np.maximum(low, g.begin[group] - 1), group)
+    leaves = np.full(len(low), _NEVER)
+    open_ = np.flatnonzero(at < end)
+    while len(open_):
+        reset = g.times[at[open_]] + window
+        leaves[open_] = reset
+        at[open_] = g.after(reset, group[open_])
+        open_ = open_[at[open_] < end[open_]]
+    changed = np.concatenate(([True], (leaves[1:] != leaves[:-1]) | (group[1:] != group[:-1])))
+    return {"row": g.starts[group[changed]], "low": low[changed], "leaves": leaves[changed]}
+
+
+def _window_starts(rows: pa.Table, block_micros: int, window: int) -> dict[str, np.ndarray]:
+    """Starts of the windows that a block's requests fall into, one row for each."""
+    g = _Groups(rows, block_micros, window)
+    group = np.arange(len(g.starts))
+    reached = rows.column("reached").to_numpy()[g.starts]
+    carried = reached != _NEVER
+    found, places = [reached[carried] - window], [group[carried]]
+    at = g.after(np.maximum(reached, g.begin - 1), group)
     while True:
-        onward = following[at]
-        inside = onward < len(times)
-        if not inside.any():
-            return times[at] + window
-        at = np.where(inside, np.minimum(onward, len(times) - 1), at)
-
-
-def _block_function(block_micros: int, window: int):
-    def summarize(rows: Columns) -> dict[str, list]:
-        times = rows["micros"]
-        block = int(times[0] // block_micros)
-        reach = block * block_micros + window
-        # A window opened before the block resets before ``reach``: only these can open the block.
-        before = np.concatenate(([_NEVER], times))
-        lows = before[before < reach]
-        opens = lows < times[-1]
-        entries = np.arange(len(lows))[opens]
-        exits = np.full(len(lows), _NEVER)
-        exits[opens] = _exits(times, entries, window)
-        changed = np.concatenate(([True], exits[1:] != exits[:-1]))
-        return {"low": lows[changed].tolist(), "leaves": exits[changed].tolist()}
-
-    return summarize
-
-
-def _chain(pieces: Columns) -> dict[str, list]:
-    """Reset time that reaches each block of a key."""
-    block, low, leaves = pieces["block"], pieces["low"], pieces["leaves"]
-    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-    reached = []
-    reset = _NEVER
-    for begin, end in zip(starts, [*starts[1:], len(block)]):
-        reached.append(reset)
-        exit_ = int(leaves[begin + np.searchsorted(low[begin:end], reset, side="right") - 1])
-        reset = reset if exit_ == _NEVER else exit_
-    return {"block": block[starts].tolist(), "reached": reached}
-
-
-def _window_starts(window: int):
-    def place(rows: Columns) -> dict[str, list]:
-        times = rows["micros"]
-        reached = int(rows["reached"][0])
-        starts = [] if reached == _NEVER else [reached - window]
-        at = int(np.searchsorted(times, reached, side="right"))
-        while at < len(times):
-            starts.append(int(times[at]))
-            at = int(np.searchsorted(times, times[at] + window, side="right"))
-        return {"starts": [starts]}
+        group = group[at[group] < g.starts[group] + g.sizes[group]]
+        if len(group) == 0:
+            break
+        opened = g.times[at[group]]
+        found.append(opened)
+        places.append(group)
+        at[group] = g.after(opened + window, group)
+    return {"row": g.starts[np.concatenate(places)], "start": np.concatenate(found)}
+
+
+def _per_block(df: DataFrame, work: Callable[[pa.Table, int, int], dict[str, np.ndarray]], columns: list[str], *args: int) -> DataFrame:
+    """``work`` on many blocks at a time; its ``row`` says whose keys a result has."""
+    kind = dict(df.dtypes)["client_key"]
+    by_block = ["client_key", "block"]
+    schema = f"client_key {kind}, block bigint, " + ", ".join(f"{c} bigint" for c in columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole_groups(batches):
+            out = work(rows, *args)
+            keys = rows.select(by_block).take(pa.array(out["row"]))
+            table = pa.table([*keys.columns, *[pa.array(out[c], pa.int64()) for c in columns]], names=[*by_block, *columns])
+            yield from table.combine_chunks().to_batches()
+
+    return df.repartition(*by_block).sortWithinPartitions(*by_block, "micros").mapInArrow(run, schema)
 
-    return place
+
+def _chained(pieces: DataFrame) -> DataFrame:
+    """``client_key, block, reached``: the reset time that reaches each block; a client's functions pass by in order, none is kept."""
+    kind = dict(pieces.dtypes)["client_key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        client = block = nothing = object()
+        reset = leaves = reached = _NEVER
+        for batch in batches:
+            rows, out = [], []
+            codes = batch.column("client_key").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in ("block", "low", "leaves")]
+            for row, (key, at, low, to) in enumerate(zip(codes, *columns)):
+                if key != client or at != block or client is nothing:
+                    # The block before is over; what leaves it reaches this one.
+                    reset = _NEVER if key != client or client is nothing else reset if leaves == _NEVER else leaves
+                    client, block, reached, leaves = key, at, reset, _NEVER
+                    rows.append(row)
+                    out.append(reached)
+                if low <= reached:
+                    leaves = to
+            if rows:
+                keys = [batch.column(c).take(pa.array(rows)) for c in ("client_key", "block")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(out, pa.int64())], names=["client_key", "block", "reached"])
+
+    ordered = pieces.repartition("client_key").sortWithinPartitions("client_key", "block", "low")
+    return ordered.mapInArrow(run, f"client_key {kind}, block bigint, reached bigint")
 
 
 def quota_labels(
@@ -89,28 +172,20 @@ def quota_labels(
 ) -> DataFrame:
     """Requests with ``allowed``, ``remaining`` and ``reset_at``.
 
-    Reads ``req_id, client_key, ts``; requests at the same time count in order of ``req_id``.
+    Reads ``req_id, client_key, ts``; requests at the same time count in order of ``req_id``. A block has at most
+    ``block_windows + 1`` windows, so the list of its starts is short.
     """
     window = window_seconds * _MICROS
     block_micros = window * block_windows
-    kind = dict(requests.dtypes)["client_key"]
     timed = requests.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
         "block", F.floor(F.col("micros") / F.lit(block_micros)).cast("bigint")
     )
     moments = timed.select("client_key", "block", "micros").distinct()
-    by_block = ["client_key", "block"]
-    pieces = map_groups(
-        moments, by_block, ["micros"], _block_function(block_micros, window),
-        f"client_key {kind}, block bigint, low bigint, leaves bigint",
-    )
-    reached = map_groups(
-        pieces, ["client_key"], ["block", "low"], _chain, f"client_key {kind}, block bigint, reached bigint"
-    )
+    reached = _chained(_per_block(moments, _block_pieces, ["low", "leaves"], block_micros, window))
     same_block = moments["client_key"].eqNullSafe(reached["client_key"]) & (moments["block"] == reached["block"])
-    starts = map_groups(
-        moments.join(reached, same_block).select(moments["*"], "reached"), by_block, ["micros"], _window_starts(window),
-        f"client_key {kind}, block bigint, starts array<bigint>",
-    )
+    reached_moments = moments.join(reached, same_block).select(moments["*"], "reached")
+    starts = _per_block(reached_moments, _window_starts, ["start"], block_micros, window)
+    starts = starts.groupBy("client_key", "block").agg(F.array_sort(F.collect_list("start")).alias("starts"))
     start = F.element_at(F.filter("starts", lambda s: s <= F.col("micros")), -1)
     same_block = timed["client_key"].eqNullSafe(starts["client_key"]) & (timed["block"] == starts["block"])
     placed = timed.join(starts, same_block).select(timed["*"], start.alias("start"))
