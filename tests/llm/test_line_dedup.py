@@ -63,12 +63,19 @@ def test_lines(spark):
         lines = [edited(rng, rng.choice(base), rng.randrange(0, 5)).decode() for _ in range(rng.randrange(0, 7))]
         lines += rng.choice([[], [""], ["  \t"], [" é" * 15], ["é" * 15 + "x"]])
         texts[doc] = "\n".join(lines)
-    texts |= {40: None, 41: "", 42: "\n\n", 43: "y" * 50000, 44: "y" * 50001, 45: texts[1]}
+    texts |= {40: None, 41: "", 42: "\n\n", 43: "y" * 500, 44: "y" * 501, 45: texts[1]}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("*", "1 as doc", "2 as gone").repartition(3)
     found = {r["doc_id"]: (r["n_lines"], r["n_copies"], r["n_removed"], r["n_links"], r["kept_text"]) for r in L.line_dedup(docs).collect()}
     assert found == by_hand(texts, L.EDITS, L.SHORTEST)
 
 
+def test_long_lines(spark):
+    texts = {1: "y" * 50000, 2: "y" * 50001, 3: "y" * 50003 + "\nz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["n_links"], r["kept_text"]) for r in L.line_dedup(docs).collect()}
+    assert found == {1: (1, 0, 1, texts[1]), 2: (1, 1, 2, ""), 3: (2, 1, 1, "z")}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, "one line\nx"), (1, "one line\nx"), (None, "one line"), (2, "one line"), (None, None)], "doc_id long, text string")
     found = sorted((r["doc_id"] or -1, r["n_lines"], r["n_removed"], r["kept_text"]) for r in L.line_dedup(docs).collect())
