@@ -5,6 +5,8 @@ import json
 import pytest
 
 from veripaper.operators.alerts import build_alert_payloads
+from pyspark.sql import functions as F
+
 from veripaper.sources import catalogues as C
 
 
@@ -76,11 +78,23 @@ def test_reports(spark, tmp_path):
     body = {"jobId": "j", "pdfPath": "p", "totalDiagrams": 2, "summary": {"total": 2, "riskLevel": "low"}}
     rows = C.read_report(values(spark, {"result": body}, {"plagiarismReport": body}, body)).collect()
     assert [(r.jobId, r.summary.riskLevel) for r in rows] == [("j", "low")] * 3
-    scored = spark.createDataFrame([("j", 1, "original")], "job_id string, image_id long, decision string")
-    summary = spark.createDataFrame([("j", 1)], "job_id string, total long")
-    C.write_report(scored, summary, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "diagrams")).collect()[0].decision == "original"
-    assert spark.read.json(str(tmp_path / "out" / "summary")).collect()[0].total == 1
+    scored = spark.range(2500).selectExpr(
+        "if(id < 2400, 'big', concat('j', id)) as job_id", "id as image_id", "concat('d', id) as diagram", "id / 7 as best_match_pct",
+        "'original' as decision", "id / 3 as confidence", "array('a', concat('b', id)) as indicators",
+    )
+    totals = scored.groupBy("job_id").agg(F.count(F.lit(1)).alias("total")).selectExpr(
+        "*", "total as original", "0L as partially_plagiarized", "0L as heavily_plagiarized", "0.5D as average_confidence", "'low' as risk_level"
+    )
+    out = str(tmp_path / "out")
+    C.write_report(scored, totals, out, buckets=4)
+    reports = C.read_report(spark.read.text(out).select("value")).collect()
+    big = [r for r in reports if r.jobId == "big"]
+    assert len(big) == 3 and all(r.parts == 3 and r.totalDiagrams == 2400 and len(r.diagrams) < 1500 for r in big)
+    back = C.report_diagrams(C.read_report(spark.read.text(out).select("value")))
+    columns = ["job_id", "diagram", "confidence", "indicators"]
+    assert sorted(back.select(*columns).collect()) == sorted(scored.select(*columns).collect())
+    folders = {r.jobId: {f.parent for f in (tmp_path / "out").glob("bucket=*/*.json") if f'"{r.jobId}"' in f.read_text()} for r in big}
+    assert len(folders["big"]) == 1
 
 
 def test_intake_files(spark, tmp_path):

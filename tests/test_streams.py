@@ -76,17 +76,23 @@ def test_job_status_stream(spark, tmp_path):
 
 
 def test_daily_counts_stream(spark, tmp_path):
-    rows = [(datetime(2024, 1, d, 5), k) for d in (1, 2, 3) for k in ("created", "PAPER_VALIDATED", "created")]
-    df = spark.createDataFrame(rows, "created_at timestamp_ntz, kind string")
-    batch = {tuple(r) for r in L.daily_counts(df).collect()}
-    assert len(batch) == 3
-    df.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = L.daily_counts(
-        L.read_folder(spark, str(tmp_path / "in"), df.schema).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    )
-    done = stream.writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
+    days = [datetime(2024, 1, d, 5) for d in (1, 2, 3)]
+    papers = [(t, t if i else None, t + timedelta(days=1), s) for t in days for i, s in enumerate(("VALIDATED", "VALIDATED", "REJECTED"))]
+    tables = {
+        "papers": (papers, "created_at timestamp_ntz, validated_at timestamp_ntz, updated_at timestamp_ntz, status string"),
+        "refs": ([(days[0], "INVALID"), (days[0], "VALID")], "updated_at timestamp_ntz, status string"),
+        "diagrams": ([(days[2], True), (days[2], False)], "updated_at timestamp_ntz, is_suspicious boolean"),
+    }
+    frames = {name: spark.createDataFrame(*table) for name, table in tables.items()}
+    batch = {(r.day.day, *tuple(r)[1:]) for r in L.daily_counts(L.daily_events(*frames.values())).collect()}
+    assert batch == {(1, 3, 1, 0, 1, 0), (2, 3, 1, 1, 0, 0), (3, 3, 1, 1, 0, 1), (4, 0, 0, 1, 0, 0)}
+    for name, df in frames.items():
+        df.repartition(1).write.parquet(str(tmp_path / name))
+    streams = [L.read_folder(spark, str(tmp_path / name), df.schema) for name, df in frames.items()]
+    counts = L.daily_counts(L.daily_events(*streams))
+    done = counts.writeStream.format("memory").queryName("days").outputMode("complete").trigger(availableNow=True).start()
     done.awaitTermination()
-    assert {tuple(r) for r in spark.table("days").collect()} == batch
+    assert {(r.day.day, *tuple(r)[1:]) for r in spark.table("days").collect()} == batch
 
 
 def test_fanout_and_ingest(spark, tmp_path):

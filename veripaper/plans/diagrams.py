@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashes as H
+from ..functions.scale import cut_lineage, shared_folder
 from ..operators import diagrams as D
 from ..operators import verdicts as V
+from ..sources import catalogues as C
 from . import bindings as B
 from . import sql_text as S
 from .oracle_views import with_views
@@ -356,3 +360,36 @@ def web_suspicion(spark: SparkSession, folder: str) -> DataFrame:
     matches = B.table(spark, folder, "pages").selectExpr("page_id % 37 as diagram_id", "url")
     found = V.web_suspicion(matches, local)
     return found.withColumn("n_matches", F.col("n_matches").cast("bigint"))
+
+
+@query(
+    "s12_report_round_trip",
+    with_views(
+        ["evidence_v"],
+        """select s.job_id::varchar as job_id, s.image_id, concat('d/', s.job_id, '_', s.image_id, '.png') as diagram, best_match_pct as score,
+             s.decision, s.confidence, s.indicators, t.total, t.heavy, case when heavy > 0 or partial > total * 0.5 then 'high'
+             when partial > 0 then 'medium' else 'low' end as risk_level
+           from scored s join (select job_id, count(*) as total, count(*) filter (decision = 'partially plagiarized') as partial,
+               count(*) filter (decision = 'heavily plagiarized') as heavy from scored group by job_id) t using (job_id)""",
+        SCORED_SQL,
+    ),
+)
+def report_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """The reports of all jobs written as nested JSON and read back, one row for each diagram."""
+    scored = cut_lineage(V.score_diagram(B.evidence_v(spark, folder)))
+    scored = scored.withColumn("diagram", F.concat(F.lit("d/"), "job_id", F.lit("_"), "image_id", F.lit(".png")))
+    path = f"{shared_folder(spark)}/reports-{uuid.uuid4().hex}"
+    C.write_report(scored, V.plagiarism_summary(scored), path)
+    found = C.report_diagrams(C.read_report(spark.read.text(path).select("value")))
+    return found.select(
+        "job_id",
+        F.col("index").alias("image_id"),
+        "diagram",
+        F.col("localSimilarity.bestMatch.score").alias("score"),
+        "decision",
+        "confidence",
+        F.array_join("indicators", "; ").alias("indicators"),
+        F.col("totalDiagrams").cast("bigint").alias("total"),
+        F.col("summary.heavilyPlagiarized").cast("bigint").alias("heavy"),
+        F.col("summary.riskLevel").alias("risk_level"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -174,12 +175,31 @@ def purge_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return J.purge_jobs(J.job_status(B.job_events_v(spark, folder)), datetime(2024, 1, 30)).select("job_id", "state")
 
 
-DAILY_SQL = with_views(
-    ["alerts_v"],
-    """select date_trunc('day', created_at)::timestamp as day, 0::bigint as created, count(*) filter (type = 'PAPER_VALIDATED') as validated,
-         count(*) filter (type = 'PAPER_REJECTED') as rejected, count(*) filter (type = 'INVALID_REFERENCE') as invalid_refs,
-         count(*) filter (type = 'SUSPICIOUS_DIAGRAM') as suspicious_diagrams from alerts_v group by 1""",
-)
+DAILY_SQL = """
+    with e as (
+        select o_orderdate as moment, 'created' as kind from orders
+        union all select o_orderdate + (o_orderkey % 50) * interval '1 hour', 'validated' from orders where o_orderstatus = 'F'
+        union all select o_orderdate + interval '30 hours', 'rejected' from orders where o_orderstatus = 'O'
+        union all select l_shipdate, 'invalid_refs' from lineitem where l_returnflag = 'R'
+        union all select ts, 'suspicious_diagrams' from events where event_type = 'purchase')
+    select date_trunc('day', moment)::timestamp as day, count(*) filter (kind = 'created') as created,
+           count(*) filter (kind = 'validated') as validated, count(*) filter (kind = 'rejected') as rejected,
+           count(*) filter (kind = 'invalid_refs') as invalid_refs, count(*) filter (kind = 'suspicious_diagrams') as suspicious_diagrams
+    from e group by 1
+"""
+
+
+def daily_tables(read: Callable[[str], DataFrame]) -> DataFrame:
+    """Orders as papers, line items as references and events as diagrams, each with the times of its changes."""
+    papers = read("orders").selectExpr(
+        "o_orderdate as created_at",
+        "o_orderdate + make_dt_interval(0, cast(o_orderkey % 50 as int)) as validated_at",
+        "o_orderdate + interval 30 hours as updated_at",
+        "case o_orderstatus when 'F' then 'VALIDATED' when 'O' then 'REJECTED' else 'PENDING' end as status",
+    )
+    refs = read("lineitem").selectExpr("l_shipdate as updated_at", "if(l_returnflag = 'R', 'INVALID', 'VALID') as status")
+    diagrams = read("events").selectExpr("ts as updated_at", "event_type = 'purchase' as is_suspicious")
+    return L.daily_events(papers, refs, diagrams)
 
 
 ALERT_COLUMNS = [
@@ -195,8 +215,8 @@ ALERT_COLUMNS = [
 
 @query("t8_daily_counts", DAILY_SQL)
 def daily_counts(spark: SparkSession, folder: str) -> DataFrame:
-    kinds = B.alerts_v(spark, folder).selectExpr("created_at", "type as kind")
-    return L.daily_counts(kinds)
+    counts = L.daily_counts(daily_tables(lambda name: B.table(spark, folder, name)))
+    return counts.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query(
@@ -226,19 +246,17 @@ def validate_new_papers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("t8_daily_counts_stream", DAILY_SQL)
 def daily_counts_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The counts of a stream of alerts, whole days as they end, the last one when the stream does."""
-    kinds = "case event_type when 'signup' then 'PAPER_VALIDATED' when 'view' then 'PAPER_REJECTED' when 'click' then 'INVALID_REFERENCE' when 'purchase' then 'SUSPICIOUS_DIAGRAM' else 'VALIDATION_ERROR' end as kind"
-    events = read_stream(spark, folder, "events").selectExpr("cast(ts as timestamp) as created_at", kinds)
-    work, name = work_folder(spark), f"days_{uuid.uuid4().hex}"
+    """The counts of three streams of changes, all days after each micro-batch; the last state is read back."""
+    work = work_folder(spark)
 
     def keep(days: DataFrame, number: int) -> None:
-        days.write.mode("overwrite").parquet(f"{work}/{name}")
+        days.write.mode("overwrite").parquet(f"{work}/days")
 
-    counts = L.daily_counts(events)
+    counts = L.daily_counts(daily_tables(lambda name: read_stream(spark, folder, name)))
     schema = counts.schema
     query = counts.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", f"{work}/checkpoint")
     query.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{work}/{name}").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    return spark.read.schema(schema).parquet(f"{work}/days").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query(

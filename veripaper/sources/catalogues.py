@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import salted_join
+
 # fixed values: the parts of the catalogues' records that are read
 OPENALEX_SCHEMA = """struct<id: string, title: string, display_name: string, abstract: string, doi: string,
   publication_year: int, cited_by_count: int,
@@ -188,18 +190,66 @@ def read_search_hits(raw: DataFrame) -> DataFrame:
     return hits.select("image_id", "call", "pos", "hit.*")
 
 
-def write_report(scored: DataFrame, summary: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Plagiarism report as JSON lines: one object per diagram, and one summary per job.
+#: Diagrams in one object of a report; a report of more has several parts.
+REPORT_PART = 1000
 
-    A job may have any number of diagrams, so that its report is never gathered into one object.
+# fixed values: names in reports
+REPORT_SCHEMA = """struct<jobId: string, pdfPath: string, totalDiagrams: int,
+  diagrams: array<struct<diagram: string, index: bigint,
+    localSimilarity: struct<bestMatch: struct<score: double>>, decision: string, confidence: double,
+    indicators: array<string>>>,
+  summary: struct<total: int, original: int, partiallyPlagiarized: int, heavilyPlagiarized: int,
+    averageConfidence: double, riskLevel: string>, part: int, parts: int>"""
+SUMMARY_NAMES = {
+    "total": "total",
+    "original": "original",
+    "partiallyPlagiarized": "partially_plagiarized",
+    "heavilyPlagiarized": "heavily_plagiarized",
+    "averageConfidence": "average_confidence",
+    "riskLevel": "risk_level",
+}
+
+
+def report_parts(scored: DataFrame, summary: DataFrame) -> DataFrame:
+    """Reports as nested rows ``jobId, totalDiagrams, diagrams, summary, part, parts``.
+
+    Reads scored ``job_id, image_id, diagram, best_match_pct, decision, confidence, indicators`` and a
+    summary row per job. A job's diagrams are dealt by hash into parts of about ``REPORT_PART``, in order of the
+    identifier in each, so that no object grows with the job; every part carries the summary.
     """
-    scored.write.mode(mode).json(f"{path}/diagrams")
-    summary.write.mode(mode).json(f"{path}/summary")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(REPORT_PART))).cast("int")
+    of_job = summary.select(
+        "job_id", "total", F.struct(*[F.col(c).alias(n) for n, c in SUMMARY_NAMES.items()]).alias("summary"), parts.alias("parts")
+    )
+    diagram = F.struct(
+        "diagram",
+        F.col("image_id").cast("bigint").alias("index"),
+        F.struct(F.struct(F.col("best_match_pct").alias("score")).alias("bestMatch")).alias("localSimilarity"),
+        "decision",
+        "confidence",
+        "indicators",
+    )
+    dealt = salted_join(scored, of_job, ["job_id"], [F.col("image_id")], "inner").withColumn(
+        "part", F.pmod(F.xxhash64("image_id"), F.col("parts")).cast("int")
+    )
+    grouped = dealt.groupBy("job_id", "part", "total", "summary", "parts").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("image_id"), diagram.alias("diagram")))).alias("found")
+    )
+    return grouped.select(
+        F.col("job_id").cast("string").alias("jobId"),
+        F.col("total").cast("int").alias("totalDiagrams"),
+        F.transform("found", lambda f: f["diagram"]).alias("diagrams"),
+        "summary",
+        "part",
+        "parts",
+    )
 
 
-REPORT_SCHEMA = """struct<jobId: string, pdfPath: string, totalDiagrams: int,
-  summary: struct<total: int, original: int, partiallyPlagiarized: int, heavilyPlagiarized: int,
-    averageConfidence: double, riskLevel: string>>"""
+def write_report(scored: DataFrame, summary: DataFrame, path: str, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Nested reports as JSON lines in ``buckets`` folders by job; a job's parts lie in one folder."""
+    bucket = F.pmod(F.xxhash64("jobId"), F.lit(buckets)).cast("int")
+    nested = report_parts(scored, summary).withColumn("bucket", bucket)
+    nested.write.mode(mode).partitionBy("bucket").json(path)
 
 
 def read_report(raw: DataFrame) -> DataFrame:
@@ -210,6 +260,11 @@ def read_report(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json(body, REPORT_SCHEMA).alias("report")).select("report.*")
 
 
+def report_diagrams(reports: DataFrame) -> DataFrame:
+    """One row for each diagram of the reports, with its job and the job's summary."""
+    return reports.select(F.col("jobId").alias("job_id"), "totalDiagrams", "summary", F.inline("diagrams"))
+
+
 def intake_files(spark: SparkSession, path: str, limit: int = 50 * 1024 * 1024) -> DataFrame:
     """Files offered for upload with their stored name, title, and reason if refused; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -97,23 +99,37 @@ def alert_fanout(
     return _start(alerts, batch, checkpoint, every)
 
 
-def daily_counts(events: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Events per day and kind: ``created, validated, rejected, invalid_refs, suspicious_diagrams``.
+def daily_events(papers: DataFrame, refs: DataFrame, diagrams: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """What happened to the tables as ``(at, kind)``: papers created, validated or rejected, references invalid, diagrams suspicious.
 
-    Works on a table and on a stream; on a stream rows later than ``lateness`` are dropped. Reads
-    ``created_at`` (timestamp) and ``kind``.
+    Reads papers ``created_at, validated_at, updated_at, status``, refs ``updated_at, status`` and diagrams
+    ``updated_at, is_suspicious``. Each may be a table or a stream; each stream of events has its own
+    watermark, ``lateness`` behind its latest one, and a day ends when the slowest has passed it.
+    """
+    c = F.col
+    kinds = [
+        (papers, "created_at", F.lit(True), "created"),
+        (papers, "validated_at", c("status") == "VALIDATED", "validated"),
+        (papers, "updated_at", c("status") == "REJECTED", "rejected"),
+        (refs, "updated_at", c("status") == "INVALID", "invalid_refs"),
+        (diagrams, "updated_at", c("is_suspicious"), "suspicious_diagrams"),
+    ]
+    events = []
+    for table, at, condition, kind in kinds:
+        rows = table.where(condition & c(at).isNotNull()).select(c(at).cast("timestamp").alias("at"), F.lit(kind).alias("kind"))
+        events.append(rows.withWatermark("at", lateness) if table.isStreaming else rows)
+    return reduce(DataFrame.unionByName, events)
+
+
+def daily_counts(events: DataFrame) -> DataFrame:
+    """Events of ``daily_events`` per day: ``day, created, validated, rejected, invalid_refs, suspicious_diagrams``.
+
+    Works on a table and on a stream; a stream drops rows behind its watermark.
     """
-    timed = events.withWatermark("created_at", lateness) if events.isStreaming else events
-    kinds = {
-        "created": "created",
-        "validated": "PAPER_VALIDATED",
-        "rejected": "PAPER_REJECTED",
-        "invalid_refs": "INVALID_REFERENCE",
-        "suspicious_diagrams": "SUSPICIOUS_DIAGRAM",
-    }
-    counts: list[Column] = [F.count_if(F.col("kind") == kind).alias(name) for name, kind in kinds.items()]
+    kinds = ["created", "validated", "rejected", "invalid_refs", "suspicious_diagrams"]
+    counts: list[Column] = [F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds]
     return (
-        timed.groupBy(F.window("created_at", "1 day").alias("day"))
+        events.groupBy(F.window("at", "1 day").alias("day"))
         .agg(*counts)
         .select(F.col("day.start").alias("day"), *kinds)
     )
