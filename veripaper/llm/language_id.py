@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, with_texts
+from .shared import kept_for, small_batches, with_texts
 
 #: The labelled sample: documents for each language, letters taken from each of them, and from how many places.
 SAMPLE_DOCS, SAMPLE_LETTERS, SAMPLE_PLACES = 200, 400, 4
@@ -26,7 +26,6 @@ ALPHABET = 255
 UNKNOWN = "und"
 
 _LETTER: np.ndarray | None = None
-_AUTOMATA: dict[tuple, list] = {}
 
 
 def _letters() -> np.ndarray:
@@ -199,10 +198,11 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def _automata(samples: tuple[tuple[str, str], ...]) -> list[Automaton]:
     """Built once in each Python worker from the broadcast samples."""
-    if samples not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[samples] = [Automaton(letters_of(text)) for _, text in samples]
-    return _AUTOMATA[samples]
+    automata = kept_for("language_id")
+    if samples not in automata:
+        automata.clear()
+        automata[samples] = [Automaton(letters_of(text)) for _, text in samples]
+    return automata[samples]
 
 
 def identified(texts: list[str | None], samples: tuple[tuple[str, str], ...]) -> tuple[list[str], np.ndarray]:
@@ -246,7 +246,7 @@ def language_id(
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = with_texts(batches, text_col, "_text") if carry else batches
-        for batch, _, _ in small_batches(batches, "_text"):
+        for batch, _, _ in small_batches(batches, "_text", "language_id"):
             langs, score = identified(batch.column("_text").to_pylist(), shared.value)
             kept = [c for c in batch.schema.names if c != "_text"]
             columns = [batch.column(c) for c in kept] + [pa.array(langs, pa.string()), pa.array(score, pa.float64())]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, written
+from .shared import kept_for, small_batches, written
 
 #: Tokens of a sequence, of a cell of the coarse grid, and lengths that a combination has at most.
 WINDOW, GRID, DEPTH = 2048, 16, 3
@@ -34,8 +34,6 @@ REMEMBERED, NUMBERED = 600_000, 50_000
 #: Marks that stand behind letters.
 MARKS = string.punctuation
 
-_ENCODERS: dict[str, "WordIds"] = {}
-
 
 class WordIds:
     """Ids of white-space separated words; equal to encoding the whole text, as no token spans white space.
@@ -110,10 +108,11 @@ def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     end = np.array([END_ID], "<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = WordIds(path)
-        encode = _ENCODERS[path]
-        for batch, data, starts in small_batches(batches, "text"):
+        encoders = kept_for("packing")
+        if path not in encoders:
+            encoders[path] = WordIds(path)
+        encode = encoders[path]
+        for batch, data, starts in small_batches(batches, "text", "packing"):
             raw = data.tobytes()
             rows, out = [], []
             for row, ids in enumerate(encode([raw[a:b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())])):

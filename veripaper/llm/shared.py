@@ -53,8 +53,24 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about ``BATCH_BYTES`` of text, with their bytes and text starts."""
+#: What a Python worker keeps from task to task, by operator.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_for(operator: str) -> dict:
+    """What the worker keeps for tasks of ``operator``; what it kept for other operators goes, as one worker serves all."""
+    for other, kept in _KEPT.items():
+        if other != operator:
+            kept.clear()
+    return _KEPT.setdefault(operator, {})
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: str, operator: str = "") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with about ``BATCH_BYTES`` of text, with their bytes and text starts.
+
+    The worker goes on with what it keeps for ``operator`` only.
+    """
+    kept_for(operator)
     for batch in batches:
         if batch.num_rows == 0:
             continue
