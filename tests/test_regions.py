@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from veripaper.functions.hashes import client_key, format_hash, rect_distance, search_urls
@@ -100,6 +102,19 @@ def test_merge_regions(spark):
     assert {p: sorted(v) for p, v in got.items()} == expected
 
 
+def test_many_boxes_on_one_page():
+    """A grid of boxes far apart, with a row of near ones and some broad ones: looking at strips keeps this short."""
+    side = 316
+    corner = np.stack(np.meshgrid(np.arange(side), np.arange(side)), axis=-1).reshape(-1, 2) * 200.0
+    found = np.column_stack([corner, corner + 20.0])
+    near = np.array([[i * 200.0 + 60, 60.0, i * 200.0 + 80, 80.0] for i in range(side)])
+    broad = np.array([[0.0, -1000.0 * k, 50_000.0, -1000.0 * k + 5] for k in range(1, 9)])
+    merged = R._grow(np.concatenate([found, near, broad]), 50)
+    # A near box is 40 away from its own corner's box on both axes, more than 50 in all, and joins nothing.
+    assert len(merged) == side * side + side + 8
+    assert len(R._grow(np.concatenate([found, near - 10]), 50)) == side * side
+
+
 def test_drawing_boxes_and_union(spark):
     points = spark.createDataFrame(
         [(1, 1, 1, 0.0, 0.0), (1, 1, 1, 60.0, 50.0), (1, 1, 2, 0.0, 0.0), (1, 1, 2, 49.0, 90.0)],

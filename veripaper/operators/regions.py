@@ -129,26 +129,49 @@ def whole_pages(pages: DataFrame, minimum: int = 150) -> DataFrame:
     return pages.where((F.col("width") >= minimum) & (F.col("height") >= minimum))
 
 
+class _Strips:
+    """Boxes of a page by width class and left edge, to find those that reach into a strip of the page."""
+
+    def __init__(self, boxes: np.ndarray):
+        width = boxes[:, 2] - boxes[:, 0]
+        classes = np.ceil(np.log2(np.maximum(width, 1.0))).astype(int)
+        self.classes = []
+        for k in np.unique(classes):
+            mine = np.flatnonzero(classes == k)
+            mine = mine[np.argsort(boxes[mine, 0], kind="stable")]
+            self.classes.append((mine, boxes[mine, 0], width[mine].max()))
+
+    def between(self, left: float, right: float) -> np.ndarray:
+        """Boxes that may have a point between two upright lines, and all that have one."""
+        found = [
+            order[np.searchsorted(lefts, left - widest) : np.searchsorted(lefts, right, side="right")]
+            for order, lefts, widest in self.classes
+        ]
+        return np.concatenate(found)
+
+
 def _grow(boxes: np.ndarray, gap: float) -> np.ndarray:
     """Boxes of one page merged in input order: a box takes in all that touch it or lie nearer than ``gap``."""
     free = np.ones(len(boxes), dtype=bool)
-    merged = []
+    strips, merged = _Strips(boxes), []
     for seed in range(len(boxes)):
         if not free[seed]:
             continue
         x0, y0, x1, y1 = boxes[seed]
         free[seed] = False
-        grown = True
-        while grown:
-            across = np.maximum(0, np.maximum(x0 - boxes[:, 2], boxes[:, 0] - x1))
-            down = np.maximum(0, np.maximum(y0 - boxes[:, 3], boxes[:, 1] - y1))
-            near = free & (np.hypot(across, down) < gap)
-            grown = bool(near.any())
-            if grown:
-                taken = boxes[near]
-                x0, y0 = min(x0, taken[:, 0].min()), min(y0, taken[:, 1].min())
-                x1, y1 = max(x1, taken[:, 2].max()), max(y1, taken[:, 3].max())
-                free &= ~near
+        while True:
+            around = strips.between(x0 - gap, x1 + gap)
+            around = around[free[around]]
+            some = boxes[around]
+            across = np.maximum(0, np.maximum(x0 - some[:, 2], some[:, 0] - x1))
+            down = np.maximum(0, np.maximum(y0 - some[:, 3], some[:, 1] - y1))
+            near = np.hypot(across, down) < gap
+            if not near.any():
+                break
+            taken = some[near]
+            x0, y0 = min(x0, taken[:, 0].min()), min(y0, taken[:, 1].min())
+            x1, y1 = max(x1, taken[:, 2].max()), max(y1, taken[:, 3].max())
+            free[around[near]] = False
         merged.append((x0, y0, x1, y1))
     return np.array(merged)
 
@@ -156,7 +179,8 @@ def _grow(boxes: np.ndarray, gap: float) -> np.ndarray:
 def merge_regions(regions: DataFrame, gap: float = 50.0) -> DataFrame:
     """Neighbouring boxes of a page merged: ``(doc_id, page, region_id, x0, y0, x1, y1)``.
 
-    Growth depends on what was taken in before, so that a page is worked on as one group.
+    Growth depends on what was taken in before, so that a page is worked on as one group, in order of
+    ``region_id`` and corners. Only boxes in the strip of the page around a growing box are looked at.
     """
 
     def per_page(page: Columns) -> dict[str, list]:
@@ -173,4 +197,4 @@ def merge_regions(regions: DataFrame, gap: float = 50.0) -> DataFrame:
         "x0 double, y0 double, x1 double, y1 double"
     )
     boxes = regions.select("doc_id", "page", "region_id", "x0", "y0", "x1", "y1")
-    return map_groups(boxes, ["doc_id", "page"], ["region_id"], per_page, schema)
+    return map_groups(boxes, ["doc_id", "page"], ["region_id", "x0", "y0", "x1", "y1"], per_page, schema)

@@ -206,7 +206,39 @@ def drawing_regions(spark: SparkSession, folder: str) -> DataFrame:
     return R.filter_drawing_regions(drawn, blocks, most_text=2).select("doc_id", "page", "region_id", "n_text")
 
 
-@query("x1_merge_regions")
+NEAR_SQL = """sqrt(greatest(0, greatest(x0 - b.x1, b.x0 - x1)) ** 2 + greatest(0, greatest(y0 - b.y1, b.y0 - y1)) ** 2) < 50"""
+TAKEN_SQL = f"list_filter(free, lambda b: {NEAR_SQL})"
+
+
+@query(
+    "x1_merge_regions",
+    with_views(
+        ["papers_v"],
+        """select doc_id, page, i::bigint as region_id, done[i + 1].x0 as x0, done[i + 1].y0 as y0, done[i + 1].x1 as x1, done[i + 1].y1 as y1
+           from (select *, unnest(range(len(done))) as i from rec_grown where x0 is null and len(free) = 0)""",
+        REGIONS_SQL,
+        (
+            "free_boxes",
+            """select doc_id, page, list({'x0': x0::double, 'y0': y0::double, 'x1': x1::double, 'y1': y1::double} order by region_id, x0, y0, x1, y1) as free
+               from regions group by doc_id, page""",
+        ),
+        # One box grows at a time: it is taken from the front, takes in its neighbours, and is done when it has none.
+        (
+            "rec_grown",
+            f"""select doc_id, page, free, null::double as x0, null::double as y0, null::double as x1, null::double as y1,
+                 []::struct(x0 double, y0 double, x1 double, y1 double)[] as done from free_boxes
+               union all
+               select doc_id, page, case when x0 is null then free[2:] else list_filter(free, lambda b: not ({NEAR_SQL})) end,
+                 {", ".join(
+                     f"case when x0 is null then free[1].{c} when len({TAKEN_SQL}) > 0 then "
+                     f"{'least' if c[1] == '0' else 'greatest'}({c}, list_{'min' if c[1] == '0' else 'max'}("
+                     f"list_transform({TAKEN_SQL}, lambda b: b.{c}))) end" for c in ("x0", "y0", "x1", "y1"))},
+                 case when x0 is not null and len({TAKEN_SQL}) = 0
+                   then list_append(done, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}) else done end
+               from rec_grown where x0 is not null or len(free) > 0""",
+        ),
+    ),
+)
 def merge_regions(spark: SparkSession, folder: str) -> DataFrame:
     return R.merge_regions(page_regions(spark, folder))
 
