@@ -306,9 +306,10 @@ def import_papers(papers: DataFrame, incoming: DataFrame) -> DataFrame:
         F.nullif(F.col("doi"), F.lit("")).alias("doi"),
     )
     stored = duplicate_by_doi(incoming, papers)
-    by_title = duplicate_by_title(incoming, papers).where("is_duplicate")
-    stored = stored.unionByName(by_title.join(stored, "paper_id", "left_anti")).select(
-        "paper_id", "similar_paper_id"
+    # Only titles above the duplicate bound count here, so nothing less alike is looked for.
+    by_title = duplicate_by_title(incoming, papers, candidate=DUPLICATE_SIMILARITY)
+    stored = cut_lineage(
+        stored.unionByName(by_title.join(stored, "paper_id", "left_anti")).select("paper_id", "similar_paper_id")
     )
     new = keyed.join(stored, "paper_id", "left_anti")
     rows = new.groupBy("grams", "doi").agg(F.min("age").alias("age")).select("age", "grams", "doi")
