@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scale import cut_lineage
 from ..operators import citations as C
+from ..operators import matching as M
 from ..operators import verdicts as V
+from ..sources import tables as T
 from . import bindings as B
 from . import references as RQ
 from . import sql_text as S
@@ -156,3 +158,60 @@ def verdicts(spark: SparkSession, folder: str) -> DataFrame:
 )
 def overall_verdict(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts(spark, folder)
+
+
+FALLBACK_SQL = (
+    "by_author",
+    r"""select a.paper_id, a.ord, min(c.cat_id) as cat_id
+        from (select paper_id, ord, try_cast(year as int) as year, lower(trim(regexp_split_to_array(authors, '(?i)[,;]|et\s+al')[1])) as fa
+              from parsed where doi is null and (paper_id, ord) not in (select (paper_id, ord) from candidates)) a
+        join (select cat_id, year, unnest(authors) as name from catalogue_v) c on lower(trim(c.name)) = a.fa
+          and (a.year is null or c.year is null or abs(a.year - c.year) <= 1)
+        where length(a.fa) > 3 group by a.paper_id, a.ord""",
+)
+
+
+@query(
+    "j6_j21_verify_references",
+    with_views(
+        ["refs_v", "catalogue_v", "texts_v"],
+        """select r.paper_id, r.ord, r.paper_id * 10 + r.ord as ref_id, v.status,
+             case when k.cat_id is not null then concat('doi:', k.cat_id) when b.cat_id is not null then concat('title:', b.cat_id)
+               when f.cat_id is not null then concat('author:', f.cat_id) end as verification, c.cited, c.reason
+           from parsed r join verified v on v.paper_id = r.paper_id and v.ord = r.ord
+             left join (select doi, min(cat_id) as cat_id from catalogue_v where doi <> '' group by doi) k on k.doi = r.doi and r.doi <> ''
+             left join best b on b.paper_id = r.paper_id and b.ord = r.ord
+             left join by_author f on f.paper_id = r.paper_id and f.ord = r.ord
+             left join checks c on c.paper_id = r.paper_id and c.ord = r.ord""",
+        *RQ.VERIFIED_CTES,
+        FALLBACK_SQL,
+        *CHECK_CTES[1:],
+    ),
+)
+def verify_references(spark: SparkSession, folder: str) -> DataFrame:
+    """All references verified and written back: by DOI, else by title, else by their first author; then looked up in the text."""
+    parsed, catalogue = (cut_lineage(t(spark, folder)) for t in (RQ.parsed_refs, B.catalogue_v))
+    undated, asked = RQ.undated_refs(parsed)
+    candidates = cut_lineage(M.title_candidates(asked, catalogue, RQ.KEYS, k=5))
+    unheard = undated.join(candidates.select(*RQ.KEYS).distinct(), RQ.KEYS, "left_anti")
+    found = [
+        ("doi", M.verify_by_doi(parsed, catalogue)),
+        ("title", M.best_match(undated, candidates, catalogue, RQ.KEYS)),
+        ("author", M.author_fallback(unheard, catalogue, RQ.KEYS)),
+    ]
+    by = [
+        df.select(*RQ.KEYS, "status", F.concat(F.lit(f"{name}:"), F.col("cat_id").cast("string")).alias("verification"))
+        for name, df in found
+    ]
+    updates = parsed.select(*RQ.KEYS).join(by[0].unionByName(by[1]).unionByName(by[2]), RQ.KEYS, "left").select(
+        *RQ.KEYS, F.lit(None).cast("bigint").alias("ref_id"), F.coalesce("status", F.lit("MISSING")).alias("status"), "verification"
+    )
+    stored = parsed.selectExpr(
+        *RQ.KEYS, "paper_id * 10 + ord as ref_id", "'PENDING' as status", "cast(null as string) as verification"
+    )
+    merged = T.merge_refs(stored, updates)
+    checked = C.merge_content_checks(merged, C.content_checks(parsed, B.texts_v(spark, folder)))
+    return checked.select(
+        "paper_id", "ord", "ref_id", "status", "verification",
+        F.col("content_check.valid").alias("cited"), F.col("content_check.reason").alias("reason"),
+    )
