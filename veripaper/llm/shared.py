@@ -81,6 +81,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, operator: str =
             end = min(end, batch.num_rows)
             yield batch.slice(row, end - row), data[starts[row] : starts[end]], starts[row : end + 1] - starts[row]
             row = end
+    # A worker that waits for its next task holds nothing back.
+    pa.default_memory_pool().release_unused()
 
 
 def with_texts(batches: Iterator[pa.RecordBatch], text: str, name: str) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: Powers that a worker keeps, for batches of the usual size.
 _POWERS: dict[int, np.ndarray] = {}
-_KEPT_POWERS = 1 << 21
+_KEPT_POWERS = BATCH_BYTES + 64
 
 
 def powers(base: int, n: int) -> np.ndarray:
