@@ -65,6 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table ``documents``.
+
+    A null or empty text has no letter and goes in the first stage; a row without identifier goes only as an exact
+    copy; repeated rows are copies, of which one stays; an empty table gives no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir))

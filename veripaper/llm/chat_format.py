@@ -98,7 +98,8 @@ def format_conversations(
     without quoted lines and outer white space.
 
     A null text is empty; a row without conversation or turn replies to nothing; rows that repeat a
-    conversation and turn are one message and get the same links each. Other columns are ignored.
+    conversation and turn are one message and get the same links each. Other columns are ignored. An
+    empty table gives no rows; texts are taken whole, however long.
     """
     rows = messages.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"),

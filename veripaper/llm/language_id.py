@@ -231,7 +231,8 @@ def language_id(
     ``samples`` are the texts of ``labelled_samples``. A text that is null or without a letter, and any
     text where there are no samples, is ``und`` with score 0. Among languages of equal cost the first by
     name wins. Repeated rows are predicted each; other columns are ignored, with ``carry`` they come along
-    as the struct ``row``; a null identifier is not held out.
+    as the struct ``row``; a null identifier is not held out. An empty table gives no rows; a very long text is
+    read whole, as one batch.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tuple(sorted(samples.items())))

@@ -249,7 +249,7 @@ def line_dedup(
     judged on the input. ``n_copies`` are the lines with an earlier exact copy, ``n_links`` the links of
     the document's other lines to different lines. A null text has no lines; a row without identifier
     loses nothing and makes nothing go; repeated rows are one document and get the same answer each. Other
-    columns are ignored.
+    columns are ignored. An empty table gives no rows; very long texts and lines are read whole.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     known = slim.where("doc is not null")

@@ -372,7 +372,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     it is kept. Equal sets are one vertex, so copies are never paired. Null and empty texts have no
     shingles and are linked with nothing; a row without identifier is linked with nothing, has no
     component and is kept; rows that repeat an identifier get the same answer each. Other columns are
-    ignored.
+    ignored. An empty table gives no rows; a very long text is read whole, as one batch.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     rows = written(_set_rows(slim))

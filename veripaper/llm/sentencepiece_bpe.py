@@ -202,7 +202,8 @@ def sentencepiece_encoded(
     ``path`` is the model file, at the same place on every machine. Null is encoded like the empty text, as
     begin and end; repeated rows and null identifiers are rows like all others; other columns are ignored.
     Without ``with_ids`` the columns are ``ids_sha256`` and ``decoded_sha256`` (ids as little-endian unsigned
-    32-bit integers, text as UTF-8), and no ids leave the task.
+    32-bit integers, text as UTF-8), and no ids leave the task. An empty table gives no rows; a very long text
+    is encoded whole, chunk by chunk.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = T.StructType([slim.schema["doc_id"]]).add("n_tokens", "long")

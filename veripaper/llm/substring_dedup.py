@@ -26,7 +26,8 @@ def substring_dedup(
     starts in a document with a smaller identifier; windows are judged on the input. ``kept_text`` has the
     other words joined by one space. A null text has no words; a null identifier comes with no order, so
     such a row neither loses words nor makes others lose any; repeated rows are one document and lose the
-    same words. Other columns are ignored; with ``carry`` they come along as the struct ``row``.
+    same words. Other columns are ignored; with ``carry`` they come along as the struct ``row``. An empty table
+    gives no rows; a very long text is read whole, as one batch. Windows are equal by two 64-bit hashes.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     units = Units(word_units, window, gram)

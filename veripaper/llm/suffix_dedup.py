@@ -34,7 +34,8 @@ def suffix_array_dedup(
     strings are judged on the input and never cross documents. ``spans`` are the maximal removed runs
     (start and end byte). A row without identifier loses nothing and makes nothing go; repeated rows are
     one document and lose the same bytes. Other columns are ignored; with ``carry`` they come along as
-    the struct ``row``.
+    the struct ``row``. An empty table gives no rows; a very long text is read whole, as one batch. Strings
+    are equal by two 64-bit hashes.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     units = Units(byte_units, threshold, min(FIRST_RANK, threshold))

@@ -74,6 +74,7 @@ def top_k_search(
     go to the smaller identifier, fewer than ``k`` others give fewer rows. Vectors that are null or empty, or
     hold a null or a value that is not finite, and rows without identifier take no part; only vectors of one
     dimension are compared; repeated rows count once. Products must fit in 53 bits.
+    An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = written(integer_vectors(vectors, id_col, vector_col, scale))
