@@ -62,3 +62,8 @@ def test_papers_without_references_stay(spark, folder, tmp_path):
         assert (got[i].overall_status is None) == (got[i].reason is None) == (i % 6 == 1)
         if i % 6 == 1:
             assert got[i].status == statuses[i]
+
+
+@pytest.mark.parametrize("name, most", [("j7_title_candidates", 4), ("a4_reference_summary", 6), ("p6_upload_pipeline", 8)])
+def test_shared_parts_are_written_once(spark, folder, name, most):
+    assert plan(QUERIES[name](spark, folder)).count("FileScan parquet") <= most

@@ -147,3 +147,10 @@ def test_responses(spark):
     by_pattern = spark.createDataFrame([(1, 1, "p"), (2, 1, "p"), (3, 1, "p")], "paper_id long, ord int, raw_text string")
     chosen = D.choose_references(rows, by_pattern)
     assert {(r.paper_id, r.raw_text == "p") for r in chosen.collect()} == {(1, False), (2, False), (3, True)}
+
+
+def test_title_of_a_long_text_without_marks(spark):
+    """A capital at every other character and no year: the rule must not start anew at each of them."""
+    long = "AB " * 100_000
+    rows = spark.createDataFrame([(long,), (f"x. {long}, 2001",)], "raw string").select(R.extract_title(F.col("raw"))["title"].alias("t"))
+    assert [r.t for r in rows.collect()] == [long.strip(), long.strip()]
